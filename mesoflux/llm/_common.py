@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Java-regex class of the white space that separates words in every contract.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -27,6 +28,11 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, _UPPER, _UPPER.lower())
 
 
+def extended(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` and further nullable fields."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a fresh temporary one where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, simhash
-from ._common import table
+from . import fuzzy_lines, importance_sampling, language_id, packing, quality_rules, simhash, toxicity, url_filter, warc, winnowing
+from ._common import scratch_path, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -18,6 +18,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawl, final = scratch_path(spark, "warc-crawl"), scratch_path(spark, "warc-final")
+    warc.write_archive(warc.crawl_records(table(spark, sf_dir, "pages")), crawl)
+    warc.deduplicate(spark, crawl, final)
+    return warc.read_archive(spark, final, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.annotate(docs).select(
@@ -25,11 +32,47 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.held_out(F.col("doc_id"), 4, 2)
+    model = language_id.train(docs.where(~out))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op4_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return importance_sampling.resample(table(spark, sf_dir, "documents"), good)
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = winnowing.judge(winnowing.spans(docs, table(spark, sf_dir, "benchmark")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), winnowing.items_digest("items").alias("items_sha256"), "contaminated"
+    )
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = language_id.held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~out).select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -39,8 +82,8 @@ def _quality_sql() -> str:
     return rf"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
     w AS (
-      SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+      SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
     win AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
     rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
     cov AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM rep, (SELECT unnest(range(0, 5)) AS o) GROUP BY doc_id),
@@ -48,7 +91,7 @@ def _quality_sql() -> str:
       SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
              (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
-             len(ls) AS n_lines, len(list_filter(w, x -> x IN ({stop}))) AS n_stop
+             len(ls) AS n_lines, len(list_filter(w, lambda x: x IN ({stop}))) AS n_stop
       FROM w LEFT JOIN cov USING (doc_id)),
     b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -58,12 +101,53 @@ def _quality_sql() -> str:
     FROM b"""
 
 
+_PAGES_SQL = """
+    WITH h AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    s AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS hx FROM h),
+    b AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda k:
+            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hx, (1 + 5 * (k // 4))::BIGINT, 5))::BIGINT >> (5 * (3 - k % 4))::BIGINT) & 31) + 1)::BIGINT, 1)), '') AS payload_digest
+          FROM s),
+    m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS low FROM b)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = low OR low IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id = low THEN NULL ELSE low END AS refers_to FROM m"""
+
+_URL_SQL = """
+    WITH r(host, path, verdict) AS (VALUES {rules}),
+    u AS (SELECT page_id,
+            translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    j AS (SELECT u.page_id, u.host, u.path, r.host || r.path AS rule, r.verdict,
+            row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST, length(r.host) DESC) AS k
+          FROM u LEFT JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path))
+    SELECT page_id, host, path, rule, coalesce(verdict, '{default}') AS verdict FROM j WHERE k = 1"""
+
+_WINNOW_SQL = r"""
+    WITH up AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS a, 'abcdefghijklmnopqrstuvwxyz' AS b),
+    d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, up),
+    i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark, up),
+    iw AS (SELECT item_id, n, array_to_string(w[p:p+n-1], ' ') AS k
+           FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+    ns AS (SELECT DISTINCT n FROM iw),
+    dw AS (SELECT doc_id, p, n, array_to_string(w[p:p+n-1], ' ') AS k
+           FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, ns)),
+    hit AS (SELECT dw.doc_id, dw.p, dw.n, iw.item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.k = iw.k),
+    cov AS (SELECT doc_id, count(DISTINCT p + o) AS n_hit FROM (SELECT doc_id, p, unnest(range(0, n)) AS o FROM hit) GROUP BY doc_id),
+    its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+            FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_quality_rules": op2_quality_rules,
-    "op6_simhash": op6_simhash,
-    "op10_packing": op10_packing,
+    f.__name__: f
+    for f in (
+        op1_warc, op2_quality_rules, op3_language, op4_resample, op5_urls, op6_simhash, op7_lines, op8_contamination, op9_toxicity, op10_packing,
+    )
 }
 
 ORACLE: dict[str, str] = {
+    "op1_warc": _PAGES_SQL,
     "op2_quality_rules": _quality_sql(),
+    "op5_urls": _URL_SQL.format(rules=", ".join(str(r) for r in url_filter.RULES), default=url_filter.DEFAULT),
+    "op8_contamination": _WINNOW_SQL,
 }

@@ -95,7 +95,7 @@ def _let(value: Column, body) -> Column:
 
 def annotate(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS, text: str = "text") -> DataFrame:
     """``docs`` with the counts, the rule metrics, ``base_failed``, ``failed_rules`` (array of metric names) and ``kept``."""
-    made = {"_t", "_w", "_lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words",
+    made = {"_t", "_w", "_lines", "_c", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words",
             "mean_word_chars", "symbols_per_word", "dup_line_ratio", "stop_word_ratio", "base_failed", "failed_rules", "kept"}
     through = [c for c in docs.columns if c not in made]
     base = docs.select(*[F.col(f"`{c}`") for c in through], F.coalesce(F.col(text), F.lit("")).alias("_t"))
@@ -104,8 +104,7 @@ def annotate(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS, text: str =
     )
     n = F.size("_w")
     stop = list(dict.fromkeys(form for w in STOP_WORDS for form in (w, w.capitalize(), w.upper())))
-    counted = base.select(
-        *[F.col(f"`{c}`") for c in through],
+    counts = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -114,6 +113,8 @@ def annotate(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS, text: str =
         F.size("_lines").cast("long").alias("n_lines"),
         F.size(F.filter("_w", lambda x: x.isin(stop))).cast("long").alias("n_stop_words"),
     )
+    # exploding the one struct of counts keeps them from being computed again in every rule and filter above
+    counted = base.select(*[F.col(f"`{c}`") for c in through], F.explode(F.array(counts)).alias("_c")).select(*[F.col(f"`{c}`") for c in through], "_c.*")
     ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
     metrics = counted.withColumns({
         "mean_word_chars": ratio("word_chars", "n_words"),

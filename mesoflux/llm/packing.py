@@ -14,7 +14,6 @@ included. Only ``doc_id`` and ``text`` are read. An empty table gives an empty r
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,56 +26,79 @@ from ._common import materialize
 WINDOW = 4096
 END_ID = 2
 SHARD_PIECES = 20_000
-_CACHE = 400_000
+_JOINED = 1000
+_PART_BYTES = 16_000_000
+_SPACES = r"[ \t\n\x0b\x0c\r]+"
+_CUT = r"([a-z0-9])([.,;:!?|*#$%&])"
 
 
 class ChunkEncoder:
-    """Token ids of texts through a bounded cache of white-space-free chunks."""
+    """Token ids of texts; each distinct white-space-free chunk of a call is encoded once.
+
+    Chunks are made few by steps that can't change the ids: the tokenizer lower-cases anyway, and it always cuts between a letter
+    or digit and a sign other than the apostrophe.
+    """
 
     def __init__(self, tokenizer_path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.end_id = end_id
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = [np.zeros(0, np.uint32)]
-        self.sizes = [np.zeros(0, np.int64)]
 
-    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text, the end id last."""
-        if len(self.index) > _CACHE:
-            self._reset()
+    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one after the other, number of ids of each chunk); many chunks share one call, told apart by offsets."""
+        flat, sizes = [], []
+        for low in range(0, len(chunks), _JOINED):
+            part = chunks[low : low + _JOINED]
+            done = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ends = np.cumsum([len(c) + 1 for c in part])
+            of = np.searchsorted(ends, np.array([s for s, _ in done.offsets], np.int64), "right")
+            flat.append(np.array(done.ids, np.uint32))
+            sizes.append(np.bincount(of, minlength=len(part)))
+        return np.concatenate(flat or [np.zeros(0, np.uint32)]), np.concatenate(sizes or [np.zeros(0, np.int64)])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts, bounds of each text in them); the end id closes every text."""
         filled = pc.fill_null(texts.cast(pa.large_string()), "")
-        lists = pc.ascii_split_whitespace(filled)
+        marked = pc.match_substring(filled, "<|")  # may hold a special token, which lower-casing and cutting would touch
+        if not pc.any(marked).as_py():
+            return self._encode_plain(filled)
+        ids, bounds = self._encode_plain(pc.if_else(marked, "", filled))
+        parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        for k in np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist():
+            whole = self.tokenizer.encode(filled[k].as_py(), add_special_tokens=False).ids
+            parts[k] = np.array([*whole, self.end_id], np.uint32)
+        return np.concatenate(parts), np.cumsum([0, *[len(x) for x in parts]])
+
+    def _encode_plain(self, filled: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lowered = pc.ascii_lower(filled)
+        spaced = pc.replace_substring_regex(pc.replace_substring_regex(lowered, _CUT, r"\1 \2"), _SPACES, " ")
+        lists = pc.split_pattern(spaced, " ")
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        fresh = [w for w in words if w not in self.index and w]
-        if fresh:
-            encoded = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
-            self.sizes.append(np.array([len(x) for x in encoded], np.int64))
-            self.flat.append(np.array([i for x in encoded for i in x], np.uint32))
-            base = len(self.index)
-            self.index.update((w, base + k) for k, w in enumerate(fresh))
-        sizes = np.concatenate([*self.sizes, np.zeros(1, np.int64)])  # the last place stands for the empty chunk
-        flat = np.concatenate(self.flat)
-        self.sizes, self.flat = [sizes[:-1]], [flat]
-        begins = np.concatenate([[0], np.cumsum(sizes[:-1])])
-        place = np.array([self.index[w] if w else len(sizes) - 1 for w in words], np.int64)
-        chunk = place[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        named = [k for k, w in enumerate(words) if w]
+        flat, some = self._encode_chunks([words[k] for k in named])
+        sizes = np.zeros(len(words) + 1, np.int64)
+        sizes[named] = some
+        sizes[-1] = 1  # the last place stands for the end id
+        flat = np.append(flat, np.uint32(self.end_id))
+        begins = np.cumsum(sizes) - sizes
         bounds = lists.offsets.to_numpy()
-        bounds = bounds - bounds[0]
-        for k in range(len(texts)):
-            c = chunk[bounds[k] : bounds[k + 1]]
-            n = sizes[c]
-            total = int(n.sum())
-            out = np.empty(total + 1, np.uint32)
-            shift = np.repeat(begins[c] - (np.cumsum(n) - n), n)
-            out[:total] = flat[shift + np.arange(total)]
-            out[total] = self.end_id
-            yield out
+        chunk = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:] - bounds[0], len(words))
+        n = sizes[chunk]
+        stops = np.cumsum(n)
+        ids = flat[np.repeat(begins[chunk] - (stops - n), n) + np.arange(int(n.sum()))]
+        return ids, np.concatenate([[0], stops[np.flatnonzero(chunk == len(words))]])
+
+
+def _by_size(batch: pa.RecordBatch):
+    """Slices of about ``_PART_BYTES`` of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // _PART_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(cuts, cuts[1:]):
+        if high > low:
+            yield batch.take(pa.array(np.arange(low, high)))  # a copy: string kernels misread some slices
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -85,11 +107,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
     def run(batches):
         encoder = ChunkEncoder(tokenizer_path, end_id)
         for b in batches:
-            for low in range(0, b.num_rows, 256):
-                part = b.slice(low, 256)
+            for part in _by_size(b):
                 rows = []
-                for k, ids in enumerate(encoder.encode(part.column("text"))):
-                    data = ids.astype("<u4", copy=False)
+                ids, bounds = encoder.encode(part.column("text"))
+                for k, (low, high) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                    data = ids[low:high].astype("<u4", copy=False)
                     for s in range(0, len(data), window):
                         cut = data[s : s + window]
                         rows.append((k, s, len(cut), zlib.crc32(cut.tobytes()), len(data)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Physical constants.
@@ -17,7 +17,18 @@ MIN_COS_ZENITH = 0.1736
 def finite(c: Column) -> Column:
     """NaN and infinities become null."""
     c = c.cast("double")
-    return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+    return F.when(F.abs(c) < F.lit(float("inf")), c)  # NaN compares as greater than any number
+
+
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns evaluated here and now.
+
+    They leave a generator as plain attributes, so filters and projections above don't repeat their expressions. For long formulas
+    that several later steps use.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made")
+    return df.select(*[F.col(f"`{c}`") for c in kept], made).select(*[F.col(f"`{c}`") for c in kept], "_made.*")
 
 
 def wind_components(speed: Column, direction: Column) -> tuple[Column, Column]:

@@ -76,13 +76,14 @@ def apparent_solar_time(ts: Column, site: Site) -> Column:
     return F.lit(12.0) + hour_angle(ts, site) / F.lit(15.0)
 
 
-def _clip(c: Column, low: float, high: float) -> Column:
-    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
+def _clip(c: Column, low: float, high: float, given: Column) -> Column:
+    """``c`` within bounds; null where ``given``, on which alone ``c`` depends, is. So ``c`` stands in the tree once."""
+    return F.when(given.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def cos_zenith(ts: Column, site: Site) -> Column:
     lat, d, h = math.radians(site.latitude), declination(ts), F.radians(hour_angle(ts, site))
-    return _clip(F.lit(math.sin(lat)) * F.sin(d) + F.lit(math.cos(lat)) * F.cos(d) * F.cos(h), -1.0, 1.0)
+    return _clip(F.lit(math.sin(lat)) * F.sin(d) + F.lit(math.cos(lat)) * F.cos(d) * F.cos(h), -1.0, 1.0, ts)
 
 
 def elevation(ts: Column, site: Site) -> Column:
@@ -94,13 +95,13 @@ def azimuth(ts: Column, site: Site) -> Column:
     lat, cosz = math.radians(site.latitude), cos_zenith(ts, site)
     below = F.lit(math.cos(lat)) * F.sin(F.acos(cosz))
     ratio = F.when(F.abs(below) > 1e-12, (F.lit(math.sin(lat)) * cosz - F.sin(declination(ts))) / below).otherwise(F.lit(0.0))
-    turn = F.degrees(F.acos(_clip(ratio, -1.0, 1.0)))
+    turn = F.degrees(F.acos(_clip(ratio, -1.0, 1.0, ts)))
     west = F.pmod(hour_angle(ts, site) + 180.0, F.lit(360.0)) - 180.0 > 0
     return F.pmod(F.when(west, turn + 180.0).otherwise(F.lit(540.0) - turn), F.lit(360.0))
 
 
 def extraterrestrial(ts: Column, site: Site, constant: float = SOLAR_CONSTANT) -> Column:
-    return _clip(F.lit(constant) * eccentricity(ts) * cos_zenith(ts, site), 0.0, math.inf)
+    return _clip(F.lit(constant) * eccentricity(ts) * cos_zenith(ts, site), 0.0, math.inf, ts)
 
 
 def clearness_index(ghi: Column, ts: Column, site: Site) -> Column:
@@ -122,7 +123,7 @@ def erbs(kt: Column) -> Column:
     mid = F.lit(ERBS_MID[0])
     for n, value in enumerate(ERBS_MID[1:], 1):
         mid = mid + F.lit(value) * power(n)
-    return _clip(F.when(kt <= 0.22, F.lit(1.0) - F.lit(0.09) * kt).when(kt <= 0.8, mid).when(kt > 0.8, F.lit(0.165)), 0.0, 1.0)
+    return _clip(F.when(kt <= 0.22, F.lit(1.0) - F.lit(0.09) * kt).when(kt <= 0.8, mid).when(kt > 0.8, F.lit(0.165)), 0.0, 1.0, kt)
 
 
 def pseudo_diffuse(ghi: Column, kt: Column) -> Column:

@@ -71,7 +71,7 @@ def build_manifest(frames: DataFrame, sensors: DataFrame, site: Site, keys: Sequ
     once = frames.withColumn("_k", first).where("_k = 1").drop("_k")
     paired = joins.pair_frames(once, sensors, keys, ts, max_distance)
     features = feature_columns(paired, site, feature_set, ts)
-    base = paired.withColumns(features)
+    base = atmosphere.computed(paired, features)
     finite = atmosphere.finite
     complete = None
     for n in features:
@@ -80,7 +80,7 @@ def build_manifest(frames: DataFrame, sensors: DataFrame, site: Site, keys: Sequ
     t, g = F.col(ts), F.col(ghi)
     kt = solar.clearness_index(g, t, site)
     measured = finite(F.col(dhi)) if dhi in sensors.columns else F.lit(None).cast("double")
-    base = base.withColumns({"target_kt": kt, "target_kindex": solar.clear_sky_index(g, t, site) if k_kind == "kstar" else kt})
+    base = atmosphere.computed(base, {"target_kt": kt, "target_kindex": solar.clear_sky_index(g, t, site) if k_kind == "kstar" else kt})
     base = base.withColumns({
         "target_dhi": F.coalesce(measured, solar.pseudo_diffuse(g, F.col("target_kt"))),
         "target_source": F.when(measured.isNotNull(), "measured").otherwise("erbs"), "kindex_kind": F.lit(k_kind),

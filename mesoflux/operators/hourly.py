@@ -41,7 +41,7 @@ def aggregate_hourly(df: DataFrame, values: Sequence[str], *, sums: Sequence[str
     With ``complete`` every window between a station's first and last is emitted. Partial aggregates shrink the shuffle to one row a
     window and task.
     """
-    speeds = speeds or {}
+    speeds = {d: s for d, s in (speeds or {}).items() if s in df.columns}
     out = [_enough(F.col(c), F.sum(c) if c in sums else F.avg(c), min_samples).alias(c) for c in values if c not in directions]
     out += [vector_mean(c, speeds.get(c), min_samples).alias(c) for c in directions]
     hourly = df.groupBy(*keys, F.window(ts, freq)["start"].alias(ts)).agg(*out)

@@ -45,9 +45,14 @@ def r_squared(obs: Column, pred: Column) -> Column:
     return F.lit(1.0) - F.try_divide(F.sum((p - o) * (p - o)), F.when(F.var_pop(o) > 0, F.var_pop(o) * F.count(o)))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's r; null without spread, where ``corr`` raises."""
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(F.when(b.isNotNull(), a)) * F.var_pop(F.when(a.isNotNull(), b))))
+
+
 def pearson(obs: Column, pred: Column) -> Column:
     o, p = _pair(obs, pred)
-    return F.when((F.var_pop(o) > 0) & (F.var_pop(p) > 0), F.corr(o, p))
+    return correlation(o, p)
 
 
 def mape(obs: Column, pred: Column) -> Column:
@@ -103,7 +108,7 @@ def paired_table(df: DataFrame, variables: Sequence[str], by: Sequence[str] = ()
     out = with_mean.withColumns({"e": gap, "_c": bearing}).groupBy(*group).agg(
         F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("mbe"),
         only(F.lit(1.0) - F.try_divide(sse, F.when(spread > 0, spread))).alias("r2"),
-        only(F.when((F.var_pop("o") > 0) & (F.var_pop("p") > 0), F.corr("o", "p"))).alias("r"),
+        only(correlation(F.col("o"), F.col("p"))).alias("r"),
         only(F.lit(1.0) - F.try_divide(sse, F.when(reach > 0, reach))).alias("d"), only(F.when(spread > 0, ioa)).alias("ioa"),
         only(F.try_divide(F.sqrt(F.avg(e * e)), F.abs(F.avg("o")))).alias("nrmse"),
     )

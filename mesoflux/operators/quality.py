@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import solar
+from ..functions.atmosphere import computed
 from ..functions.solar import Site
 
 #: Coefficients of the physically possible limits, channel -> (gain, offset in W/m2).
@@ -173,7 +174,7 @@ def mask_impossible(df: DataFrame, site: Site, ts: str = "ts") -> DataFrame:
     """
     here = _present(df, CEILING)
     mu = F.col("_mu")
-    base = df.withColumn("_mu", solar.cos_zenith(F.col(ts), site)).withColumn("_top", F.lit(solar.CEILING_SOLAR_CONSTANT) * solar.eccentricity(F.col(ts)) * F.when(mu > 0, F.pow(mu, F.lit(1.2))).otherwise(F.lit(0.0)))
+    base = computed(computed(df, {"_mu": solar.cos_zenith(F.col(ts), site)}), {"_top": F.lit(solar.CEILING_SOLAR_CONSTANT) * solar.eccentricity(F.col(ts)) * F.when(mu > 0, F.pow(mu, F.lit(1.2))).otherwise(F.lit(0.0))})
     bad = {}
     for name in here:
         gain, offset = CEILING[name]
@@ -201,8 +202,8 @@ def mask_days(df: DataFrame, days: DataFrame, columns: Sequence[str], keys: Sequ
 
 
 def mask_nocturnal(df: DataFrame, site: Site, columns: Sequence[str], ts: str = "ts", below: float = 0.0) -> DataFrame:
-    up = solar.elevation(F.col(ts), site) >= below
-    return df.withColumns({c: F.when(up, F.col(c)) for c in _present(df, columns)})
+    base = computed(df, {"_up": solar.elevation(F.col(ts), site) >= below})
+    return base.withColumns({c: F.when(F.col("_up"), F.col(c)) for c in _present(df, columns)}).drop("_up")
 
 
 def close_net_radiation(df: DataFrame, name: str = "Net_CNR1", parts: Sequence[str] = ("Sw_dw", "Sw_up", "Lw_dw", "Lw_up"), night: Column | None = None) -> DataFrame:
@@ -247,7 +248,7 @@ def daylight_selection(ts: Column, site: Site, day_above: float = 10.0, night_be
 def prepare_clearness(df: DataFrame, site: Site, column: str = "Sw_dw", ts: str = "ts", shift_minutes: int = 30, min_elevation: float = 10.0) -> DataFrame:
     """Hours with a sun at mid-hour, a lowest elevation above the bound and a value: adds ``e0`` and ``kt``."""
     mid = F.col(ts) + F.expr(f"INTERVAL {shift_minutes} MINUTES")
-    base = df.where(F.col(column).isNotNull()).withColumns({"e0": solar.extraterrestrial(mid, site), "_low": lowest_elevation(F.col(ts), site)})
+    base = computed(df.where(F.col(column).isNotNull()), {"e0": solar.extraterrestrial(mid, site), "_low": lowest_elevation(F.col(ts), site)})
     return base.where((F.col("e0") > 0) & (F.col("_low") > min_elevation)).withColumn("kt", F.col(column) / F.col("e0")).drop("_low")
 
 

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import correlation
+
 
 def describe_shape(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """n, mean, std (n - 1), min, p1, p25, p50, p75, p99, max, and bias-corrected skewness and excess kurtosis."""
@@ -157,8 +159,8 @@ def effective_sample_size(df: DataFrame, column: str, order: str, by: Sequence[s
     """(by, n, r1, n_eff): n (1 - r1) / (1 + r1), r1 the lag-1 correlation of the ordered sample."""
     w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(order)
     base = df.where(F.col(column).isNotNull()).withColumn("_prev", F.lag(column).over(w))
-    got = base.groupBy(*by).agg(F.count("*").alias("n"), F.corr(F.when(F.col("_prev").isNotNull(), F.col(column)), F.col("_prev")).alias("r1"))
-    return got.withColumn("n_eff", F.col("n") * (1 - F.col("r1")) / (1 + F.col("r1")))
+    got = base.groupBy(*by).agg(F.count("*").alias("n"), correlation(F.col(column), F.col("_prev")).alias("r1"))
+    return got.withColumn("n_eff", F.try_divide(F.col("n") * (1 - F.col("r1")), 1 + F.col("r1")))
 
 
 def choose_interval(df: DataFrame, value: str, step: str = "step", choices: Sequence[tuple[float, float]] = ((16.0, 4.0), (8.0, 2.0)), finest: float = 1.0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import solar
+from ..functions.atmosphere import computed
 from ..functions.solar import Site
 from ..operators import calibration, grid, hourly, joins, metrics, quality
 from ..sources import publish, records
@@ -48,7 +49,7 @@ def build_station_archive(raw: DataFrame, rules: ArchiveRules, site: Site, keys:
         df = quality.mask_days(df, days, [*here, "Lw_dw", "Lw_up", "Net_CNR1"], keys, ts)
         df = quality.mask_nocturnal(quality.mask_impossible(df, site, ts), site, here, ts)
     if {"Sw_dw", "Sw_up", "Lw_dw", "Lw_up"} <= set(df.columns):
-        df = quality.close_net_radiation(df, night=solar.elevation(F.col(ts), site) < 0)
+        df = quality.close_net_radiation(computed(df, {"_night": solar.elevation(F.col(ts), site) < 0}), night=F.col("_night")).drop("_night")
     ready = quality.drop_ungated(df)
     values = [f.name for f in ready.schema.fields if f.dataType.typeName() == "double"]
     out = hourly.aggregate_hourly(ready, values, sums=rules.sums, directions=[c for c in rules.directions if c in values], speeds=rules.directions, keys=keys, ts=ts, min_samples=min_samples)
@@ -96,7 +97,7 @@ def ktkd_table(df: DataFrame, site: Site, ghi: str = "Sw_dw", dhi: str = "Sw_dif
     base = quality.prepare_clearness(df, site, ghi, ts)
     base = joins.neighbour_mean(joins.daily_ratio(base, ghi, "e0", keys, ts), "kt", keys, ts)
     mid = F.col(ts) + F.expr("INTERVAL 30 MINUTES")
-    base = base.withColumns({"kd": F.col(dhi) / F.col(ghi), "ast": solar.apparent_solar_time(mid, site), "elevation": solar.elevation(mid, site)})
+    base = computed(base, {"kd": F.try_divide(F.col(dhi), F.col(ghi)), "ast": solar.apparent_solar_time(mid, site), "elevation": solar.elevation(mid, site)})
     kept = base.where((F.col(ghi) > min_ghi) & F.col("kt").between(0, 1.2) & F.col("kd").between(0, 1.2))
     args = [F.col(c) for c in ("kt", "ast", "elevation", "daily_kt", "psi")]
     return kept.withColumns({"marques_filho": solar.marques_filho(args[0]), "lemos": solar.logistic_diffuse(*args, solar.LEMOS), "ridley": solar.logistic_diffuse(*args, solar.RIDLEY)})
@@ -104,7 +105,7 @@ def ktkd_table(df: DataFrame, site: Site, ghi: str = "Sw_dw", dhi: str = "Sw_dif
 
 def radiation_plausibility(df: DataFrame, site: Site, ghi: str = "Sw_dw", dhi: str = "Sw_dif", rain: str = "precip", keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
     """The chained tests of hourly radiation; one row with the survivors after each."""
-    base = df.withColumns({"_e": solar.extraterrestrial(F.col(ts), site), "_el": solar.elevation(F.col(ts), site)})
+    base = computed(df, {"_e": solar.extraterrestrial(F.col(ts), site), "_el": solar.elevation(F.col(ts), site)})
     g, d, e = F.col(ghi), F.col(dhi), F.col("_e")
     w = joins.Window.partitionBy(*keys).orderBy(ts) if keys else joins.Window.partitionBy(F.lit(0)).orderBy(ts)
     next_hour = F.col(ts) == F.lag(ts).over(w) + F.expr("INTERVAL 1 HOUR")

@@ -26,7 +26,7 @@ def export_csv(df: DataFrame, path: str, ts: str = "ts", sep: str = ",", na: str
     off = F.col(ts).isNull() | (F.date_trunc("hour", ts).cast("timestamp_ntz") != F.col(ts))
     stamp = F.when(off, F.raise_error(F.lit("stamps must be whole hours")).cast("timestamp_ntz")).otherwise(F.col(ts))
     head = [fn(stamp).alias(n) for n, fn in (("year", F.year), ("month", F.month), ("day", F.dayofmonth), ("hour", F.hour))] if parts else [F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias(ts)]
-    text = lambda c: F.coalesce(F.format_string(f"%.{decimals}f", finite(F.col(c))), F.lit(na))
+    text = lambda c: F.when(finite(F.col(c)).isNull(), F.lit(na)).otherwise(F.format_string(f"%.{decimals}f", F.col(c).cast("double")))
     numeric = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long")}
     df.select(*head, *[(text(c) if c in numeric else F.col(c)).alias(c) for c in values]).write.mode("overwrite").option("sep", sep).option("header", True).csv(path)
 

@@ -41,7 +41,7 @@ _CACHE = 500_000
 #: What a leet sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 SEPARATORS = ".-_*~'`,"
-_SWAP_COST, _DROP_COST, _KEEP_COST = 0.7, 0.3, 6.0
+_SWAP_COST, _DROP_COST, _KEEP_COST, _BREAK_COST = 0.7, 0.3, 12.0, 3.0
 _SPACED = re.compile(r"(?<![^\s])[^\W\d_](?: [^\W\d_]){2,}(?![^\s])")
 _NOISY = re.compile(r"[^\W\d_].*[0-9@$!|+(€.\-_*~'`,].*[^\W\d_]|^[0-9@$!|+(€]+[^\W\d_]|[^\W\d_][0-9@$!|(€]+$|([^\W\d_])\1\1")
 _EDGES = "\"'.,;:!?()[]{}<>«»“”‘’…*#%&|/\\-_~`^=+"
@@ -147,19 +147,32 @@ class Restorer:
             self.cache[token] = found
         return found
 
-    def spaced(self, text: str) -> list[str]:
-        """Words whose letters stand apart: a run may hold several; the whole run is taken as one."""
-        return [self.model.decode([[(ch, 0.0)] for ch in m.group().replace(" ", "")]) for m in _SPACED.finditer(text)]
+    def spaced(self, text: str) -> list[list[str]]:
+        """The words of each run of letters that stand apart, a run cut into words where that costs least."""
+        out = []
+        for m in _SPACED.finditer(text):
+            letters = m.group().replace(" ", "")
+            lattice = [[(ch, 0.0)] if k == 0 else [(ch, 0.0), (" " + ch, _BREAK_COST)] for k, ch in enumerate(letters)]
+            out.append(self.model.decode(lattice).split())
+        return out
+
+    def guesses(self, text: str) -> set[str]:
+        """Besides those words, the whole run and the run less its first or last letter, which may be a word of its own."""
+        out: set[str] = set()
+        for m, words in zip(_SPACED.finditer(text), self.spaced(text)):
+            letters = m.group().replace(" ", "")
+            out.update(words, (letters, letters[1:], letters[:-1]))
+        return out
 
     def text(self, text: str) -> str:
         """The restored text, for reading."""
-        joined = _SPACED.sub(lambda m: self.spaced(m.group())[0], text.lower())
+        joined = _SPACED.sub(lambda m: " ".join(self.spaced(m.group())[0]), text.lower())
         return " ".join(self.token(t) for t in joined.split())
 
     def words(self, text: str | None) -> set[str]:
         low = (text or "").lower()
         out = {self.token(t) for t in set(low.split())}
-        out.update(self.spaced(low))
+        out.update(self.guesses(low))
         out.discard("")
         return out
 
@@ -193,7 +206,7 @@ class ToxicModel:
                 got = logs(t)
                 if got:
                     found.update(got)
-            for w in restorer.spaced(low):
+            for w in restorer.guesses(low):
                 found.update((f, precision[f]) for f in features(w) if f in precision)
             clean = 1.0 - BASE_SCORE
             for p in found.values():
@@ -223,7 +236,7 @@ def _feature_counts(chars, wanted):
                     for f in features(restorer.token(token)):
                         if f and (known is None or f in known):
                             found[f] = found.get(f, 0) | 1 << (hash_of(before) & 31)
-                for w in restorer.spaced((text or "").lower()):
+                for w in restorer.guesses((text or "").lower()):
                     for f in features(w):
                         if known is None or f in known:
                             found[f] = found.get(f, 0) | 1

@@ -299,7 +299,7 @@ def chars(spark):
     return toxicity.char_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
 
 
-@pytest.mark.parametrize(("raw", "plain"), [("st0p", "stop"), ("w0rthl3ss", "worthless"), ("tr@sh", "trash"), ("l.o.s.e.r", "loser"), ("stuuuupid", "stupid"), ("$tupid", "stupid"), ("plain", "plain"), ("2024", "2024"), ("(word),", "word")])
+@pytest.mark.parametrize(("raw", "plain"), [("d1sgust1ng", "disgusting"), ("w0rthl3ss", "worthless"), ("tr@sh", "trash"), ("l.o.s.e.r", "loser"), ("stuuuupid", "stupid"), ("$tupid", "stupid"), ("plain", "plain"), ("2024", "2024"), ("(word),", "word")])
 def test_deobfuscation(chars, raw, plain):
     assert toxicity.Restorer(chars).token(raw) == plain
 

@@ -400,13 +400,13 @@ _KT = "SELECT event_id, value / 100.0 AS kt, value AS ghi FROM events"
 
 
 @register(f"""WITH k AS ({_KT}), e AS (SELECT *, greatest(0.0, least(1.0, CASE WHEN kt <= 0.22 THEN 1 - 0.09 * kt WHEN kt <= 0.8 THEN 0.9511 - 0.1604 * kt + 4.388 * kt ** 2 - 16.638 * kt ** 3 + 12.336 * kt ** 4 ELSE 0.165 END)) AS kd FROM k)
-    SELECT event_id, round(kd, 6) AS erbs, round(kd * ghi, 7) AS pseudo_diffuse, round(0.13 + 0.86 / (1 + exp(-6.29 + 12.26 * kt)), 6) AS marques_filho,
+    SELECT event_id, round(kd, 6) AS erbs, round(kd * ghi, 9) AS pseudo_diffuse, round(0.13 + 0.86 / (1 + exp(-6.29 + 12.26 * kt)), 6) AS marques_filho,
     round(1 / (1 + exp(-5.38 + 6.63 * kt - 0.006 * 12 - 0.007 * 45 + 1.75 * kt + 1.31 * kt)), 6) AS ridley,
     (CASE WHEN kt <= 0.35 THEN 0 WHEN kt <= 0.55 THEN 1 WHEN kt <= 0.65 THEN 2 ELSE 3 END)::BIGINT AS sky FROM e""")
 def diffuse_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     kt, ghi = F.col("value") / 100.0, F.col("value")
     return table(spark, sf_dir, "events").select(
-        "event_id", r6(solar.erbs(kt)).alias("erbs"), F.round(solar.pseudo_diffuse(ghi, kt), 7).alias("pseudo_diffuse"), r6(solar.marques_filho(kt)).alias("marques_filho"),
+        "event_id", r6(solar.erbs(kt)).alias("erbs"), F.round(solar.pseudo_diffuse(ghi, kt), 9).alias("pseudo_diffuse"), r6(solar.marques_filho(kt)).alias("marques_filho"),
         r6(solar.logistic_diffuse(kt, F.lit(12.0), F.lit(45.0), kt, kt, solar.RIDLEY)).alias("ridley"), solar.sky_class(kt).cast("long").alias("sky"),
     )
 

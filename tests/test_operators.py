@@ -426,7 +426,7 @@ def test_manifest_and_validation(spark):
 
 
 def test_station_archive_end_to_end(spark):
-    rows = [(T0 + dt.timedelta(minutes=5 * k), 25.0 + 0.01 * (k % 7), 300.0, 1.0, 100.0) for k in range(288)]
+    rows = [(T0 + dt.timedelta(minutes=5 * k), 25.0 + 0.01 * (k % 7), 300.0 if 84 <= k < 192 else 0.0, 1.0, 100.0) for k in range(288)]
     raw = spark.createDataFrame(rows, "ts timestamp_ntz, T double, Sw_dw double, RECORD double, WD double")
     raw = raw.withColumn("T", F.when(F.minute("ts") == 15, 99.0).otherwise(F.col("T")))
     rules = pipelines.ArchiveRules(ranges=[("T", -10, 60)], calibrations=[calibration.Calibration("Sw_dw", None, None, 1.5)], directions={"WD": "WS"})

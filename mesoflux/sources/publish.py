@@ -51,7 +51,8 @@ def monitoring_payload(df: DataFrame, values: Mapping[str, str], freq: str, keys
     rows = grid.join(df, [*keys, ts], "left")
     series = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), *[round_for_publication(F.col(c), u).alias(c) for c, u in values.items()])))
     got = rows.groupBy(*keys).agg(series.alias("s"))
-    arrays = F.struct(*[F.transform("s", lambda r, c=c: r[c]).alias(c) for c in values])
+    field = lambda name: lambda r: r[name]
+    arrays = F.struct(*[F.transform("s", field(c)).alias(c) for c in values])
     axis = F.struct(F.get("s", F.lit(0))["t"].alias("start"), F.lit(freq).alias("step"), F.size("s").alias("count"))
     return got.select(*keys, F.to_json(F.struct(axis.alias("axis"), arrays.alias("series")), {"ignoreNullFields": "false"}).alias("value"))
 

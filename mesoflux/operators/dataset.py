@@ -23,7 +23,7 @@ def day_id(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMdd")
 
 
-def sample_id(ts: Column, prefix: str = "allsky") -> Column:
+def sample_id(ts: Column, prefix: str = "sky") -> Column:
     return F.concat(F.lit(prefix + "-"), F.date_format(ts, "yyyyMMdd-HHmm"))
 
 

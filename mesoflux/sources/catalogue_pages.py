@@ -11,7 +11,7 @@ def extract_links(pages: DataFrame, pattern: str, html: str = "html") -> DataFra
     return pages.select("page_id", F.explode(F.regexp_extract_all(html, F.lit(pattern), F.lit(1))).alias("link"))
 
 
-def catalog_days(pages: DataFrame, prefix: str = "allsky", since: str | None = None, until: str | None = None) -> DataFrame:
+def catalog_days(pages: DataFrame, prefix: str = "sky", since: str | None = None, until: str | None = None) -> DataFrame:
     """(day, name): one row a day of ``prefix-YYYYMMDD.mp4`` names; impossible dates are skipped."""
     names = pages.select(F.explode(F.regexp_extract_all("html", F.lit(rf"({prefix}-\d{{8}}\.mp4)"), F.lit(1))).alias("name"))
     days = names.withColumn("day", F.expr("cast(try_to_timestamp(substring(name, -12, 8), 'yyyyMMdd') as date)")).where("day IS NOT NULL")

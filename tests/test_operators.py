@@ -358,7 +358,7 @@ def test_model_records_station_lists_and_rules(spark, tmp_path):
 
 
 def test_catalogue_days_skip_impossible_dates(spark):
-    pages = spark.createDataFrame([(1, "x allsky-20240131.mp4 allsky-20240231.mp4"), (2, "allsky-20240131.mp4 allsky-20240202.mp4"), (3, None)], "page_id int, html string")
+    pages = spark.createDataFrame([(1, "x sky-20240131.mp4 sky-20240231.mp4"), (2, "sky-20240131.mp4 sky-20240202.mp4"), (3, None)], "page_id int, html string")
     assert sorted(str(r.day) for r in catalogue_pages.catalog_days(pages).collect()) == ["2024-01-31", "2024-02-02"]
 
 
@@ -414,7 +414,7 @@ def test_manifest_and_validation(spark):
     frames = spark.createDataFrame([(f"a/{k}.png", noon + dt.timedelta(minutes=5 * k, seconds=20), "v", k) for k in range(4)] + [("b/0.png", noon + dt.timedelta(seconds=20), "v", 0), ("c/0.png", T0, "v", 9)], "frame_path string, ts timestamp_ntz, video string, index long")
     m = dataset.build_manifest(frames, sensor, SITE)
     rows = m.orderBy("ts").collect()
-    assert [r.sample_id for r in rows] == [f"allsky-20240101-11{5 * k:02d}" for k in range(4)]
+    assert [r.sample_id for r in rows] == [f"sky-20240101-11{5 * k:02d}" for k in range(4)]
     assert [r.target_source for r in rows] == ["erbs", "measured"] * 2 and all(r.qc_flags == 0 for r in rows)
     features = [c for c in dataset.feature_columns(sensor, SITE)]
     assert dataset.validate_manifest(m, features).count() == 0

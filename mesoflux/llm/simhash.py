@@ -240,8 +240,11 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     nulls = found.where(F.col("doc_id").isNull()).groupBy("fp").agg(F.min("text_hash").alias("k_hash")).select(
         F.lit(None).cast("long").alias("k_id"), "k_hash"
     )
-    keep = keep.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("k_id"), "k_hash").union(nulls).distinct()
+    keep = keep.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("k_id"), "k_hash").union(nulls)
+    keep = keep.select(F.coalesce("k_id", F.lit(0)).alias("_keep_id"), F.col("k_id").isNull().alias("_keep_null"), F.col("k_hash").alias("_keep_hash")).distinct()
     order = docs.columns
-    hashed = docs.withColumns({"_k_id": F.col("doc_id").cast("long"), "_k_hash": F.xxhash64("text")})
-    once = hashed.join(keep, F.col("_k_id").eqNullSafe(F.col("k_id")) & (F.col("_k_hash") == F.col("k_hash")), "left_semi")
-    return once.dropDuplicates(["_k_id", "_k_hash"]).select(*[F.col(f"`{c}`") for c in order])
+    doc_id = F.col("doc_id").cast("long")
+    hashed = docs.withColumns({"_keep_id": F.coalesce(doc_id, F.lit(0)), "_keep_null": doc_id.isNull(), "_keep_hash": F.xxhash64("text")})
+    # plain equality on all three keys, so that dropping repeats needs no further shuffle of the texts
+    once = hashed.join(keep, ["_keep_id", "_keep_null", "_keep_hash"], "left_semi").dropDuplicates(["_keep_id", "_keep_null", "_keep_hash"])
+    return once.select(*[F.col(f"`{c}`") for c in order])

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from mesoflux.llm import fuzzy_lines, importance_sampling, language_id, packing, quality_rules, queries, simhash, toxicity, winnowing
+from mesoflux.llm._common import materialize
 
 # -- quality rules --------------------------------------------------------------------------------------------------------------
 
@@ -476,6 +477,24 @@ def test_fuzzy_lines_recall_of_the_bands(spark):
     assert all(got[2 * k + 1] == 0 for k in range(300) if k not in close)
 
 
+def test_fuzzy_lines_link_pairs_within_a_hot_band(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    passage = " ".join(word() for _ in range(60))
+    rows = []
+    for k in range(150):  # the passage is common to all lines, a tail to two of them
+        tail = [word() for _ in range(20)]
+        rows += [(2 * k, f"{passage} {' '.join(tail)}"), (2 * k + 1, f"{passage} {' '.join(tail[:-1])} {word()}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = docs.select("doc_id", F.xxhash64(F.lower("text")).alias("line_hash"))
+    found = materialize(lines.select("line_hash", F.array(F.lit(1).cast("long")).alias("keys")), "hot-band")  # one band holds them all
+    ids = {r.line_hash: r.doc_id for r in lines.collect()}
+    pairs = {tuple(sorted((ids[r.x], ids[r.y]))) for r in fuzzy_lines.links(docs, found).collect()}
+    assert pairs == {(2 * k, 2 * k + 1) for k in range(150)}
+    got = {r.doc_id: r.n_dropped for r in fuzzy_lines.deduplicate(docs).collect()}
+    assert sum(got[2 * k + 1] for k in range(150)) >= 0.95 * 150 and not any(got[2 * k] for k in range(150))
+
+
 def test_fuzzy_lines_odd_input(spark, odd, empty):
     got = fuzzy_lines.deduplicate(odd)
     assert got.columns == [*odd.columns, "n_lines", "n_dropped"]

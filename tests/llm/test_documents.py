@@ -495,6 +495,25 @@ def test_fuzzy_lines_link_pairs_within_a_hot_band(spark):
     assert sum(got[2 * k + 1] for k in range(150)) >= 0.95 * 150 and not any(got[2 * k] for k in range(150))
 
 
+@pytest.mark.parametrize("spaces", [True, False])
+def test_fuzzy_lines_recall_of_scattered_letters(spark, spaces):
+    rng = random.Random(11)
+    letters = "abcdefghij   " if spaces else "กขคงจฉชซญดตถทธนบปผพ"
+    rows = []
+    for k in range(2000):
+        n = rng.choice([60, 100, 200, 400])
+        line = list("x" + "".join(rng.choices(letters, k=n - 2)) + "x")
+        other = list(line)
+        for j in rng.sample(range(5, n - 5), n // 46):
+            other[j] = "z" if spaces else "ฮ"
+        rows.append(("".join(line), "".join(other)))
+    sets = [[{t[i : i + 5] for i in range(len(t) - 4)} for t in r] for r in rows]
+    close = [r for r, (a, b) in zip(rows, sets) if 0.8 * len(a | b) <= len(a & b) <= 0.85 * len(a | b)]
+    keys = fuzzy_lines.band_keys
+    met = spark.createDataFrame(close, "a string, b string").where(F.arrays_overlap(keys(F.col("a")), keys(F.col("b")))).count()
+    assert len(close) > 400 and met >= 0.95 * len(close), (met, len(close))
+
+
 def test_fuzzy_lines_odd_input(spark, odd, empty):
     got = fuzzy_lines.deduplicate(odd)
     assert got.columns == [*odd.columns, "n_lines", "n_dropped"]

@@ -213,15 +213,15 @@ def _solve(t: dict[str, np.ndarray], cuts: np.ndarray, radius: int) -> pa.Record
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, spare: int = SPARE, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_hash, fp, component_id (the smallest doc_id reachable over links)."""
+    """One row per row of ``docs``: doc_id, text_hash, fp, component_id (the smallest doc_id reachable over links), root (its fingerprint)."""
     marked = materialize(fingerprints(docs, shingle), "simhash")
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     roots = connected_components(links(distinct.select("fp"), radius, spare, chunk), "a", "b")
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id")).select(rekey(F.col("root")).alias("r"), "component_id")
-    named = rooted.join(lows, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
+    named = rooted.join(lows, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id", "root")
     named = materialize(named, "simhash-components")
-    return marked.join(named, F.col("fp") == F.col("f")).select("doc_id", "text_hash", "fp", "component_id")
+    return marked.join(named, F.col("fp") == F.col("f")).select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def hex_fingerprint(col):
@@ -235,12 +235,8 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     component of null doc_ids keeps one row of one text.
     """
     found = near_duplicates(docs, **params).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.groupBy("component_id", "doc_id").agg(F.min("text_hash").alias("k_hash"))
-    # a component of null ids has no name of its own: its texts are told apart by fingerprint
-    nulls = found.where(F.col("doc_id").isNull()).groupBy("fp").agg(F.min("text_hash").alias("k_hash")).select(
-        F.lit(None).cast("long").alias("k_id"), "k_hash"
-    )
-    keep = keep.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("k_id"), "k_hash").union(nulls)
+    # by root: components whose smallest ids are equal or null are told apart by it
+    keep = found.groupBy("root").agg(F.min("doc_id").alias("k_id"), F.min("text_hash").alias("k_hash"))
     keep = keep.select(F.coalesce("k_id", F.lit(0)).alias("_keep_id"), F.col("k_id").isNull().alias("_keep_null"), F.col("k_hash").alias("_keep_hash")).distinct()
     order = docs.columns
     doc_id = F.col("doc_id").cast("long")

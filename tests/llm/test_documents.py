@@ -237,6 +237,12 @@ def test_simhash_keep_one(spark, odd, empty):
 # -- winnowing --------------------------------------------------------------------------------------------------------------------
 
 
+def test_simhash_keep_one_of_a_shared_id_in_two_components(spark):
+    rows = [(1, "a b c d e f g h"), (1, "p q r s t u v w x y"), (2, "a b c d e f g h"), (None, "k l m n o"), (None, "z y x w v u")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "k l m n o"), (0, "z y x w v u"), (1, "a b c d e f g h"), (1, "p q r s t u v w x y")]
+
+
 def contamination_brute(text, items):
     low = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     w, hit, found = low(text), set(), set()

@@ -22,10 +22,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, materialize, rekey
+from . import fuzzy_lines
+from ._common import SPACE_CLASS, connected_components, materialize, rekey
 
 SHINGLE = 3
 RADIUS = 3
@@ -212,11 +213,19 @@ def _solve(t: dict[str, np.ndarray], cuts: np.ndarray, radius: int) -> pa.Record
 # -- the operator ---------------------------------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, spare: int = SPARE, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_hash, fp, component_id (the smallest doc_id reachable over links), root (its fingerprint)."""
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, spare: int = SPARE, shingle: int = SHINGLE, chunk: int = CHUNK, further: DataFrame | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_hash, fp, component_id (the smallest doc_id reachable over links), root (its fingerprint).
+
+    ``further``: links (x, y) between texts, by their hashes, beside those between fingerprints.
+    """
     marked = materialize(fingerprints(docs, shingle), "simhash")
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    roots = connected_components(links(distinct.select("fp"), radius, spare, chunk), "a", "b")
+    edges = links(distinct.select("fp"), radius, spare, chunk)
+    if further is not None:
+        of = marked.groupBy("text_hash").agg(F.min("fp").alias("fp"))
+        a, b = [of.select(rekey(F.col("text_hash")).alias("h" + s), F.col("fp").alias(s)) for s in "ab"]
+        edges = edges.union(further.join(a, F.col("x") == F.col("ha")).join(b, F.col("y") == F.col("hb")).select("a", "b"))
+    roots = connected_components(edges, "a", "b")
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id")).select(rekey(F.col("root")).alias("r"), "component_id")
     named = rooted.join(lows, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id", "root")
@@ -224,6 +233,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, spare: int = SPARE, s
     return marked.join(named, F.col("fp") == F.col("f")).select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
+def word_shingles(text: Column, n: int = 5) -> Column:
+    """The distinct n-word shingles of a text; one of all its words where they are fewer; none without a word."""
+    words = F.filter(F.split(F.lower(text), SPACE_CLASS), lambda w: w != "")
+    last = lambda ws: F.greatest(F.size(ws) - n + 1, F.least(F.size(ws), F.lit(1)))
+    runs = lambda ws: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(last(ws), F.lit(1))), lambda i: i <= last(ws)), lambda i: F.array_join(F.slice(ws, i, n), " "))
+    return F.array_distinct(F.get(F.transform(F.array(words), runs), F.lit(0)))
+
+
+def shingle_links(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(x, y): hashes of texts whose 5-word shingles have that Jaccard similarity, found in bands and verified exactly."""
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("text").alias("norm"))
+    keys = fuzzy_lines.band_keys(F.col("norm"), split=word_shingles)
+    found = materialize(texts.select(F.xxhash64("norm").alias("line_hash"), keys.alias("keys")), "simhash-bands")
+    return materialize(fuzzy_lines.links(texts, found, similarity, split=word_shingles), "simhash-shingle-links")
+
+
 def hex_fingerprint(col):
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 

@@ -234,6 +234,21 @@ def test_simhash_keep_one(spark, odd, empty):
     assert sorted(r.text for r in simhash.keep_one(nulls).collect()) == ["a b c d", "x y z w v"]
 
 
+def test_near_dedup_stage_links_word_shingles_at_080(spark, sf):
+    import corpus_pipeline
+
+    rng, rows = random.Random(9), []
+    voc = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(5000)]
+    for k in range(60):
+        words = rng.choices(voc, k=200)
+        other = list(words)
+        for j in (30, 90, 150):
+            other[j] = rng.choice(voc)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()}
+    assert all(2 * k in kept for k in range(60)) and sum(2 * k + 1 not in kept for k in range(60)) >= 57, len(kept)
+
+
 # -- winnowing --------------------------------------------------------------------------------------------------------------------
 
 
@@ -495,7 +510,7 @@ def test_fuzzy_lines_link_pairs_within_a_hot_band(spark):
     lines = docs.select("doc_id", F.xxhash64(F.lower("text")).alias("line_hash"))
     found = materialize(lines.select("line_hash", F.array(F.lit(1).cast("long")).alias("keys")), "hot-band")  # one band holds them all
     ids = {r.line_hash: r.doc_id for r in lines.collect()}
-    pairs = {tuple(sorted((ids[r.x], ids[r.y]))) for r in fuzzy_lines.links(docs, found).collect()}
+    pairs = {tuple(sorted((ids[r.x], ids[r.y]))) for r in fuzzy_lines.links(docs.select(F.lower("text").alias("norm")), found).collect()}
     assert pairs == {(2 * k, 2 * k + 1) for k in range(150)}
     got = {r.doc_id: r.n_dropped for r in fuzzy_lines.deduplicate(docs).collect()}
     assert sum(got[2 * k + 1] for k in range(150)) >= 0.95 * 150 and not any(got[2 * k] for k in range(150))

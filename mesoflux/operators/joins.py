@@ -68,19 +68,47 @@ def interval_join(rows: DataFrame, rules: DataFrame, key: str, ts: str = "ts", s
     return rows.withColumn("_rb", day(F.col(ts))).join(wide, (F.col(key) == F.col("_key")) & (F.col("_rb") == F.col("_b")) & inside, how).drop("_key", "_b", "_rb")
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, lat: str = "lat", lon: str = "lon", max_points: int = 100_000) -> DataFrame:
-    """``points`` with the y, x of the nearest cell (by the hypotenuse of degrees; the first in row order on ties) and km.
+def nearest_cell(points: DataFrame, cells: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """``points`` with the y, x of the nearest cell (by the hypotenuse of degrees; the least y, x on ties) and km.
 
-    The points, a bounded station list, are broadcast against the grid; each task keeps its own nearest before the shuffle.
+    Distinct places of both sides meet by an equi-join on square tiles. A place is settled once its nearest cell is no farther than
+    the rings of tiles that were searched; for the others the rings are doubled. Every row of ``points`` stays, repeated ones too;
+    where there is no place or no cell, y, x and km are null.
     """
-    if points.limit(max_points + 1).count() > max_points:
-        raise ValueError(f"over {max_points} points; join them by grid tiles first")
-    named = points.withColumn("_id", F.xxhash64(*[F.col(c) for c in points.columns]))
-    near = cells.select(F.col(lat).alias("_clat"), F.col(lon).alias("_clon"), "y", "x").join(F.broadcast(named), how="cross")
-    d = F.sqrt(F.pow(F.col("_clat") - F.col(lat), 2) + F.pow(F.col("_clon") - F.col(lon), 2))
-    best = near.groupBy(*[F.col(c) for c in points.columns]).agg(F.min(F.struct(d.alias("d"), F.col("y"), F.col("x"), F.col("_clat"), F.col("_clon"))).alias("b"))
+    sites = cells.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(F.col(lat).cast("double").alias("_clat"), F.col(lon).cast("double").alias("_clon"))
+    sites = sites.agg(F.min(F.struct("y", "x")).alias("_c"))
+    places = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(lat).cast("double").alias("_plat"), F.col(lon).cast("double").alias("_plon")).distinct()
+    box = sites.agg(F.count("*").alias("n"), *[f(c).alias(k) for k, f, c in (("s", F.min, "_clat"), ("n_", F.max, "_clat"), ("w", F.min, "_clon"), ("e", F.max, "_clon"))]).first()
+    found = None
+    if box.n:
+        tall, wide = box.n_ - box.s, box.e - box.w
+        side = max((tall * wide / box.n) ** 0.5 * 2, max(tall, wide) * 2 / box.n, 1e-9)  # a few cells a tile
+        rows, columns = int(tall // side) + 1, int(wide // side) + 1
+        tile = lambda c, low: F.floor((F.col(c) - low) / side)
+        tiled = sites.withColumns({"_ti": tile("_clat", box.s), "_tj": tile("_clon", box.w)})
+        rest, ring = places, 1
+        while True:
+            last = ring >= max(rows, columns)
+            # beyond the grid the last rings are counted from its edge, so that they hold the whole grid
+            i, j = [F.least(F.greatest(tile(c, low), F.lit(0)), F.lit(most)) if last else tile(c, low) for c, low, most in (("_plat", box.s, rows), ("_plon", box.w, columns))]
+            span = lambda t, most: F.sequence(F.greatest(t - ring, F.lit(0).cast("long")), F.least(t + ring, F.lit(most).cast("long")))
+            near = rest.withColumns({"_i": i, "_j": j}).where((F.col("_i") + ring >= 0) & (F.col("_i") - ring <= rows) & (F.col("_j") + ring >= 0) & (F.col("_j") - ring <= columns))
+            near = near.withColumn("_ti", F.explode(span(F.col("_i"), rows))).withColumn("_tj", F.explode(span(F.col("_j"), columns))).drop("_i", "_j")
+            d = F.sqrt(F.pow(F.col("_clat") - F.col("_plat"), 2) + F.pow(F.col("_clon") - F.col("_plon"), 2))
+            best = near.join(tiled, ["_ti", "_tj"]).groupBy("_plat", "_plon").agg(F.min(F.struct(d.alias("d"), F.col("_c.y"), F.col("_c.x"), "_clat", "_clon")).alias("b"))
+            settled = best if last else best.where(F.col("b.d") < ring * side * (1 - 1e-9))
+            found = settled if found is None else found.union(settled)
+            if last:
+                break
+            rest = rest.join(settled.select("_plat", "_plon"), ["_plat", "_plon"], "left_anti")
+            if rest.isEmpty():
+                break
+            ring *= 2
+    else:
+        found = places.withColumn("b", F.lit(None).cast("struct<d:double,y:bigint,x:bigint,_clat:double,_clon:double>"))
     km = F.sqrt(F.pow((F.col("b._clat") - F.col(lat)) * 111.32, 2) + F.pow((F.col("b._clon") - F.col(lon)) * 111.32 * F.cos(F.radians(lat)), 2))
-    return best.select(*points.columns, F.col("b.y").alias("y"), F.col("b.x").alias("x"), km.alias("distance_km"))
+    joined = points.join(found, (F.col(lat).cast("double") == F.col("_plat")) & (F.col(lon).cast("double") == F.col("_plon")), "left")
+    return joined.select(*points.columns, F.col("b.y").alias("y"), F.col("b.x").alias("x"), km.alias("distance_km"))
 
 
 def assign_domains(stations: DataFrame, domains: DataFrame) -> DataFrame:

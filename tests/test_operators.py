@@ -451,3 +451,15 @@ def test_ktkd_and_plausibility(spark):
     assert t.count() == 24 and t.where("kd <> 0.25 OR psi IS NULL OR daily_kt IS NULL").count() == 0
     p = pipelines.radiation_plausibility(df, SITE).first()
     assert p["all"] == 72 and p.rain == 72 and p.diffuse_change <= p.elevation < 72
+
+
+def test_nearest_cell_takes_any_number_of_points_and_repeated_ones(spark):
+    cells = spark.range(400).selectExpr("id % 20 AS y", "id div 20 AS x", "(id * 7 % 101) / 10.0D AS lat", "(id * 11 % 103) / 10.0D AS lon")
+    sites = [(r.lat, r.lon, r.y, r.x) for r in cells.collect()]
+    places = [((k * 37 % 100) / 10.0, (k * 53 % 97) / 10.0) for k in range(40)] + [(-30.0, 5.0), (300.0, -70.0), (1.0, 1.0), (1.0, 1.0)]
+    got = joins.nearest_cell(spark.createDataFrame(places, "lat double, lon double"), cells).collect()
+    assert len(got) == len(places)
+    for r in got:
+        assert (r.y, r.x) == min((((a - r.lat) ** 2 + (o - r.lon) ** 2) ** 0.5, y, x) for a, o, y, x in sites)[1:]
+    many = spark.range(100_500).selectExpr("id", "id % 100 / 10.0D AS lat", "id % 70 / 10.0D AS lon")
+    assert joins.nearest_cell(many, cells).where("y IS NOT NULL").count() == 100_500

@@ -535,6 +535,12 @@ def test_fuzzy_lines_recall_of_scattered_letters(spark, spaces):
     assert len(close) > 400 and met >= 0.95 * len(close), (met, len(close))
 
 
+def test_similar_lines_of_very_unlike_lengths(spark):
+    lines = spark.createDataFrame([("ab cd ef " * 4,), ("ab cd ef " * 40,)], "norm string")
+    x, y = sorted(r[0] for r in lines.select(F.xxhash64("norm")).collect())
+    assert fuzzy_lines.similar(lines, spark.createDataFrame([(x, y)], "x long, y long")).count() == 1
+
+
 def test_fuzzy_lines_odd_input(spark, odd, empty):
     got = fuzzy_lines.deduplicate(odd)
     assert got.columns == [*odd.columns, "n_lines", "n_dropped"]

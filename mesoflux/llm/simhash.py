@@ -234,19 +234,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, spare: int = SPARE, s
 
 
 def word_shingles(text: Column, n: int = 5) -> Column:
-    """The distinct n-word shingles of a text; one of all its words where they are fewer; none without a word."""
-    words = F.filter(F.split(F.lower(text), SPACE_CLASS), lambda w: w != "")
-    last = lambda ws: F.greatest(F.size(ws) - n + 1, F.least(F.size(ws), F.lit(1)))
-    runs = lambda ws: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(last(ws), F.lit(1))), lambda i: i <= last(ws)), lambda i: F.array_join(F.slice(ws, i, n), " "))
-    return F.array_distinct(F.get(F.transform(F.array(words), runs), F.lit(0)))
+    """Hashes of the n-word shingles of a text; one of all its words where they are fewer; none without a word."""
+    words = F.array_remove(F.split(F.lower(text), SPACE_CLASS), "")
+    hashed = lambda ws, i: F.xxhash64(*[F.get(ws, i + k) for k in range(n)])
+    runs = lambda ws: F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda w, i: hashed(ws, i))
+    return F.get(F.transform(F.array(words), runs), F.lit(0))
 
 
 def shingle_links(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(x, y): hashes of texts whose 5-word shingles have that Jaccard similarity, found in bands and verified exactly."""
-    texts = docs.where(F.col("text").isNotNull()).select(F.col("text").alias("norm"))
-    keys = fuzzy_lines.band_keys(F.col("norm"), split=word_shingles)
-    found = materialize(texts.select(F.xxhash64("norm").alias("line_hash"), keys.alias("keys")), "simhash-bands")
-    return materialize(fuzzy_lines.links(texts, found, similarity, split=word_shingles), "simhash-shingle-links")
+    texts = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("h"), F.col("text").alias("norm"))
+    keys = fuzzy_lines.set_keys(word_shingles(F.col("norm")))
+    distinct = materialize(texts.select(F.col("h").alias("line_hash"), keys.alias("keys")).distinct(), "simhash-bands")
+    return materialize(fuzzy_lines.links(texts, distinct, similarity, split=word_shingles), "simhash-shingle-links")
 
 
 def hex_fingerprint(col):

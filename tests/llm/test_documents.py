@@ -433,8 +433,8 @@ def test_packing_odd_input(spark, odd, empty):
 
 
 def lines_brute(rows, threshold=0.8):
-    norm = lambda x: x.strip(" ").lower()
-    texts = sorted({norm(x) for _, t in rows if t is not None for x in t.split("\n") if len(norm(x)) >= fuzzy_lines.MIN_CHARS})
+    norm = lambda x: x.strip(" \t\n\x0b\x0c\r").lower()
+    texts = sorted({norm(x) for _, t in rows if t is not None for x in t.split("\n") if norm(x)})
     sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in texts]
     parent = {t: t for t in texts}
 
@@ -446,7 +446,7 @@ def lines_brute(rows, threshold=0.8):
     for i in range(len(texts)):
         for j in range(i):
             common = len(sets[i] & sets[j])
-            if common >= threshold * (len(sets[i]) + len(sets[j]) - common):
+            if common and common >= threshold * (len(sets[i]) + len(sets[j]) - common):
                 parent[root(texts[i])] = root(texts[j])
     keeper = {}
     for i, t in rows:
@@ -479,6 +479,8 @@ def test_fuzzy_lines_match_brute_force(spark, sf):
     got = {r.doc_id: r.text for r in fuzzy_lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     wrong = [i for i in want if want[i] != got[i]]
     assert len(wrong) <= 0.01 * len(rows), wrong  # bands miss a few links by design
+    count = lambda t: collections.Counter((t or "").split("\n"))
+    assert all(count(want[i]) <= count(got[i]) for i in want)  # but no line goes that should stay
     assert all(base[:20] not in got[5000 + k] for k in range(1, 8)) and base[:20] in got[5000]
 
 
@@ -507,10 +509,10 @@ def test_fuzzy_lines_link_pairs_within_a_hot_band(spark):
         tail = [word() for _ in range(20)]
         rows += [(2 * k, f"{passage} {' '.join(tail)}"), (2 * k + 1, f"{passage} {' '.join(tail[:-1])} {word()}")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    lines = docs.select("doc_id", F.xxhash64(F.lower("text")).alias("line_hash"))
-    found = materialize(lines.select("line_hash", F.array(F.lit(1).cast("long")).alias("keys")), "hot-band")  # one band holds them all
-    ids = {r.line_hash: r.doc_id for r in lines.collect()}
-    pairs = {tuple(sorted((ids[r.x], ids[r.y]))) for r in fuzzy_lines.links(docs.select(F.lower("text").alias("norm")), found).collect()}
+    lines = docs.select("doc_id", F.lower("text").alias("norm"), F.xxhash64(F.lower("text")).alias("h"))
+    found = materialize(lines.select(F.col("h").alias("line_hash"), F.array(F.lit(1).cast("long")).alias("keys")), "hot-band")  # one band holds them all
+    ids = {r.h: r.doc_id for r in lines.collect()}
+    pairs = {tuple(sorted((ids[r.x], ids[r.y]))) for r in fuzzy_lines.links(lines.select("h", "norm"), found).collect()}
     assert pairs == {(2 * k, 2 * k + 1) for k in range(150)}
     got = {r.doc_id: r.n_dropped for r in fuzzy_lines.deduplicate(docs).collect()}
     assert sum(got[2 * k + 1] for k in range(150)) >= 0.95 * 150 and not any(got[2 * k] for k in range(150))
@@ -536,11 +538,47 @@ def test_fuzzy_lines_recall_of_scattered_letters(spark, spaces):
 
 
 def test_similar_lines_of_very_unlike_lengths(spark):
-    lines = spark.createDataFrame([("ab cd ef " * 4,), ("ab cd ef " * 40,)], "norm string")
-    x, y = sorted(r[0] for r in lines.select(F.xxhash64("norm")).collect())
+    lines = spark.createDataFrame([("ab cd ef " * 4,), ("ab cd ef " * 40,)], "norm string").withColumn("h", F.xxhash64("norm"))
+    x, y = sorted(r.h for r in lines.collect())
     assert fuzzy_lines.similar(lines, spark.createDataFrame([(x, y)], "x long, y long")).count() == 1
 
 
+def edited(rng, line, letters, n):
+    out = list(line)
+    for j in rng.sample(range(5, len(out) - 5), n):
+        out[j] = letters
+    return "".join(out)
+
+
+def jaccard(a, b, n=5):
+    x, y = ({t[i : i + n] for i in range(len(t) - n + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_fuzzy_lines_recall_of_short_lines_and_in_hot_bands(spark):
+    rng = random.Random(3)
+    rows, close = [], {}
+    passage = "".join(rng.choices("abcdefghij  ", k=220))
+    for k in range(1400):
+        if k < 700:  # lines of under 80 characters, at the threshold
+            line, edits = "".join(rng.choices("abcdefghijklm  ", k=rng.randint(60, 79))), 1
+        else:  # 1,400 lines that share a passage, two by two similar
+            line, edits = passage + "".join(rng.choices("klmnopqrst  ", k=140)), rng.randint(6, 8)
+        other = edited(rng, line, "z", edits)
+        close[k] = 0.8 <= jaccard(line.strip(), other.strip()) <= 0.86
+        rows += [(2 * k, line), (2 * k + 1, other)]
+    got = {r.doc_id: r.n_dropped for r in fuzzy_lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for low, high in ((0, 700), (700, 1400)):
+        some = [k for k in range(low, high) if close[k]]
+        assert len(some) > 200 and sum(got[2 * k] + got[2 * k + 1] >= 1 for k in some) >= 0.95 * len(some)
+
+
+def test_short_lines_are_grouped_by_equality(spark):
+    rows = [(1, "Read more\nabc\nalpha"), (2, "read more \nabd\nbeta"), (3, "\tRead more\nabc\n  \n\n  ")]
+    got = {r.doc_id: r.text for r in fuzzy_lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "Read more\nabc\nalpha", 2: "abd\nbeta", 3: "  \n\n  "}
+
+
 def test_fuzzy_lines_odd_input(spark, odd, empty):
     got = fuzzy_lines.deduplicate(odd)
     assert got.columns == [*odd.columns, "n_lines", "n_dropped"]

@@ -6,9 +6,12 @@ rows with the largest sums are a sample without replacement by weight.
 
 The k-th largest sum is found by narrowing a histogram, so no task or driver sees the ranking as a whole.
 
-Odd input: null and empty texts have log weight 0. Rows equal in id and text draw the same noise and are chosen together, so the
-sample may exceed k by such ties. An empty table gives an empty result; without target rows all weights are 0. Columns with the
-names made here are replaced.
+The target model is fitted on a sample of about ``TARGET_ROWS`` target rows, spread by hash over all of them, so that their ids may be
+broadcast and no text ever crosses an exchange; the raw model, the weights and the ranking cover every row.
+
+Odd input: null and empty texts have log weight 0. Sums are ranked to six decimals; ties at the bar, such as rows equal in id and text,
+which draw the same noise, are chosen together, so the sample may exceed k by them. An empty table gives an empty result; without
+target rows all weights are 0. Null target ids mark nothing. Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -20,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import extended, materialize
+from ._common import extended, materialize, sampled
 from .winnowing import _parts, grams, word_hashes
 
 BUCKETS = 10_000
 SHARE = 0.5
+#: Target rows that the target model is fitted on, at most; the bound makes their ids (8 bytes each) fit for a broadcast.
+TARGET_ROWS = 200_000
 SEED = 7
 _SCALE = 1_000_000  # sums are ranked to six decimals
 _BINS = 4096
@@ -114,13 +119,18 @@ def kth_largest(ranks: DataFrame, col: str, k: int) -> int | None:
     return low
 
 
-def resample(docs: DataFrame, target_ids: DataFrame, share: float = SHARE, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
-    """(doc_id, log_weight, gumbel_key, selected) of every row. ``target_ids``: distinct doc_id of target rows."""
-    marks = target_ids.select(F.col("doc_id").alias("_t")).where(F.col("_t").isNotNull()).distinct()
+def mark(docs: DataFrame, target_ids: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """(text, is_target) of every row; ``target_rows`` bounds the marked ids."""
+    ids = target_ids.select(F.col("doc_id").cast("long").alias("target_id")).where("target_id IS NOT NULL").distinct()
+    some = F.broadcast(sampled(ids, F.lit(1), target_rows))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.join(some, F.col("doc_id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("is_target"))
+
+
+def resample(docs: DataFrame, target_ids: DataFrame, share: float = SHARE, seed: int = SEED, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """(doc_id, log_weight, gumbel_key, selected) of every row. ``target_ids``: doc_id of target rows, repeats allowed."""
     rows = docs.select("doc_id", "text")
-    # the marks carry no text, and the join needs the flag for the counts only
-    flagged = rows.join(marks, F.col("doc_id") == F.col("_t"), "left").select("text", F.col("_t").isNotNull().alias("is_target"))
-    weighed = weigh(rows, log_ratios(flagged, buckets))
+    weighed = weigh(rows, log_ratios(mark(docs, target_ids, target_rows), buckets))
     keyed = weighed.select("doc_id", "log_weight", F.round((F.col("log_weight") + gumbel(seed, "doc_id", "text")) * _SCALE).cast("long").alias("rank"))
     keyed = materialize(keyed, "resample")
     bar = kth_largest(keyed, "rank", math.ceil(share * keyed.count()))

@@ -1,6 +1,7 @@
 """Operators on documents: brute-force versions and odd input."""
 
 import collections
+import math
 import random
 import re
 import zlib
@@ -129,6 +130,56 @@ def test_resample_weights_and_selection(spark):
         assert r.log_weight == pytest.approx(sum(ratios[int(g % np.uint64(importance_sampling.BUCKETS))] for g in grams))
 
 
+def resample_brute(rows, target, share=0.5, buckets=10_000, seed=7):
+    """Counts, ratios, Gumbel keys and choice in plain Python; (doc_id, key, chosen)."""
+    big = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & big
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & big
+        return x ^ x >> 31
+
+    def word(w):
+        return mix(sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(w.encode())) + len(w.encode()) & big)
+
+    def found(text):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        ws = [word(w) for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)]
+        return [h % buckets for h in [*ws, *[mix((a * 0xC2B2AE3D27D4EB4F + b) + 2 & big) for a, b in zip(ws, ws[1:])]]]
+
+    grams = [found(t) for _, t in rows]
+    raw, good = collections.Counter(), collections.Counter()
+    for (i, _), g in zip(rows, grams):
+        raw.update(g)
+        good.update(g if i in target else ())
+    weight = lambda b: math.log((good[b] + 1) / (good.total() + buckets)) - math.log((raw[b] + 1) / (raw.total() + buckets))
+    keys = []
+    for (i, t), g in zip(rows, grams):
+        h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)
+        h = xxhash.xxh64_intdigest(i.to_bytes(8, "little"), h)
+        h = xxhash.xxh64_intdigest((t or "").encode(), h) if t is not None else h
+        u = ((h - (1 << 64) if h >> 63 else h) % (1 << 53) + 0.5) / (1 << 53)
+        keys.append((sum(map(weight, g)) - math.log(-math.log(u)), i))
+    chosen = {i for _, i in sorted(keys, reverse=True)[: math.ceil(share * len(rows))]}
+    return {i: (k, i in chosen) for k, i in keys}
+
+
+def test_resample_query_matches_brute_force(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    target = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
+    want = resample_brute(docs, target)
+    got = {r.doc_id: r for r in queries.op4_resample(spark, sf).collect()}
+    assert set(got) == set(want)
+    for i, (key, chosen) in want.items():
+        assert got[i].gumbel_key == pytest.approx(key, abs=1e-5) and got[i].selected == chosen
+
+
+def test_resample_shuffles_no_text(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = importance_sampling.mark(docs, docs.select("doc_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 @settings(max_examples=8, deadline=None)
 @given(values=st.lists(st.integers(-(10**12), 10**12), min_size=1, max_size=40), k=st.integers(1, 45))
 def test_kth_largest(spark, values, k):

@@ -5,6 +5,7 @@ Nothing outside this subpackage imports it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,9 +35,11 @@ def extended(df: DataFrame, ddl: str) -> StructType:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh temporary one where none is set, as in tests."""
+    """The folder that driver and executors share. Where none is set, a session in one process gets a temporary one; a cluster is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="mesoflux-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -46,14 +49,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Cut the lineage: write to the shared folder and read it back, so that lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing refers to any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted`` with as many underscores as it takes to differ from all columns of ``df``, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def rekey(col: Column) -> Column:
     """A join key equal to ``col`` that Spark can't recognise as the partitioning of an aggregate.
 
@@ -68,13 +85,14 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each round links every node to the least node that
     it can see, in O(log^2 n) rounds. All work is joins and aggregates; hot nodes are split by adaptive skew joins; a
-    round's edges are written to the shared folder. Null ends and self links are ignored; nodes without a link don't appear.
+    round's edges are written to the shared folder and deleted after the next. Null ends and self links are ignored; nodes without a link don't appear.
     """
     pair = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").where(
         F.col("u").isNotNull() & F.col("v").isNotNull()
     )
     # greatest/least skip nulls, so a null end turns into a self link, which "u > v" removes
-    now = materialize(pair.distinct(), "edges")
+    spark, path = edges.sparkSession, scratch_path(edges.sparkSession, "edges")
+    now = materialize(pair.distinct(), "edges", path)
     mark = None
     for _ in range(max_rounds):
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -88,7 +106,9 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         keyed = low.select(rekey(F.col("u")).alias("k"), "m")
         small = large.join(keyed, F.col("u") == F.col("k")).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, path = path, scratch_path(spark, "edges")
+        now = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges", path)
+        discard(spark, old)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

@@ -7,8 +7,9 @@ trees of all languages are merged into one tree whose nodes hold the exact code
 and a text's bytes are looked up all at once. The language of the least total code length wins; the score is its posterior
 probability under equal priors.
 
-Training counts come from a sample of about ``TRAIN_BYTES`` bytes of each language, spread over all training rows, and the merged
-tree keeps the ``NODES`` most frequent contexts; both bound what reaches the driver. All else runs over whole texts.
+Training counts come from a sample of about ``TRAIN_BYTES`` bytes of each language, ``ALL_BYTES`` in all, drawn as pieces of ``PIECE``
+characters by hash over all training rows, so that a language of a few long texts is drawn from like any other. That bounds what
+reaches the driver; every context of the sample stays, however rare. All else runs over whole texts.
 
 Odd input: a null text, or one without a letter, is ``und`` with score 0, and so is everything if no language was learned. Null
 texts and null languages teach nothing. Ties go to the language first in alphabetical order. Rows are judged one by one.
@@ -21,19 +22,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import extended, sampled
+from ._common import extended
 
-ORDER = 4
+ORDER = 3
 TRAIN_BYTES = 1_500_000
-NODES = 12_000
-MIN_COUNT = 2
-_LETTER = re.compile(r"[^\W\d_]")
+ALL_BYTES = 24_000_000
+PIECE = 2048
+_PLAIN = re.compile("[A-Za-z]")
 _SLICE = 1 << 19
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter; superscripts, fractions and circled digits are none."""
+    return bool(text) and (_PLAIN.search(text) is not None or any(map(str.isalpha, text)))
+
+
 def _bytes(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass")
 
@@ -99,7 +105,7 @@ class Model:
         return total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        known = [k for k, t in enumerate(texts) if t and _LETTER.search(t)]
+        known = [k for k, t in enumerate(texts) if has_letter(t)]
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if known and self.langs:
             bits = self.code_lengths([_bytes(texts[k]) for k in known])
@@ -111,7 +117,7 @@ class Model:
         return langs, scores
 
 
-def build(rows, max_nodes: int = NODES) -> Model:
+def build(rows) -> Model:
     """``rows``: (lang, order, code, n). A context is named by its bytes, the nearest first."""
     langs = sorted({r[0] for r in rows})
     counts: dict[bytes, dict[int, dict[int, int]]] = {}
@@ -123,12 +129,9 @@ def build(rows, max_nodes: int = NODES) -> Model:
     symbol = np.full(256, len(seen), np.int32)  # bytes never seen share the last symbol
     symbol[seen] = np.arange(len(seen))
     width = len(seen) + 1
-    weight = {c: sum(sum(t.values()) for t in by.values()) for c, by in counts.items()}
-    ranked = sorted(counts, key=lambda c: (-weight[c], len(c), c))
     chosen: dict[bytes, int] = {b"": 0}
-    for c in sorted(ranked[:max_nodes], key=len):
-        if c and c[:-1] in chosen:
-            chosen.setdefault(c, len(chosen))
+    for c in sorted(counts, key=lambda c: (len(c), c)):
+        chosen.setdefault(c, len(chosen))
     nodes = len(chosen)
     step = np.empty((2 * nodes, width), np.int32)
     step[:nodes] = nodes + np.arange(nodes)[:, None]
@@ -151,13 +154,19 @@ def build(rows, max_nodes: int = NODES) -> Model:
     return Model(langs, symbol, step.reshape(-1), cost.reshape(nodes * width, -1))
 
 
-def train(labelled: DataFrame, train_bytes: int = TRAIN_BYTES, max_nodes: int = NODES) -> Model:
+def train(labelled: DataFrame, train_bytes: int = TRAIN_BYTES, all_bytes: int = ALL_BYTES) -> Model:
     """``labelled``: text and lang; rows with a null in either are skipped."""
     rows = labelled.select("lang", "text").where(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    some = sampled(rows, F.octet_length("text"), train_bytes, "lang")
-    grams = some.mapInArrow(_grams, "lang string, order int, code long, n long").groupBy("lang", "order", "code").agg(F.sum("n").alias("n"))
-    kept = grams.where((F.col("order") < 2) | (F.col("n") >= MIN_COUNT)).toArrow()
-    return build(list(zip(*[kept.column(c).to_pylist() for c in ("lang", "order", "code", "n")])) if kept.num_rows else [], max_nodes)
+    totals = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("total"))  # a row a language
+    bound = F.least(F.lit(float(train_bytes)), F.lit(float(all_bytes)) / F.count("*").over(Window.partitionBy(F.lit(0))))
+    shares = totals.select(F.col("lang").alias("of"), F.least(F.lit(1.0), bound / F.col("total")).alias("share"))
+    draw = lambda k: F.pmod(F.xxhash64(F.lit("piece"), "lang", "text_hash", k), F.lit(1 << 30)) / float(1 << 30)
+    drawn = F.filter(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int")), lambda k: draw(k) < F.col("share"))
+    pieces = F.transform(drawn, lambda k: F.substring(F.col("text"), k * PIECE + 1, F.lit(PIECE)))
+    marked = rows.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(shares), F.col("lang") == F.col("of"))
+    some = marked.select("lang", F.explode(pieces).alias("text"))
+    grams = some.mapInArrow(_grams, "lang string, order int, code long, n long").groupBy("lang", "order", "code").agg(F.sum("n").alias("n")).toArrow()
+    return build(list(zip(*[grams.column(c).to_pylist() for c in ("lang", "order", "code", "n")])) if grams.num_rows else [])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

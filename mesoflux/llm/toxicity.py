@@ -1,15 +1,16 @@
 """Toxicity scoring of restored text.
 
-Noisy-channel deobfuscation: a token with leetspeak, separators between its letters or long repetitions, and letters set apart by
-spaces, span a lattice of the plain words they may stand for. Viterbi decoding finds the path of least cost under a character
-trigram model, counted over all documents, plus the channel's costs. A token with one path only is its own restoration, so the
+Noisy-channel deobfuscation: a token with leetspeak, separators between its letters or long repetitions, and letters or leet signs set
+apart by blanks, span a lattice of the plain words they may stand for. Viterbi decoding finds the path of least cost under a character
+trigram model, counted over the characters of all documents, plus the channel's costs. A token with one path only is its own restoration, so the
 decoder runs on the others alone, once for each distinct token.
 
 The scorer looks for words and word beginnings that labelled toxic documents hold and clean ones don't. A feature counts if its
 excess over the base rate is beyond chance and if it follows many different words, which the words of a text that was merely
-copied don't. The score is the noisy-or of the features' precisions.
+copied don't. Features are counted and judged by Spark; those that pass reach the driver. The score is the noisy-or of their precisions.
 
-The labelled rows are sampled down to about ``TRAIN_ROWS``; the character counts cover every document.
+The labelled rows are sampled down to about ``TRAIN_ROWS``, and no feature of the sample is left out for being rare among others; the
+character counts cover every document.
 
 Odd input: null and empty texts get the base score. Labels without a document, null labels and null ids teach nothing; of several
 labels for an id the largest holds. Without labels every score is the base score. Repeated rows are judged one by one; columns
@@ -18,7 +19,6 @@ named score or predicted are replaced, others pass through.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from ._common import extended, sampled
 
 TRAIN_ROWS = 30_000
-MAX_FEATURES = 50_000
 BASE_SCORE = 0.02
 THRESHOLD = 0.7
 _CHANCE = 20.0
@@ -42,30 +41,32 @@ _CACHE = 500_000
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 SEPARATORS = ".-_*~'`,"
 _SWAP_COST, _DROP_COST, _KEEP_COST, _BREAK_COST = 0.7, 0.3, 12.0, 3.0
-_SPACED = re.compile(r"(?<![^\s])[^\W\d_](?: [^\W\d_]){2,}(?![^\s])")
+_SINGLE = "[^\\W\\d_]|[" + re.escape("".join(LEET)) + "]"
+_SPACED = re.compile(rf"(?<!\S)(?:{_SINGLE})(?: {{1,3}}(?:{_SINGLE})){{2,}}(?!\S)")
 _NOISY = re.compile(r"[^\W\d_].*[0-9@$!|+(€.\-_*~'`,].*[^\W\d_]|^[0-9@$!|+(€]+[^\W\d_]|[^\W\d_][0-9@$!|(€]+$|([^\W\d_])\1\1")
 _EDGES = "\"'.,;:!?()[]{}<>«»“”‘’…*#%&|/\\-_~`^=+"
-_CLASSES = 28  # boundary, a-z, any other letter
-_SYMBOL = np.zeros(256, np.int32)
+#: Symbols: 0 for what is no letter, then a-z, the letters of Latin-1, and one for all others.
+_SYMBOL = np.array([59 if chr(k).isalpha() else 0 for k in range(1 << 16)], np.int32)
 _SYMBOL[97:123] = np.arange(1, 27)
 _SYMBOL[65:91] = np.arange(1, 27)
-_SYMBOL[128:] = 27
+_SYMBOL[0xDF:0x100] = [0 if k == 0xF7 else 27 + k - 0xDF - (k > 0xF7) for k in range(0xDF, 0x100)]
+_CLASSES = 60
 
 
 def _symbol(ch: str) -> int:
-    code = ord(ch)
-    return code - 96 if 97 <= code <= 122 else 27 if ch.isalpha() else 0
+    return int(_SYMBOL[min(ord(ch), 0xFFFF)])
 
 
 def char_counts(docs: DataFrame) -> DataFrame:
-    """(code, n): trigrams of characters classes over all documents."""
+    """(code, n): trigrams of character symbols over all documents, lower-cased."""
 
     def run(batches):
         total = np.zeros(_CLASSES**3, np.int64)
         for b in batches:
-            data = _SYMBOL[np.frombuffer(b"  ".join((t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()) + b"  ", np.uint8)]
-            for low in range(0, len(data), 1 << 22):
-                x = data[low : low + (1 << 22) + 2]
+            raw = "  ".join([*[(t or "").lower() for t in b.column("text").to_pylist()], ""]).encode("utf-32-le", "surrogatepass")
+            codes = np.frombuffer(raw, np.uint32)
+            for low in range(0, len(codes), 1 << 20):
+                x = _SYMBOL[np.minimum(codes[low : low + (1 << 20) + 2], 0xFFFF)]
                 total += np.bincount((x[:-2] * _CLASSES + x[1:-1]) * _CLASSES + x[2:], minlength=len(total))
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(total[code], pa.int64())], ["code", "n"])
@@ -148,25 +149,30 @@ class Restorer:
         return found
 
     def spaced(self, text: str) -> list[list[str]]:
-        """The words of each run of letters that stand apart, a run cut into words where that costs least."""
-        out = []
-        for m in _SPACED.finditer(text):
-            letters = m.group().replace(" ", "")
-            lattice = [[(ch, 0.0)] if k == 0 else [(ch, 0.0), (" " + ch, _BREAK_COST)] for k, ch in enumerate(letters)]
-            out.append(self.model.decode(lattice).split())
-        return out
+        """The words of each run of single letters and leet signs, at least half of them letters, cut into words where that costs least."""
+        return [words for words in (self._run(m.group()) for m in _SPACED.finditer(text)) if words]
+
+    def _run(self, run: str) -> list[str]:
+        signs = run.split()
+        if 2 * sum(map(str.isalpha, signs)) < len(signs):
+            return []
+        lattice = []
+        for k, ch in enumerate(signs):
+            options = [(ch, 0.0)] if ch.isalpha() else [(ch, _KEEP_COST), *[(letter, _SWAP_COST) for letter in LEET[ch]]]
+            lattice.append(options if k == 0 else options + [(" " + t, c + _BREAK_COST) for t, c in options])
+        return self.model.decode(lattice).split()
 
     def guesses(self, text: str) -> set[str]:
         """Besides those words, the whole run and the run less its first or last letter, which may be a word of its own."""
         out: set[str] = set()
-        for m, words in zip(_SPACED.finditer(text), self.spaced(text)):
-            letters = m.group().replace(" ", "")
+        for words in self.spaced(text):
+            letters = "".join(words)
             out.update(words, (letters, letters[1:], letters[:-1]))
         return out
 
     def text(self, text: str) -> str:
         """The restored text, for reading."""
-        joined = _SPACED.sub(lambda m: " ".join(self.spaced(m.group())[0]), text.lower())
+        joined = _SPACED.sub(lambda m: " ".join(self._run(m.group())) or m.group(), text.lower())
         return " ".join(self.token(t) for t in joined.split())
 
     def words(self, text: str | None) -> set[str]:
@@ -216,34 +222,29 @@ class ToxicModel:
         return score
 
 
-def _excess(t, n, base: float):
-    """n * KL(t/n || base), in nats: how far beyond chance ``t`` of ``n`` is."""
-    p = t / n
-    rest = (1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0.0
-    return n * (p * math.log(p / base) + rest) if p > base else 0.0
-
-
-def _feature_counts(chars, wanted):
+def _feature_counts(chars):
     def run(batches):
         restorer = Restorer(chars.value)
-        known = None if wanted is None else wanted.value
         for b in batches:
-            n, seen = Counter(), Counter()
-            for text in b.column("text").to_pylist():
+            n, bad, seen = Counter(), Counter(), Counter()
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
                 tokens = (text or "").lower().split()
                 found: dict[str, int] = {}
                 for before, token in zip(["", *tokens], tokens):
+                    mask = 1 << (hash_of(before) & 31) if toxic else 0
                     for f in features(restorer.token(token)):
-                        if f and (known is None or f in known):
-                            found[f] = found.get(f, 0) | 1 << (hash_of(before) & 31)
+                        found[f] = found.get(f, 0) | mask
                 for w in restorer.guesses((text or "").lower()):
                     for f in features(w):
-                        if known is None or f in known:
-                            found[f] = found.get(f, 0) | 1
-                for f, mask in found.items():
-                    n[f] += 1
-                    seen[f] |= mask
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([seen[f] for f in n], pa.int64())], ["feature", "n", "contexts"])
+                        found[f] = found.get(f, 0) | toxic
+                found.pop("", None)
+                n.update(found.keys())
+                if toxic:
+                    bad.update(found.keys())
+                    for f, mask in found.items():
+                        seen[f] |= mask
+            columns = [pa.array(list(n), pa.string()), *[pa.array([c[f] for f in n], pa.int64()) for c in (n, bad, seen)]]
+            yield pa.RecordBatch.from_arrays(columns, ["feature", "n", "toxic", "contexts"])
 
     return run
 
@@ -256,7 +257,7 @@ def hash_of(word: str) -> int:
 
 
 def char_model(docs: DataFrame) -> CharModel:
-    rows = char_counts(docs).collect()  # at most 28^3 rows
+    rows = char_counts(docs).collect()  # at most 60^3 rows
     return CharModel.build([(r.code, r.n) for r in rows])
 
 
@@ -267,22 +268,18 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> T
     some = sampled(known, F.lit(1), train_rows)  # the bound makes it fit for a broadcast
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(some), "doc_id")
     sent = docs.sparkSession.sparkContext.broadcast(chars)
-    counted = lambda rows, wanted: rows.select("text").mapInArrow(_feature_counts(sent, wanted), "feature string, n long, contexts long").groupBy("feature").agg(F.sum("n").alias("n"), F.bit_or("contexts").alias("contexts"))
     sizes = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if not sizes.get(1):
         return ToxicModel(chars, {})
     base = sizes[1] / sum(sizes.values())
-    toxic = counted(texts.where("toxic = 1"), None).where((F.col("n") >= 4) & (F.bit_count("contexts") >= _CONTEXTS))
-    toxic = {r.feature: r.n for r in toxic.orderBy(F.desc("n"), "feature").limit(MAX_FEATURES).toLocalIterator()}
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(toxic))
-    clean = {r.feature: r.n for r in counted(texts.where("toxic = 0"), wanted).toLocalIterator()}
-    precision = {}
-    for f, t in toxic.items():
-        n = t + clean.get(f, 0)
-        p = (t + base) / (n + 1)
-        if p >= 0.8 and _excess(t, n, min(base, 0.99)) >= _CHANCE:
-            precision[f] = p
-    return ToxicModel(chars, precision)
+    counts = texts.select("text", "toxic").mapInArrow(_feature_counts(sent), "feature string, n long, toxic long, contexts long")
+    counts = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("t"), F.bit_or("contexts").alias("contexts"))
+    # how far beyond chance t of n is: n * KL(t / n || base), in nats
+    p, q = F.col("t") / F.col("n"), min(base, 0.99)
+    excess = F.col("n") * (p * F.log(p / q) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - q))).otherwise(0.0))
+    precision = (F.col("t") + base) / (F.col("n") + 1)
+    good = (F.col("t") >= 4) & (F.bit_count("contexts") >= _CONTEXTS) & (precision >= 0.8) & (p > q) & (excess >= _CHANCE)
+    return ToxicModel(chars, {r.feature: r.p for r in counts.where(good).select("feature", precision.alias("p")).toLocalIterator()})
 
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:

@@ -3,7 +3,7 @@
 1. Tokenize in Arrow batches. Splitting at ASCII white space is exact for this tokenizer, which drops white space and never
    joins over it, so each distinct chunk of a batch is encoded once and the ids are gathered by index.
 2. An overlong document is first cut into full windows, which are whole sequences; only the remainders are packed.
-3. Remainders are dealt over shards by a hash; a shard holds about ``shard_pieces`` of them, however large the input is. In its
+3. Remainders are dealt over shards by a hash of the piece and its place in the table, so that repeated rows spread; a shard holds about ``shard_pieces`` of them, however large the input is. In its
    shard each piece, longest first, goes to the open window with the least remaining capacity that still fits it, found by a
    segment tree indexed by remaining capacity.
 
@@ -173,7 +173,7 @@ def pack(found: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIECE
     spark = found.sparkSession
     shards = max(1, -(-found.where(F.col("length") < window).count() // shard_pieces))
     # every shard numbers its sequences from shard * 2^40; whole windows count on in their own range
-    rest = found.where(F.col("length") < window).withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(shards)))
+    rest = found.where(F.col("length") < window).withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens", F.monotonically_increasing_id()), F.lit(shards)))
 
     def fit(batches):
         shard, fitter, made = None, None, 0

@@ -1,9 +1,12 @@
 """WARC archives with revisit resolution.
 
 ``write_archive`` lays records out as WARC/1.1 text and has Spark's text writer put them into gzip files of the shared store;
-``read_archive`` reads the files back and cuts them by their Content-Length. ``resolve`` shuffles the headers, never the payloads,
-by payload digest, finds each digest's original response and joins the others to it; ``deduplicate`` writes the archive anew, with
-fresh headers, revisit records without their payload.
+``read_archive`` has Spark stream the files back, cut at version lines, and joins what was cut within a payload by its Content-Length,
+so no file is held as a whole. ``resolve`` shuffles the headers, never the payloads, by payload digest, finds each digest's original
+response and joins the others to it; ``deduplicate`` writes the archive anew, with fresh headers, revisit records without payload.
+
+Every record has an id of its own, repeated rows included; a revisit names its original's record and page. A file holds whole records
+in one gzip stream, so a reader goes through it in order.
 
 Odd input: a null payload counts as empty and an empty one as any other payload. Line breaks in a url are percent-encoded, since
 they would end its header. Of equal payloads the least page_id is the original; rows that repeat that page_id with that payload
@@ -13,9 +16,6 @@ empty table gives an empty archive and result. Only page_id, url and html are re
 
 from __future__ import annotations
 
-import gzip
-import io
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +26,10 @@ VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_BYTES = 0
 RECORDS_PER_FILE = 1000
-_ID = "urn:page:"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _CONV32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
-SCHEMA = "page_id long, uri string, date string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload string"
+SCHEMA = "record_id string, page_id long, uri string, date string, record_type string, payload_bytes long, payload_digest string, refers_to long, refers_to_record string, payload string"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -44,21 +43,25 @@ def _header(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
 
-def record(page_id: Column, uri: Column, date: Column, kind: Column, digest: Column, refers_to: Column, size: Column, payload: Column) -> Column:
-    """One record without its very last line break, which the text writer adds. ``size``: bytes of the full payload."""
-    revisit = kind == "revisit"
-    safe = F.replace(F.replace(F.coalesce(uri, F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    body = F.when(revisit, F.lit("")).otherwise(payload)
-    name = F.concat(F.lit(f"<{_ID}"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
+def record() -> Column:
+    """One record, from columns of ``SCHEMA``, without its very last line break, which the text writer adds."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    revisit = F.col("record_type") == "revisit"
+    safe = F.replace(F.replace(text("uri"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
+    original = F.concat(
+        _header("WARC-Profile", F.lit(PROFILE)), _header("WARC-Refers-To", F.concat(F.lit("<"), text("refers_to_record"), F.lit(">"))), _header("WARC-Refers-To-Page", text("refers_to"))
+    )
     return F.concat(
         F.lit(f"{VERSION}\r\n"),
-        _header("WARC-Type", kind),
-        _header("WARC-Record-ID", name),
-        _header("WARC-Date", date),
+        _header("WARC-Type", F.col("record_type")),
+        _header("WARC-Record-ID", F.concat(F.lit("<"), F.col("record_id"), F.lit(">"))),
+        _header("WARC-Page", text("page_id")),
+        _header("WARC-Date", F.col("date")),
         _header("WARC-Target-URI", safe),
-        _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
-        F.when(revisit, F.concat(_header("WARC-Profile", F.lit(PROFILE)), _header("WARC-Refers-To", F.concat(F.lit(f"<{_ID}"), refers_to.cast("string"), F.lit(">"))))).otherwise(F.lit("")),
-        _header("WARC-Full-Payload-Length", size.cast("string")),
+        _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
+        F.when(revisit, original).otherwise(F.lit("")),
+        _header("WARC-Full-Payload-Length", text("payload_bytes")),
         F.lit("Content-Type: text/html; charset=utf-8\r\n"),
         _header("Content-Length", F.octet_length(body).cast("string")),
         F.lit("\r\n"),
@@ -69,59 +72,54 @@ def record(page_id: Column, uri: Column, date: Column, kind: Column, digest: Col
 
 def write_archive(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
     """``records``: columns of ``SCHEMA``."""
-    line = record(*[F.col(c) for c in ("page_id", "uri", "date", "record_type", "payload_digest", "refers_to", "payload_bytes", "payload")])
     (
-        records.select(line.alias("value")).write.option("lineSep", "\n").option("compression", "gzip")
+        records.select(record().alias("value")).write.option("lineSep", "\n").option("compression", "gzip")
         .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path)
     )
 
 
-def parse(stream: io.BufferedIOBase):
-    """(headers, payload) of each record."""
-    while True:
-        line = stream.readline()
-        if not line:
-            return
-        if line.strip() == b"":
+def parse(pieces):
+    """(headers, payload) of each record; ``pieces`` are what lies between version lines, in order, a payload's own ones included."""
+    mark, whole = f"{VERSION}\r\n".encode(), None
+    for piece in pieces:
+        whole = piece if whole is None else whole + mark + piece
+        if not whole.strip():
+            whole = None
             continue
-        if line.rstrip() != VERSION.encode():
-            raise ValueError(f"not a record: {line[:60]!r}")
+        head, gap, rest = whole.partition(b"\r\n\r\n")
         headers = {}
-        while (line := stream.readline()) not in (b"\r\n", b""):
+        for line in head.split(b"\r\n"):
             name, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[name.strip()] = value.strip()
+            headers[name.strip()] = value.removeprefix(" ")
         size = int(headers["Content-Length"])
-        payload = stream.read(size)
-        if len(payload) != size:
-            raise ValueError("a record is cut short")
-        yield headers, payload
-
-
-def _number(name: str | None) -> int | None:
-    digits = (name or "").strip("<>").removeprefix(_ID)
-    return int(digits) if digits else None
+        if len(rest) < size + 2 * gap.count(b"\r\n"):
+            continue  # the payload holds a version line
+        yield headers, rest[:size]
+        whole = None
+    if whole is not None:
+        raise ValueError("a record is cut short")
 
 
 def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """``SCHEMA`` rows; without ``payloads`` only headers, the payload being null."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    kinds = [pa.int64() if x.endswith(" long") else pa.string() for x in SCHEMA.split(", ")]
+    number = lambda text: int(text) if text else None
 
     def run(batches):
-        for b in batches:
-            for content in b.column("content"):
-                rows, held = [], 0
-                with gzip.open(io.BytesIO(content.as_py())) as f:
-                    for h, body in parse(io.BufferedReader(f)):
-                        rows.append((_number(h["WARC-Record-ID"]), h["WARC-Target-URI"], h["WARC-Date"], h["WARC-Type"], int(h["WARC-Full-Payload-Length"]),
-                                     h["WARC-Payload-Digest"].removeprefix("sha1:"), _number(h.get("WARC-Refers-To")), body.decode("utf-8", "replace") if payloads else None))
-                        held += len(body) * payloads
-                        if held > 1 << 24:
-                            yield _batch(rows, names, kinds)
-                            rows, held = [], 0
+        rows, held = [], 0
+        for h, body in parse(v.encode() for b in batches for v in b.column("value").to_pylist()):
+            original = h.get("WARC-Refers-To")
+            rows.append((h["WARC-Record-ID"][1:-1], number(h["WARC-Page"]), h["WARC-Target-URI"], h["WARC-Date"], h["WARC-Type"], int(h["WARC-Full-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"),
+                         number(h.get("WARC-Refers-To-Page")), original and original[1:-1], body.decode("utf-8", "replace") if payloads else None))
+            held += 1000 + len(body) * payloads
+            if held > 1 << 24:
                 yield _batch(rows, names, kinds)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows, names, kinds)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
+    return spark.read.option("lineSep", f"{VERSION}\r\n").text(path).mapInArrow(run, SCHEMA)
 
 
 def _batch(rows, names, kinds):
@@ -130,42 +128,39 @@ def _batch(rows, names, kinds):
 
 
 def crawl_records(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """A response record for every page."""
+    """A response record for every page. Record ids come from the row's number, so that equal rows have different ones."""
     html = F.coalesce("html", F.lit(""))
+    uuid = F.regexp_replace(F.md5(F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.monotonically_increasing_id())), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
     return pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("uri"), F.lit(date).alias("date"), F.lit("response").alias("record_type"),
-        F.octet_length(html).cast("long").alias("payload_bytes"), base32_sha1(html).alias("payload_digest"), F.lit(None).cast("long").alias("refers_to"), html.alias("payload"),
+        F.concat(F.lit("urn:uuid:"), uuid).alias("record_id"), F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("uri"), F.lit(date).alias("date"), F.lit("response").alias("record_type"),
+        F.octet_length(html).cast("long").alias("payload_bytes"), base32_sha1(html).alias("payload_digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_to_record"), html.alias("payload"),
     )
 
 
 def resolve(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(page_id, payload_digest, payload_bytes, original): the original response of every revisit record.
+    """(record_id, page_id, payload_digest, payload_bytes, original, original_record) of every revisit record.
 
     Headers alone are shuffled. The least page_id of a digest is found with map-side aggregation, and digests that occur once are
     gone before the join; adaptive execution splits a hot digest there.
     """
-    big = headers.where(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_digest", "payload_bytes")
-    least = big.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).where("n > 1")
-    least = least.select(rekey(F.col("payload_digest")).alias("_d"), F.col("payload_bytes").alias("_b"), "original")
-    joined = big.join(least, (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") == F.col("_b")))
-    return joined.where(F.coalesce(F.col("page_id") != F.col("original"), F.col("original").isNotNull())).select(
-        "page_id", "payload_digest", "payload_bytes", "original"
-    )
+    big = headers.where(F.col("payload_bytes") >= min_bytes).select("record_id", "page_id", "payload_digest", "payload_bytes")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id")))
+    least = big.groupBy("payload_digest", "payload_bytes").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
+    least = least.select(rekey(F.col("payload_digest")).alias("d"), F.col("payload_bytes").alias("b"), F.col("first.page_id").alias("original"), F.col("first.record_id").alias("original_record"))
+    joined = big.join(least, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")))
+    return joined.where(F.coalesce(F.col("page_id") != F.col("original"), F.col("original").isNotNull())).drop("d", "b")
 
 
 def deduplicate(spark: SparkSession, source: str, target: str, min_bytes: int = MIN_BYTES) -> None:
     """Read the archive at ``source``, write it at ``target`` with revisit records in place of repeated payloads.
 
-    The revisits, found from headers alone, are joined back by page_id and digest; that is the one step that moves payloads.
+    The revisits, found from headers alone, are joined back by record id; that is the one step that moves payloads.
     """
     headers = materialize(digested(read_archive(spark, source)).drop("payload"), "headers")
-    marks = resolve(headers, min_bytes).distinct().select(
-        F.col("page_id").alias("_p"), F.col("payload_digest").alias("_d"), "original"
-    )
-    records = digested(read_archive(spark, source))
-    joined = records.join(marks, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("payload_digest") == F.col("_d")), "left")
-    fresh = joined.withColumns({"record_type": F.when(F.col("original").isNull(), "response").otherwise("revisit"), "refers_to": F.col("original")})
-    write_archive(fresh, target)
+    marks = resolve(headers, min_bytes).select(F.col("record_id").alias("of"), "original", "original_record")
+    joined = digested(read_archive(spark, source)).join(marks, F.col("record_id") == F.col("of"), "left")
+    fresh = {"record_type": F.when(F.col("of").isNull(), "response").otherwise("revisit"), "refers_to": F.col("original"), "refers_to_record": F.col("original_record")}
+    write_archive(joined.withColumns(fresh), target)
 
 
 def digested(records: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ shared span of ``SPAN`` words or more is missed. A fingerprint found in both is
 ``SPAN`` words or more is a hit. An item of fewer words than ``SPAN`` is one window, looked up by the hash of all its words.
 
 The test items' fingerprints are sent to every task while the items' characters stay within ``broadcast_chars``. Beyond that
-bound training and test fingerprints are joined by a shuffle, and only the matched (document, item) pairs are extended.
+bound training and test fingerprints are joined by a shuffle; the documents with a fingerprint in common, and no pair of texts, go on
+to a second join, on the hashes of whole spans, which extends the hits: neighbouring spans make up longer ones.
 
 Odd input: null and empty texts have no words, no hits and aren't contaminated. Repeated documents are judged row by row. Items
 that share an id count once; an item with a null id marks words but isn't named. An empty benchmark hits nothing. Only ``doc_id``,
@@ -130,6 +131,27 @@ class Items:
             out.short[n] = (np.array([h for h, _ in pairs], np.uint64), np.array([i for _, i in pairs]))
         return out
 
+    def _runs(self, words: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray):
+        """(item, start, end): runs of ``span`` equal words or more on every diagonal (item, place in text - place in item) with a common fingerprint."""
+        met = np.flatnonzero(high > low)
+        counts = (high - low)[met]
+        part = np.cumsum(counts) // _STEP  # repeated words give many pairs, though few diagonals
+        diagonals = set()
+        for k in np.unique(part).tolist():
+            j, n = met[part == k], counts[part == k]
+            entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[j], n)
+            code = (self.owner[entry] << 40) + np.repeat(at[j], n) - self.place[entry] + (1 << 39)
+            diagonals.update(np.unique(code).tolist())
+        for code in diagonals:
+            item, shift = code >> 40, (code & ((1 << 40) - 1)) - (1 << 39)
+            other = self.words[item]
+            a, b = max(0, shift), max(0, -shift)
+            n = min(len(words) - a, len(other) - b)
+            edge = np.diff((words[a : a + n] == other[b : b + n]).astype(np.int8), prepend=0, append=0)
+            for start, end in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+                if end - start >= self.span:
+                    yield item, a + start, a + end
+
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, set[int]]:
         """(mask of hit words, places of the items that occur)."""
         mask, found = np.zeros(len(words), bool), set()
@@ -137,18 +159,9 @@ class Items:
             g = grams(words, self.k)
             at = winnow(g, self.span - self.k + 1)
             low, high = np.searchsorted(self.prints, g[at], "left"), np.searchsorted(self.prints, g[at], "right")
-            reached: dict[tuple[int, int], int] = {}
-            for j in np.flatnonzero(high > low):
-                p = int(at[j])
-                for e in range(low[j], high[j]):
-                    item, q = int(self.owner[e]), int(self.place[e])
-                    if reached.get((item, p - q), -1) > p:
-                        continue  # this run has been extended already
-                    start, end = _extend(words, self.words[item], p, q)
-                    reached[item, p - q] = end
-                    if end - start >= self.span:
-                        mask[start:end] = True
-                        found.add(item)
+            for item, start, end in self._runs(words, at, low, high):
+                mask[start:end] = True
+                found.add(item)
         for n, (hashes, owners) in self.short.items():
             g = grams(words, n)
             low, high = np.searchsorted(hashes, g, "left"), np.searchsorted(hashes, g, "right")
@@ -160,17 +173,6 @@ class Items:
         return mask, found
 
 
-def _extend(a: np.ndarray, b: np.ndarray, p: int, q: int) -> tuple[int, int]:
-    """The longest run of equal words around a[p], b[q], as a span of ``a``."""
-    back = min(p, q)
-    same = a[p - back : p][::-1] == b[q - back : q][::-1]
-    left = back if same.all() else int(np.argmin(same))
-    ahead = min(len(a) - p, len(b) - q)
-    same = a[p : p + ahead] == b[q : q + ahead]
-    right = ahead if same.all() else int(np.argmin(same))
-    return p - left, p + right
-
-
 def _parts(texts: list[str | None]):
     """Lists of texts of about ``_STEP`` characters."""
     part, size = [], 0
@@ -218,27 +220,28 @@ def spans(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, b
 
 
 def _joined(base: DataFrame, bench: DataFrame, span: int, k: int) -> DataFrame:
-    """The same by a shuffle, for a benchmark of any size. Rows of equal text share one answer, found by the text's two hashes."""
+    """The same by shuffles, for a benchmark of any size. Rows of equal text share one answer, found by the text's two hashes."""
     lengths = bench.mapInArrow(_lengths, "n int").where(F.col("n").between(1, span - 1)).distinct()
     short = sorted(r.n for r in lengths.collect())  # at most span - 1 numbers
-    key = lambda df: df.withColumns({"_k1": F.xxhash64("text"), "_k2": F.crc32(F.col("text").cast("binary"))})
-    texts = key(base.select("text")).dropDuplicates(["_k1", "_k2"])
-    keyed_items = bench.withColumn("_item", F.xxhash64("item_id", "text"))
-    d = texts.mapInArrow(_prints("_k1", "_k2", span, k, short), "_k1 long, _k2 long, h long")
-    i = keyed_items.withColumn("_zero", F.lit(0).cast("long")).mapInArrow(_prints("_item", "_zero", span, k, short), "_item long, _zero long, h long")
-    i = i.select("_item", F.col("h").alias("ih"))
-    pairs = d.distinct().join(i.distinct(), F.col("h") == F.col("ih")).select("_k1", "_k2", "_item").distinct()
-    full = pairs.join(texts, ["_k1", "_k2"]).join(keyed_items.withColumnRenamed("text", "_text"), "_item")
-    found = full.select("_k1", "_k2", "item_id", "text", "_text").mapInArrow(_pairwise(span, k), "_k1 long, _k2 long, item_id string, at array<int>")
-    merged = materialize(
-        found.groupBy("_k1", "_k2").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items")),
-        "winnow-hits",
-    )
-    count = F.size(F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")).cast("long")
-    return (
-        key(base)
-        .join(merged, ["_k1", "_k2"], "left")
-        .select(*base.columns, count.alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    row = F.struct(*[F.col(f"`{c}`") for c in base.columns])  # in a struct, names of the input can't clash
+    keyed = base.select(row.alias("row"), F.xxhash64("text").alias("k1"), F.crc32(F.col("text").cast("binary")).alias("k2"))
+    texts = keyed.select("k1", "k2", F.col("row.text").alias("text")).where("text IS NOT NULL").dropDuplicates(["k1", "k2"])
+    items = bench.select(F.xxhash64("item_id", "text").alias("k1"), F.lit(0).cast("long").alias("k2"), "item_id", "text")
+    common = items.mapInArrow(_prints(span, k, short), "k1 long, k2 long, h long").select(F.col("h").alias("ih")).distinct()
+    found = texts.mapInArrow(_prints(span, k, short), "k1 long, k2 long, h long").join(common, F.col("h") == F.col("ih"), "left_semi")
+    some = materialize(found.select("k1", "k2").distinct(), "winnow-documents")
+    lines = "item_id string, k1 long, k2 long, p int, n int, w long"
+    windows = materialize(items.mapInArrow(_windows(span, short, True), lines).select("item_id", F.col("w").alias("iw")).distinct(), "winnow-windows")
+    marked = texts.join(some, ["k1", "k2"], "left_semi").withColumn("item_id", F.lit(None).cast("string")).mapInArrow(_windows(span, short, False), lines)
+    hit = materialize(marked.join(windows.select("iw").distinct(), F.col("w") == F.col("iw"), "left_semi").select("k1", "k2", "p", "n", "w"), "winnow-hits")
+    places = F.flatten(F.collect_list(F.sequence("p", F.col("p") + F.col("n") - 1)))
+    covered = hit.groupBy("k1", "k2").agg(F.size(F.array_distinct(places)).cast("long").alias("n_hit"))
+    named = hit.select("k1", "k2", "w").distinct().join(windows, F.col("w") == F.col("iw")).groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    merged = materialize(covered.join(named, ["k1", "k2"]), "winnow-merged")
+    count = F.size(F.array_remove(F.split(F.lower(F.coalesce("row.text", F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")).cast("long")
+    none = F.array().cast("array<string>")
+    return keyed.join(merged, ["k1", "k2"], "left").select(
+        "row.*", count.alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items")
     )
 
 
@@ -248,37 +251,45 @@ def _lengths(batches):
         yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int32())], ["n"])
 
 
-def _prints(a: str, b: str, span: int, k: int, short: list[int]):
+def _worded(batches):
+    """(slice of the batch, word hashes of each of its texts)."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 64):
+            part = batch.slice(low, 64)
+            words, counts = word_hashes(part.column("text").to_pylist())
+            yield part, np.split(words, np.cumsum(counts)[:-1])
+
+
+def _prints(span: int, k: int, short: list[int]):
     def run(batches):
-        for batch in batches:
-            for low in range(0, batch.num_rows, 64):
-                part = batch.slice(low, 64)
-                words, counts = word_hashes(part.column("text").to_pylist())
-                rows, at = [], 0
-                for n in counts.tolist():
-                    w = words[at : at + n]
-                    at += n
-                    g = grams(w, k)
-                    rows.append(np.unique(np.concatenate([g[winnow(g, span - k + 1)], *[grams(w, s) for s in short]])))
-                take = pa.array(np.repeat(np.arange(len(rows)), [len(r) for r in rows]))
-                hashes = np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(a).take(take), part.column(b).take(take), pa.array(hashes)], [a, b, "h"])
+        for part, texts in _worded(batches):
+            rows = []
+            for w in texts:
+                g = grams(w, k)
+                rows.append(np.unique(np.concatenate([g[winnow(g, span - k + 1)], *[grams(w, s) for s in short]])))
+            take = pa.array(np.repeat(np.arange(len(rows)), [len(r) for r in rows]))
+            yield pa.RecordBatch.from_arrays([part.column("k1").take(take), part.column("k2").take(take), pa.array(np.concatenate(rows).view(np.int64))], ["k1", "k2", "h"])
 
     return run
 
 
-def _pairwise(span: int, k: int):
+def _windows(span: int, short: list[int], whole: bool):
+    """Hashes w of the windows of n words at place p; ``whole``: of an item of fewer words than ``span`` its one window alone."""
+
     def run(batches):
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                words, _ = word_hashes([r["text"]])
-                mask, found = Items.build([(r["item_id"], r["_text"])], span, k).hits(words)
-                if found:
-                    out.append((r["_k1"], r["_k2"], r["item_id"], np.flatnonzero(mask).tolist()))
-            cols = list(zip(*out)) or [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["_k1", "_k2", "item_id", "at"])
+        for part, texts in _worded(batches):
+            at, places, sizes, hashes = [], [], [], []
+            for k, w in enumerate(texts):
+                for n in ([min(len(w), span)] if len(w) else []) if whole else [*short, span]:
+                    g = grams(w, n)
+                    at.append(np.full(len(g), k))
+                    places.append(np.arange(len(g), dtype=np.int32))
+                    sizes.append(np.full(len(g), n, np.int32))
+                    hashes.append(g.view(np.int64))
+            if at:
+                take = pa.array(np.concatenate(at))
+                names = ["item_id", "k1", "k2"]
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(take) for c in names], *[pa.array(np.concatenate(x)) for x in (places, sizes, hashes)]], [*names, "p", "n", "w"])
 
     return run
 

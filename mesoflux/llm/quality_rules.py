@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE_CLASS
+from ._common import SPACE_CLASS, free_name
 
 #: Stop words of the four languages, lower case.
 STOP_WORDS = (
@@ -95,26 +95,25 @@ def _let(value: Column, body) -> Column:
 
 def annotate(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS, text: str = "text") -> DataFrame:
     """``docs`` with the counts, the rule metrics, ``base_failed``, ``failed_rules`` (array of metric names) and ``kept``."""
-    made = {"_t", "_w", "_lines", "_c", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words",
+    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words",
             "mean_word_chars", "symbols_per_word", "dup_line_ratio", "stop_word_ratio", "base_failed", "failed_rules", "kept"}
-    through = [c for c in docs.columns if c not in made]
-    base = docs.select(*[F.col(f"`{c}`") for c in through], F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    base = base.withColumn("_w", _words(F.col("_t"))).withColumn(
-        "_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(_WORD_CHAR))
-    )
-    n = F.size("_w")
+    through = [c for c in docs.columns if c.lower() not in made]
+    t, w, ls, c = (free_name(docs, name) for name in ("_text", "_words", "_lines", "_counts"))
+    base = docs.select(*[F.col(f"`{c}`") for c in through], F.coalesce(F.col(text), F.lit("")).alias(t))
+    base = base.withColumn(w, _words(F.col(t))).withColumn(ls, F.filter(F.split(t, "\n"), lambda x: x.rlike(_WORD_CHAR)))
+    n = F.size(w)
     stop = list(dict.fromkeys(form for w in STOP_WORDS for form in (w, w.capitalize(), w.upper())))
     counts = F.struct(
         n.cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("_t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("_w"), n).cast("long").alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.size(F.filter("_w", lambda x: x.isin(stop))).cast("long").alias("n_stop_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
+        _repeat_words(F.col(w), n).cast("long").alias("n_repeat_words"),
+        F.size(ls).cast("long").alias("n_lines"),
+        F.size(F.filter(w, lambda x: x.isin(stop))).cast("long").alias("n_stop_words"),
     )
     # exploding the one struct of counts keeps them from being computed again in every rule and filter above
-    counted = base.select(*[F.col(f"`{c}`") for c in through], F.explode(F.array(counts)).alias("_c")).select(*[F.col(f"`{c}`") for c in through], "_c.*")
+    counted = base.select(*[F.col(f"`{c}`") for c in through], F.explode(F.array(counts)).alias(c)).select(*[F.col(f"`{c}`") for c in through], f"{c}.*")
     ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
     metrics = counted.withColumns({
         "mean_word_chars": ratio("word_chars", "n_words"),

@@ -261,11 +261,10 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     """
     found = near_duplicates(docs, **params).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # by root: components whose smallest ids are equal or null are told apart by it
-    keep = found.groupBy("root").agg(F.min("doc_id").alias("k_id"), F.min("text_hash").alias("k_hash"))
-    keep = keep.select(F.coalesce("k_id", F.lit(0)).alias("_keep_id"), F.col("k_id").isNull().alias("_keep_null"), F.col("k_hash").alias("_keep_hash")).distinct()
-    order = docs.columns
+    keep = found.groupBy("root").agg(F.min("doc_id").alias("k_id"), F.min("text_hash").alias("text_hash"))
+    keep = keep.select(F.coalesce("k_id", F.lit(0)).alias("id"), F.col("k_id").isNull().alias("no_id"), "text_hash").distinct()
     doc_id = F.col("doc_id").cast("long")
-    hashed = docs.withColumns({"_keep_id": F.coalesce(doc_id, F.lit(0)), "_keep_null": doc_id.isNull(), "_keep_hash": F.xxhash64("text")})
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # in a struct, names of the input can't clash
+    hashed = docs.select(row.alias("row"), F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("no_id"), F.xxhash64("text").alias("text_hash"))
     # plain equality on all three keys, so that dropping repeats needs no further shuffle of the texts
-    once = hashed.join(keep, ["_keep_id", "_keep_null", "_keep_hash"], "left_semi").dropDuplicates(["_keep_id", "_keep_null", "_keep_hash"])
-    return once.select(*[F.col(f"`{c}`") for c in order])
+    return hashed.join(keep, ["id", "no_id", "text_hash"], "left_semi").dropDuplicates(["id", "no_id", "text_hash"]).select("row.*")

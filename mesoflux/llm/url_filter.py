@@ -1,6 +1,6 @@
 """URL filter over a sorted digest array.
 
-A rule is a host and a path prefix. Its string, host + path, is hashed with 64-bit XXH64; the keys are stored sorted, in a file
+A rule is a host and a path prefix. The two, with a zero character between, are hashed with 64-bit XXH64; the keys are stored sorted, in a file
 that every executor maps into memory, beside the full strings and the verdicts. A url is probed with each suffix of its host at a
 label boundary times each path prefix whose length occurs among the rules; all probes of a batch go through one vectorised binary
 search, and an equal key counts only if the stored string is the probe's own. The longest rule wins, of equally long ones the one
@@ -52,7 +52,7 @@ class DigestArray:
         """The first of rules with the same host and path stays."""
         unique: dict[str, tuple[str, str]] = {}
         for host, path, verdict in rules:
-            unique.setdefault(host + path, (path, verdict))
+            unique.setdefault(f"{host}\0{path}", (path, verdict))
         rows = sorted((hasher(s), s.encode(), v) for s, (_, v) in unique.items())
         return cls(
             np.array([h for h, _, _ in rows], np.uint64),
@@ -111,7 +111,7 @@ class DigestArray:
             while True:
                 for n in lengths:
                     if n <= len(path):
-                        probes.append(suffix + path[:n])
+                        probes.append(f"{suffix}\0{path[:n]}")
                         owner.append(j)
                         host_size.append(len(suffix))
                 dot = suffix.find(".")
@@ -124,7 +124,7 @@ class DigestArray:
                 best[owner[p]] = max(best.get(owner[p], (0, 0, 0)), (len(probes[p]), host_size[p], k))
         out: list[tuple[str | None, bool | None]] = [(None, None)] * len(hosts)
         for j, (_, _, k) in best.items():
-            out[j] = (self.string(k).decode("utf-8", "surrogatepass"), bool(self.verdicts[k]))
+            out[j] = (self.string(k).decode("utf-8", "surrogatepass").replace("\0", "", 1), bool(self.verdicts[k]))
         return out
 
 
@@ -142,9 +142,9 @@ def judge_urls(pages: DataFrame, rules=RULES, default: str = DEFAULT, url: str =
     """``pages`` with host, path, rule (null where none fits) and verdict."""
     spark = pages.sparkSession
     name = DigestArray.build(rules).send(spark)
-    made = ["host", "path", "rule", "verdict"]
-    base = pages.withColumns({"_h": host_of(F.col(url)), "_p": path_of(F.col(url))}).drop(*made)
-    base = base.withColumnsRenamed({"_h": "host", "_p": "path"})
+    made = {"host", "path", "rule", "verdict"}
+    through = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in made]
+    base = pages.select(*through, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     schema = extended(base, "rule string, verdict string")
 
     def run(batches):

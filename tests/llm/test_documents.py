@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -100,6 +101,18 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_of_texts_without_a_letter(spark, odd):
+    docs = spark.createDataFrame([(1, "²½①"), (2, "12 _ ٣"), (3, "x²"), (4, "字")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score > 0) for r in language_id.predict(docs, language_id.train(odd)).collect()}
+    assert got == {1: ("und", False), 2: ("und", False), 3: ("en", True), 4: ("en", True)}
+
+
+def test_language_learns_from_few_long_texts(spark):
+    rows = [("xx", "zuqo wemi lana " * 40_000), *[("en", f"the house of the {k} hats and the rest of it") for k in range(500)]]
+    model = language_id.train(spark.createDataFrame(rows, "lang string, text string"), train_bytes=60_000, all_bytes=100_000)
+    assert model.langs == ["en", "xx"] and model.predict(["lana zuqo", "of the house"])[0] == ["xx", "en"]
+
+
 def test_language_odd_input(spark, odd, empty):
     model = language_id.train(odd)
     got = language_id.predict(odd, model).collect()
@@ -354,6 +367,14 @@ def test_winnowing_finds_every_shared_span(item, before, after, data):
     assert int(mask.sum()) == h and h >= 13
 
 
+def test_winnowing_of_repeated_words_stays_linear():
+    items = winnowing.Items.build([(1, "a " * 500), (2, "b a " * 40)])
+    words, _ = winnowing.word_hashes(["a " * 20_000 + "b a " * 20])
+    began = time.time()
+    mask, found = items.hits(words)
+    assert time.time() - began < 20 and mask.all() and found == {0, 1}
+
+
 def test_winnowing_odd_input(spark, odd, empty):
     bench = spark.createDataFrame([(1, "the cat sat on the mat and it was a good day for all of them", "x")], "item_id long, text string, items string")
     got = winnowing.spans(odd, bench).collect()
@@ -419,6 +440,32 @@ def test_toxicity_learns_and_generalises_to_obfuscation(spark):
     assert (res[2], res[3], res[4], res[5], res[6]) == (1, 1, 0, 0, 0)
 
 
+def test_deobfuscation_of_spaced_leet_and_blanks(chars):
+    for raw in ("an i d 1 0 t here", "an i  d  i  o  t here", "an 1 d i o t here"):
+        assert "idiot" in toxicity.Restorer(chars).words(raw), raw
+    assert toxicity.Restorer(chars).guesses("1 2 3 4 5 and 2 + 2") == set()
+
+
+def test_character_counts_match_a_plain_count(spark):
+    texts = ["Ñandú, übÉr ça", "漢字 x", None, ""]
+    got = {r.code: r.n for r in toxicity.char_counts(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)).collect()}
+    want, n = collections.Counter(), toxicity._CLASSES
+    s = [toxicity._symbol(c) for c in "  ".join([*[(t or "").lower() for t in texts], ""])]
+    for a, b, c in zip(s, s[1:], s[2:]):
+        want[(a * n + b) * n + c] += 1
+    assert got == want and len({toxicity._symbol(c) for c in "nñuüeéz漢"}) == 8
+
+
+def test_toxicity_held_out_quality(spark):
+    d = "/root/testdata/sf0.01"
+    rows = queries.op9_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
+    good, bad = [r.score for r in rows if r.toxic == 0], [r.score for r in rows if r.toxic == 1]
+    auc = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
+    caught = sum(r.predicted for r in rows if r.toxic == 1) / len(bad)
+    # the labels are partly noise: what has no toxic word in the rows to learn from can't be found
+    assert len(bad) >= 5 and auc > 0.85 and caught >= 0.7 and sum(g >= toxicity.THRESHOLD for g in good) <= 0.02 * len(good), (auc, caught)
+
+
 def test_toxicity_odd_input(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (2, None, 0), (99, 1, 0)], "doc_id long, toxic int, score int")
     model = toxicity.train(odd, labels)

@@ -17,14 +17,14 @@ from mesoflux.llm._common import connected_components, sampled, scratch_path
 
 from .test_documents import components_brute, contamination_brute, fingerprint_brute, lines_brute, quality_brute  # noqa: F401
 
-PAGES = "page_id long, url string, html string, host string, rule string, record_type string, payload string"
+PAGES = "page_id long, url string, html string, host string, rule string, record_type string, payload string, _h string, _p string, record_id string"
 
 
 @pytest.fixture(scope="module")
 def pages(spark):
     rows = [(5, "http://A.example.ORG/es/x?q#f", "<p>one</p>"), (3, "https://example.org/en/12", "<p>one</p>"), (9, None, None), (4, "no scheme", ""), (7, "http://x.com/fr/", "ünï\r\n\r\nWARC/1.1\r\nWARC-Type: x"),
             (3, "https://example.org/en/12", "<p>one</p>"), (None, "ftp://com/de/\r\nInjected: 1", "<p>one</p>"), (8, "http://x.com/de/#", "x" * 300_000), (11, "http://notcom/de/", "ünï\r\n\r\nWARC/1.1\r\nWARC-Type: x"), (12, "http://example.org", None)]
-    return spark.createDataFrame([(*r, "h", "r", "t", "p") for r in rows], PAGES)
+    return spark.createDataFrame([(*r, "h", "r", "t", "p", "a", "b", "c") for r in rows], PAGES)
 
 
 def archive(spark, pages):
@@ -58,13 +58,34 @@ def test_warc_round_trip_and_revisits(spark, pages):
 
 
 def test_warc_files_are_plain_gzip_with_right_lengths(spark, pages):
-    a, _ = archive(spark, pages)
-    n = 0
-    for r in spark.read.format("binaryFile").load(a).collect():
-        for headers, payload in warc.parse(io.BytesIO(gzip.decompress(bytes(r.content)))):
-            assert "Injected" not in headers and int(headers["Content-Length"]) == len(payload)
-            n += 1
-    assert n == pages.count()
+    a, b = archive(spark, pages)
+    for path in (a, b):
+        ids, n = set(), 0
+        for r in spark.read.format("binaryFile").load(path).collect():
+            stream = io.BytesIO(gzip.decompress(bytes(r.content)))
+            while line := stream.readline():  # a plain reader, record by record
+                assert line == b"WARC/1.1\r\n"
+                headers = {}
+                while (line := stream.readline()) != b"\r\n":
+                    name, _, value = line.decode().rstrip("\r\n").partition(": ")
+                    headers[name] = value
+                stream.read(int(headers["Content-Length"]))
+                assert stream.read(4) == b"\r\n\r\n" and "Injected" not in headers
+                ids.add(headers["WARC-Record-ID"])
+                n += 1
+        assert n == pages.count() == len(ids)
+
+
+def test_warc_payloads_with_version_lines_large_ones_and_edge_spaces(spark):
+    mark = "WARC/1.1\r\n"
+    htmls = [mark, mark * 3, f"W{mark}", f"WARC/1.WARC/1.1\r{mark}\r\n\r\n", "\r\n\r\n", "ü" * 3_000_000, f"x{mark}WARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n", " ", mark]
+    rows = [(k, f"  http://x/{k} ", h) for k, h in enumerate(htmls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    a, b = archive(spark, pages)
+    assert {r.page_id: (r.uri, r.payload) for r in warc.read_archive(spark, a).collect()} == {k: (u, h) for k, u, h in rows}
+    got = {r.page_id: r for r in warc.read_archive(spark, b).collect()}
+    assert (got[8].record_type, got[8].refers_to, got[8].refers_to_record) == ("revisit", 0, got[0].record_id)
+    assert all(got[k].record_type == "response" and got[k].payload == htmls[k] for k in range(8))
 
 
 def test_warc_minimum_size_and_empty_table(spark, pages):
@@ -92,9 +113,16 @@ def test_url_filter_matches_brute_force(spark, sf, pages):
         got = url_filter.judge_urls(df).collect()
         assert len(got) == df.count()
         assert all((r.host, r.path, r.rule, r.verdict) == url_brute(r.url) for r in got)
+        assert {r._h for r in got} <= {"a"} if "_h" in df.columns else True
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_rules_that_look_alike_when_joined(spark):
+    rules = [("a.b", "/c", "block"), ("a.b/", "c", "allow"), ("b", "/c", "allow")]
+    got = url_filter.judge_urls(spark.createDataFrame([(1, "s://x.a.b/cd")], "page_id long, url string"), rules).first()
+    assert (got.rule, got.verdict) == ("a.b/c", "block")
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["a.b", "b", "c.b", "x"]), st.sampled_from(["/", "/p", "/p/q", "/pq"]), st.sampled_from(["allow", "block"])), max_size=12), st.integers(1, 5))
 def test_digest_array_survives_collisions(rules, buckets):

@@ -41,25 +41,27 @@ def _moments(df: DataFrame, *cols: Column) -> tuple:
 
 
 def fit_weibull(df: DataFrame, column: str) -> dict:
-    """Newton on the shape, in logs; started from Justus's rule."""
-    x, n = binned(df, column, low=0.0)
-    if len(x) < 2:
+    """Newton on the shape, in logs; started from Justus's rule. Each step is one aggregate over the positive sample, with no bins between."""
+    c = F.col(column)
+    ok = df.where(c > 0)
+    n, mean, std, mean_log, top = _moments(ok, F.avg(c), F.stddev_samp(c), F.avg(F.log(c)), F.max(F.log(c)))
+    if n < 2 or not std:
         return {"shape": NAN, "scale": NAN}
-    total, logs = n.sum(), np.log(x)
-    mean = (n * x).sum() / total
-    std = math.sqrt((n * (x - mean) ** 2).sum() / max(total - 1, 1))
-    mean_log, top = (n * logs).sum() / total, logs.max()
-    k = (std / mean) ** -1.086 if std > 0 else 1.0
-    for _ in range(200):
-        w = n * np.exp(k * (logs - top))
-        a = (w * logs).sum() / w.sum()
-        b = (w * logs * logs).sum() / w.sum()
-        step = (1 / k + mean_log - a) / (-1 / (k * k) - (b - a * a))
+    logs = F.log(c)
+
+    def sums(k: float) -> tuple[float, float, float]:
+        w = F.exp(F.lit(k) * (logs - F.lit(top)))
+        return tuple(ok.agg(F.sum(w), F.sum(w * logs), F.sum(w * logs * logs)).first())
+
+    k = (std / mean) ** -1.086
+    for _ in range(60):
+        w, wl, wll = sums(k)
+        a = wl / w
+        step = (1 / k + mean_log - a) / (-1 / (k * k) - (wll / w - a * a))
         k = max(k - step, k / 2)
         if abs(step) < 1e-10:
             break
-    w = n * np.exp(k * (logs - top))
-    return {"shape": k, "scale": math.exp(top + math.log(w.sum() / total) / k)}
+    return {"shape": k, "scale": math.exp(top + math.log(sums(k)[0] / n) / k)}
 
 
 def fit_gamma(df: DataFrame, column: str) -> dict:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 def asof_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str = "ts", tolerance: str = "30 minutes", columns: Sequence[str] | None = None, suffixes: tuple[str, str] = ("_obs", "_model")) -> DataFrame:
     """Every left row beside the right row nearest in time within the tolerance; of two as near, the earlier.
 
-    One union, one shuffle on the keys and one sort: the last right row before and the first one after are carried along, in place
-    of a range join. Without a match the right columns are null. Right rows with the same stamp must be made one beforehand.
+    One union and one shuffle on the keys: in time order the last right row is carried along, in the order of time reversed the next
+    one, each frame growing from its start, so the work is linear in the rows. Without a match the right columns are null. Right rows with the same stamp must be made one beforehand.
     Give ``keys`` (a station, or a station and a coarse time bucket) wherever the tables are large.
     """
     names = list(columns if columns is not None else [c for c in left.columns if c in right.columns and c not in (*keys, ts)])
@@ -22,7 +22,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str
     b = right.select(*keys, ts, F.lit(0).alias("_side"), none.cast(a.schema["_row"].dataType).alias("_row"), payload(right).alias("_r"))
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(ts, "_side")
     both = a.unionByName(b).withColumn("_before", F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_after", F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("_side = 1")
+    back_in_time = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.desc(ts), F.desc("_side"))
+    both = both.withColumn("_after", F.last("_r", ignorenulls=True).over(back_in_time.rowsBetween(Window.unboundedPreceding, 0))).where("_side = 1")
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     back, ahead = micros(F.col(ts)) - micros(F.col("_before._at")), micros(F.col("_after._at")) - micros(F.col(ts))
     pick = F.when(ahead.isNull() | (back <= ahead), F.col("_before")).otherwise(F.col("_after"))
@@ -68,13 +69,16 @@ def interval_join(rows: DataFrame, rules: DataFrame, key: str, ts: str = "ts", s
     return rows.withColumn("_rb", day(F.col(ts))).join(wide, (F.col(key) == F.col("_key")) & (F.col("_rb") == F.col("_b")) & inside, how).drop("_key", "_b", "_rb")
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+def nearest_cell(points: DataFrame, cells: DataFrame, lat: str = "lat", lon: str = "lon", outside: str = "error") -> DataFrame:
     """``points`` with the y, x of the nearest cell (by the hypotenuse of degrees; the least y, x on ties) and km.
 
     Distinct places of both sides meet by an equi-join on square tiles. A place is settled once its nearest cell is no farther than
     the rings of tiles that were searched; for the others the rings are doubled. Every row of ``points`` stays, repeated ones too;
-    where there is no place or no cell, y, x and km are null.
+    where there is no place or no cell, y, x and km are null. A place beyond the cells' centres fails the job, since its nearest cell
+    would be the grid's edge; with ``outside="nearest"`` it gets that cell.
     """
+    if outside not in ("error", "nearest"):
+        raise ValueError(f"unknown handling of outside places: {outside}")
     sites = cells.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(F.col(lat).cast("double").alias("_clat"), F.col(lon).cast("double").alias("_clon"))
     sites = sites.agg(F.min(F.struct("y", "x")).alias("_c"))
     places = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(lat).cast("double").alias("_plat"), F.col(lon).cast("double").alias("_plon")).distinct()
@@ -108,23 +112,29 @@ def nearest_cell(points: DataFrame, cells: DataFrame, lat: str = "lat", lon: str
         found = places.withColumn("b", F.lit(None).cast("struct<d:double,y:bigint,x:bigint,_clat:double,_clon:double>"))
     km = F.sqrt(F.pow((F.col("b._clat") - F.col(lat)) * 111.32, 2) + F.pow((F.col("b._clon") - F.col(lon)) * 111.32 * F.cos(F.radians(lat)), 2))
     joined = points.join(found, (F.col(lat).cast("double") == F.col("_plat")) & (F.col(lon).cast("double") == F.col("_plon")), "left")
-    return joined.select(*points.columns, F.col("b.y").alias("y"), F.col("b.x").alias("x"), km.alias("distance_km"))
+    y = F.col("b.y")
+    if outside == "error" and box.n:
+        inside = F.col(lat).between(box.s, box.n_) & F.col(lon).between(box.w, box.e)
+        y = F.when(F.coalesce(~inside, F.lit(False)), F.raise_error(F.format_string("a place lies outside the grid: %s, %s", lat, lon)).cast("long")).otherwise(y)
+    return joined.select(*points.columns, y.alias("y"), F.col("b.x").alias("x"), km.alias("distance_km"))
 
 
 def assign_domains(stations: DataFrame, domains: DataFrame) -> DataFrame:
     """Each station with the finest domain whose bounds hold it (by dx, then name); null where none does.
 
-    ``domains``: domain, dx, south, north, west, east; a handful of rows.
+    ``domains``: domain, dx, south, north, west, east; Spark broadcasts it while it is small. Equal stations stay as they are.
     """
-    d = F.broadcast(domains.select("domain", "dx", "south", "north", "west", "east"))
+    d = domains.select("domain", "dx", "south", "north", "west", "east")
     inside = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
-    joined = stations.join(d, inside, "left")
-    return joined.groupBy(*stations.columns).agg(F.min(F.struct("dx", "domain")).alias("b")).select(*stations.columns, F.when(F.col("b.dx").isNotNull(), F.col("b.domain")).alias("domain"))
+    places = stations.select("lat", "lon").distinct()
+    best = places.join(d, inside).groupBy(F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).agg(F.min(F.struct("dx", "domain")).alias("_b"))
+    joined = stations.join(best, (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon")), "left")
+    return joined.select(*stations.columns, F.col("_b.domain").alias("domain"))
 
 
 def point_series(fields: DataFrame, located: DataFrame, values: Sequence[str], time: str = "valid_time") -> DataFrame:
     """Values at located points: an equi-join on (domain, y, x); rows without a stamp go."""
-    return fields.where(F.col(time).isNotNull()).join(F.broadcast(located), ["domain", "y", "x"]).select("name", time, *values)
+    return fields.where(F.col(time).isNotNull()).join(located, ["domain", "y", "x"]).select("name", time, *values)
 
 
 def neighbour_mean(df: DataFrame, column: str, keys: Sequence[str] = (), ts: str = "ts", step: str = "1 hour") -> DataFrame:
@@ -187,6 +197,11 @@ def reindex_to(times: DataFrame, sensors: DataFrame, on: Sequence[str] = ("ts",)
     return times.join(sensors, list(on), "left")
 
 
+def missing_steps(wanted: DataFrame, published: DataFrame, on: Sequence[str]) -> DataFrame:
+    """What of ``wanted`` is not published, each once."""
+    return wanted.select(*on).subtract(published.select(*on))
+
+
 def disjoint_check(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys on both sides; empty if the sets are disjoint."""
     return a.select(key).intersect(b.select(key))

@@ -115,46 +115,47 @@ def persistent_runs(df: DataFrame, column: str, min_run: int, keys: Sequence[str
     return run.withColumn(column, F.when(size <= min_run, F.col(column))).drop("_starts", "_run")
 
 
-def _excursions(ts: np.ndarray, v: np.ndarray, threshold: float, return_tol: float, max_len: int, step: float) -> np.ndarray:
-    """Which samples to mask. ``ts`` in seconds, ``v`` without missing values."""
-    n, bad = len(v), np.zeros(len(v), bool)
-    close = np.diff(ts) <= 2 * step
-    i = 1
-    while i < n:
-        jump = v[i] - v[i - 1]
-        if close[i - 1] and abs(jump) > threshold and not bad[i - 1]:
-            for j in range(i + 1, min(n, i + max_len + 1)):
-                if not close[j - 1]:
-                    break
-                back = v[j] - v[j - 1]
-                if abs(back) > threshold and back * jump < 0 and abs(v[j] - v[i - 1]) <= return_tol:
-                    bad[i:j] = True
-                    break
-        i += 1
-    return bad
-
-
 def step_excursions(df: DataFrame, column: str, threshold: float, return_tol: float, max_len: int, keys: Sequence[str] = (), ts: str = "ts", step_seconds: float = 300.0) -> DataFrame:
-    """Blank short departures that leave and come back.
+    """Blank short departures that leave and come back: a jump beyond the threshold, a jump back within ``max_len`` samples, and a value
+    within ``return_tol`` of the one before it all.
 
-    The rule is sequential, but samples over two steps apart can't be in one excursion, so every such gap starts a new segment and
-    segments are worked on in parallel. Null samples are left out of the rule and stay null.
+    The rule is sequential, but no excursion reaches over a gap of more than two steps (or of none), nor over ``max_len`` samples
+    without a jump. Both begin a new segment, so segments are a few samples long; those of one sample have no jump and are left as
+    they are, the others are folded in the JVM. Null samples are left out of the rule and stay null.
     """
-    order = Window.partitionBy(*keys).orderBy(ts) if keys else Window.orderBy(ts)
-    valid = df.where(F.col(column).isNotNull())
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(order).cast("timestamp")) > int(2 * step_seconds * 1e6)
-    marked = valid.withColumn("_gap", F.when(F.coalesce(gap, F.lit(True)), 1).otherwise(0)).withColumn("_seg", F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
-
-    columns = df.columns
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts)
-        seconds = pdf[ts].to_numpy("datetime64[us]").astype("int64") / 1e6
-        bad = _excursions(seconds, pdf[column].to_numpy(float), threshold, return_tol, max_len, step_seconds)
-        return pdf.assign(**{column: pdf[column].mask(bad)})[columns]
-
-    done = marked.groupBy(*keys, "_seg").applyInPandas(run, df.schema)
-    return done.unionByName(df.where(F.col(column).isNull()))
+    order = _by(keys, ts)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    step, jump = micros - F.lag(micros).over(order), F.col(column) - F.lag(column).over(order)
+    near = F.coalesce((step > 0) & (step <= int(2 * step_seconds * 1e6)), F.lit(False))
+    valid = df.where(F.col(column).isNotNull()).withColumns({"_near": near, "_jump": (near & (F.abs(jump) > threshold)).cast("int")})
+    quiet = F.max("_jump").over(order.rowsBetween(-max_len, 0)) == 0
+    begins = valid.withColumn("_begins", (~F.col("_near") | quiet).cast("int"))
+    marked = begins.withColumns({"_seg": F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_alone": (F.col("_begins") == 1) & (F.coalesce(F.lead("_begins").over(order), F.lit(1)) == 1)})
+    row = F.struct(*[F.col(c) for c in df.columns])
+    segments = marked.where(~F.col("_alone")).groupBy(*keys, "_seg").agg(F.array_sort(F.collect_list(F.struct(micros.alias("t"), F.col(column).cast("double").alias("v"), row.alias("row")))).alias("s"))
+
+    def fold(s: Column) -> Column:
+        """For each sample of a segment whether it goes."""
+        v = lambda i: F.get(s, i)["v"]
+        jumped = lambda i: v(i) - v(i - 1)
+        last = lambda i: F.least(F.size(s) - 1, i + max_len)
+        returns = lambda i, j: (F.abs(jumped(j)) > threshold) & (jumped(j) * jumped(i) < 0) & (F.abs(v(j) - v(i - 1)) <= return_tol)
+        end = lambda i: F.array_min(F.filter(F.sequence(i + 1, last(i)), lambda j: returns(i, j)))
+
+        def advance(until: Column, i: Column) -> Column:
+            """Samples before ``until`` that were not yet judged go; a departure may begin only after one that stays."""
+            begun = (i - 1 >= F.element_at(until, -1)) & (F.abs(jumped(i)) > threshold) & (last(i) > i)
+            found = F.when(begun, end(i))
+            return F.when(found.isNotNull(), F.concat(until, F.array(i, found))).otherwise(until)
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(s) - 1), F.array(F.lit(0)), advance)
+
+    # spans: 0, then first and end of each departure, end not included
+    spans = segments.select("s", fold(F.col("s")).alias("spans"))
+    inside = lambda i: F.exists(F.sequence(F.lit(1), F.size("spans") - 2, F.lit(2)), lambda k: (i >= F.get("spans", k)) & (i < F.get("spans", k + 1)))
+    judged = F.transform("s", lambda x, i: F.struct(x["row"].alias("row"), F.when(F.size("spans") > 2, inside(i)).otherwise(F.lit(False)).alias("bad")))
+    done = spans.select(F.inline(judged)).select(*[F.when(~F.col("bad"), F.col(f"row.{c}")).alias(c) if c == column else F.col(f"row.{c}").alias(c) for c in df.columns])
+    return done.unionByName(marked.where("_alone").select(*df.columns)).unionByName(df.where(F.col(column).isNull()))
 
 
 def short_excursions(df: DataFrame, column: str, threshold: float, return_tol: float, keys: Sequence[str] = (), ts: str = "ts", step: str = "5 minutes") -> DataFrame:

@@ -14,6 +14,12 @@ def ordered(keys: Sequence[str], ts: str):
     return (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(ts)
 
 
+def next_known(value: Column, keys: Sequence[str], order: str) -> Column:
+    """The value of this row or the next one that has any. Time runs backwards in the window, so that its frame only grows."""
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.desc(order))
+    return F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+
 def add_lags(df: DataFrame, columns: Sequence[str], lags: Sequence[int], keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
     w = ordered(keys, ts)
     return df.withColumns({f"{c}_lag_{k}": F.lag(c, k).over(w) for c in columns for k in lags})
@@ -88,7 +94,7 @@ def interpolate_time(df: DataFrame, column: str, keys: Sequence[str] = (), ts: s
     """Linear in time, inside gaps only."""
     w = ordered(keys, ts)
     point = F.when(F.col(column).isNotNull(), F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(column).alias("v")))
-    base = df.withColumns({"_b": F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.first(point, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    base = df.withColumns({"_b": F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_a": next_known(point, keys, ts)})
     t = F.unix_micros(F.col(ts).cast("timestamp"))
     line = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * F.try_divide(t - F.col("_b.t"), F.col("_a.t") - F.col("_b.t"))
     return base.withColumn(column, F.coalesce(column, line)).drop("_a", "_b")
@@ -107,7 +113,7 @@ def repair_stamps(df: DataFrame, order: str, ts: str = "ts", keys: Sequence[str]
     every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     base = df.withColumn("_i", F.row_number().over(w))
     known = F.when(F.col(ts).isNotNull(), F.struct(F.col("_i").alias("i"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t")))
-    base = base.withColumns({"_b": F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)), "_share": F.avg(F.col(ts).isNull().cast("double")).over(every)})
+    base = base.withColumns({"_b": F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_a": next_known(known, keys, order), "_share": F.avg(F.col(ts).isNull().cast("double")).over(every)})
     at = F.col("_b.t") + (F.col("_a.t") - F.col("_b.t")) * F.try_divide(F.col("_i") - F.col("_b.i"), F.col("_a.i") - F.col("_b.i"))
     fixed = F.coalesce(F.col(ts), F.timestamp_micros(at.cast("long")).cast("timestamp_ntz"))
     base = base.withColumn("_t", fixed)
@@ -245,3 +251,18 @@ def target_means(df: DataFrame, targets: Sequence[str], label: str | None = None
         return df.agg(*[F.avg(t).alias(t) for t in targets])
     counts = df.where(F.col(label) >= 0).groupBy(F.col(label).alias("class")).agg(F.count("*").alias("n"))
     return counts.select("class", F.log(F.greatest(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), F.lit(floor))).alias("log_share"))
+
+
+def comparable_rows(df: DataFrame, lengths: dict[str, int], policy: str = "model_native", keys: Sequence[str] = (), ts: str = "ts", max_gap_seconds: float | None = None) -> dict[str, DataFrame]:
+    """The rows that each model is scored on. ``lengths``: model -> rows a window of it holds (1: no window).
+
+    ``model_native``: each model on all rows that end a whole window of its own. ``common_sequence_horizon``: all models on the rows
+    that end a window of the longest, a semi-join on keys and stamp, so that their scores compare.
+    """
+    native = {m: sequence_targets(df, n, keys, ts, max_gap_seconds).where("is_target").drop("is_target") for m, n in lengths.items()}
+    if policy == "model_native":
+        return native
+    if policy != "common_sequence_horizon":
+        raise ValueError(f"unknown policy {policy!r}")
+    longest = native[max(lengths, key=lengths.get)].select(*keys, ts).distinct()
+    return {m: rows.join(longest, [*keys, ts], "left_semi") for m, rows in native.items()}

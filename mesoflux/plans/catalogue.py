@@ -119,19 +119,20 @@ def lone_spikes_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.short_excursions(e, "v", 60.0, 20.0, ["station"], step="24 hours")
 
 
-@register()
+_RETURNS = "lead(near, {d}) OVER w AND abs(lead(jump, {d}) OVER w) > 60 AND lead(jump, {d}) OVER w * jump < 0 AND abs(lead(v, {d}) OVER w - before) <= 20"
+
+
+@register(f"""WITH RECURSIVE d AS (SELECT user_id, ts, value AS v, row_number() OVER w AS i, value - lag(value) OVER w AS jump, lag(value) OVER w AS before, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) BETWEEN 1 AND 172800000000, false) AS near FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    c AS (SELECT *, CASE WHEN near AND abs(jump) > 60 THEN CASE WHEN {_RETURNS.format(d=1)} THEN i + 1 WHEN lead(near, 1) OVER w AND {_RETURNS.format(d=2)} THEN i + 2 WHEN lead(near, 1) OVER w AND lead(near, 2) OVER w AND {_RETURNS.format(d=3)} THEN i + 3 END END AS e FROM d WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    r AS (SELECT user_id, i, ts, v, 0::BIGINT AS until FROM c WHERE i = 1 UNION ALL SELECT c.user_id, c.i, c.ts, c.v, CASE WHEN c.i - 1 >= r.until AND c.e IS NOT NULL THEN c.e ELSE r.until END FROM r JOIN c ON c.user_id = r.user_id AND c.i = r.i + 1)
+    SELECT user_id AS station, ts, CASE WHEN i >= until THEN v END AS v FROM r""")
 def step_excursions_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("station"), "ts", F.col("value").alias("v"))
     return quality.step_excursions(e, "v", 60.0, 20.0, 3, ["station"], step_seconds=86_400.0)
 
 
-@register("""WITH d AS (SELECT l_suppkey AS k, l_shipdate::DATE AS day, max(l_quantity) AS top FROM lineitem GROUP BY ALL), y AS (SELECT * FROM d WHERE top <= 20),
-    r AS (SELECT *, sum(CASE WHEN day - lag(day) OVER (PARTITION BY k ORDER BY day) > 1 OR lag(day) OVER (PARTITION BY k ORDER BY day) IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY day ROWS UNBOUNDED PRECEDING) AS run
-          FROM (SELECT k, day, lag(day) OVER (PARTITION BY k ORDER BY day) AS p FROM y))
-    SELECT k, min(day) AS first, max(day) AS last, count(*) AS days FROM (SELECT k, day, sum(CASE WHEN p IS NULL OR day - p > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY day ROWS UNBOUNDED PRECEDING) AS run
-          FROM (SELECT k, day, lag(day) OVER (PARTITION BY k ORDER BY day) AS p FROM y)) GROUP BY k, run HAVING count(*) >= 2""".replace("""    r AS (SELECT *, sum(CASE WHEN day - lag(day) OVER (PARTITION BY k ORDER BY day) > 1 OR lag(day) OVER (PARTITION BY k ORDER BY day) IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY day ROWS UNBOUNDED PRECEDING) AS run
-          FROM (SELECT k, day, lag(day) OVER (PARTITION BY k ORDER BY day) AS p FROM y))
-""", "").replace("top <= 20),", "top <= 20)"))
+@register("""WITH d AS (SELECT l_suppkey AS k, l_shipdate::DATE AS day, max(l_quantity) AS top FROM lineitem GROUP BY ALL), y AS (SELECT k, day, lag(day) OVER (PARTITION BY k ORDER BY day) AS p FROM d WHERE top <= 20)
+    SELECT k, min(day) AS first, max(day) AS last, count(*) AS days FROM (SELECT k, day, sum(CASE WHEN p IS NULL OR day - p > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY day ROWS UNBOUNDED PRECEDING) AS run FROM y) GROUP BY k, run HAVING count(*) >= 2""")
 def dry_day_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_shipdate").alias("ts"), (F.col("l_quantity") - 20).alias("depth"))
     return quality.blocked_gauge_runs(li, "depth", ["k"], min_days=2)
@@ -546,8 +547,8 @@ def lags_rolling_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "value_lag_1", "value_lag_3", r6("value_roll_4_mean").alias("value_roll_4_mean"), r6("value_roll_4_std").alias("value_roll_4_std"), r6("value_diff_1").alias("value_diff_1"))
 
 
-@register("""WITH d AS (SELECT event_id, user_id, ts, epoch(date_trunc('second', ts)) - epoch(lag(date_trunc('second', ts)) OVER w AS g, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-    g AS (SELECT *, coalesce((g > 43200)::INT, 0) AS gap FROM d) SELECT event_id, i >= 4 AND sum(gap) OVER (PARTITION BY user_id ORDER BY ts ROWS 2 PRECEDING) = 0 AS is_target FROM g""".replace("lag(date_trunc('second', ts)) OVER w AS g", "lag(date_trunc('second', ts)) OVER w) AS g"))
+@register("""WITH d AS (SELECT event_id, user_id, ts, epoch(date_trunc('second', ts)) - epoch(lag(date_trunc('second', ts)) OVER w) AS g, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    g AS (SELECT *, coalesce((g > 43200)::INT, 0) AS gap FROM d) SELECT event_id, i >= 4 AND sum(gap) OVER (PARTITION BY user_id ORDER BY ts ROWS 2 PRECEDING) = 0 AS is_target FROM g""")
 def gap_free_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.sequence_targets(table(spark, sf_dir, "events"), 4, ["user_id"], max_gap_seconds=43_200).select("event_id", "is_target")
 
@@ -600,3 +601,6 @@ def calendar_and_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = windows.cyclic_features(windows.calendar_features(table(spark, sf_dir, "events")))
     ints = [F.col(c).cast("long").alias(c) for c in ("hour", "day_of_year", "month", "weekday")]
     return out.select("event_id", *ints, r6("hour_sin").alias("hour_sin"), r6("doy_cos").alias("doy_cos"))
+
+
+from . import library, library2  # noqa: E402, F401  they register their queries too

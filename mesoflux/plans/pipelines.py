@@ -87,9 +87,9 @@ def publish_station_series(fields: DataFrame, stations: DataFrame, domains: Data
         located = one if located is None else located.unionByName(one)
     if located is None:
         raise ValueError("no station lies in any domain")
-    at = fields.join(F.broadcast(located.select("name", "domain", "y", "x")), ["domain", "y", "x"])
+    at = fields.join(located.select("name", "domain", "y", "x"), ["domain", "y", "x"])
     series = grid.operational_columns(at, ["name", "valid_time"], wanted).withColumnRenamed("valid_time", "ts")
-    return publish.append_block(series, path)
+    return publish.append_block(series, path, ["name", "ts"])
 
 
 def ktkd_table(df: DataFrame, site: Site, ghi: str = "Sw_dw", dhi: str = "Sw_dif", keys: Sequence[str] = (), ts: str = "ts", min_ghi: float = 50.0) -> DataFrame:

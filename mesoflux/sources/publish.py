@@ -39,9 +39,10 @@ def write_archive_tables(tables: Mapping[str, DataFrame], folder: str, ts: str =
 
 def archive_report(changes: DataFrame, facts: DataFrame) -> DataFrame:
     """One JSON text: ``changes`` (stage, column, removed) nested by stage, beside the one row of ``facts``."""
-    stages = changes.groupBy("stage").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("column", "removed")))).alias("columns"))
-    one = stages.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("stage", "columns")))).alias("removed"))
-    return one.crossJoin(facts).select(F.to_json(F.struct("removed", *facts.columns)).alias("value"))
+    stages = changes.groupBy("stage").agg(F.sort_array(F.collect_list(F.struct("column", "removed"))).alias("columns"))
+    sorted_ = F.sort_array(F.collect_list(F.struct("stage", "columns")))
+    nested = F.map_from_entries(F.transform(sorted_, lambda s: F.struct(s["stage"], F.map_from_entries(s["columns"]))))
+    return stages.agg(nested.alias("removed")).crossJoin(facts).select(F.to_json(F.struct("removed", *facts.columns)).alias("value"))
 
 
 def monitoring_payload(df: DataFrame, values: Mapping[str, str], freq: str, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
@@ -94,7 +95,7 @@ def step_values(df: DataFrame, value: str, bounds: DataFrame, by: Sequence[str]
     low, high = finite(F.col("scale_min")), finite(F.col("scale_max"))
     bad = low.isNull() | high.isNull()
     scale = F.when(bad, F.raise_error(F.lit("scale bounds are not finite")).cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: low + (high - low) * k / 5))
-    return got.join(F.broadcast(bounds), list(by)).select(*by, "step", "values", scale.alias("scale"))
+    return got.join(bounds, list(by)).select(*by, "step", "values", scale.alias("scale"))
 
 
 def availability(steps: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -111,9 +112,11 @@ def common_range(steps: DataFrame, over: str) -> DataFrame:
 
 
 def vector_overlay(df: DataFrame, u: str, v: str, stride: int = 4, by: Sequence[str] = ("domain", "step"), width: int | None = None) -> DataFrame:
-    """(by, vectors): bearing, magnitude and linear index of every ``stride``-th cell."""
+    """(by, vectors): bearing, magnitude and row-major index of every ``stride``-th cell; ``width``: cells a row, else that of the widest."""
     some = df.where((F.col("y") % stride == 0) & (F.col("x") % stride == 0) & F.col(u).isNotNull() & F.col(v).isNotNull())
-    index = F.col("y") * (F.lit(width) if width is not None else F.lit(0)) + F.col("x")
+    if width is None:
+        width = (df.agg(F.max("x")).first()[0] or 0) + 1
+    index = F.col("y") * F.lit(width) + F.col("x")
     return some.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(index.alias("index"), F.bround(flow_bearing(F.col(u), F.col(v)), 1).alias("bearing"), F.bround(F.sqrt(F.col(u) ** 2 + F.col(v) ** 2), 2).alias("speed")))).alias("vectors"))
 
 
@@ -132,23 +135,44 @@ def grid_cells(cells: DataFrame, by: Sequence[str] = ("domain",)) -> DataFrame:
     return out.withColumn("separable", flat("west", "x") & flat("east", "x") & flat("south", "y") & flat("north", "y"))
 
 
-def append_block(new: DataFrame, path: str, key: str = "ts", force: bool = False) -> bool:
-    """Append unless all of the block's stamps are there already; columns that the table lacks are refused, missing ones are null."""
-    spark = new.sparkSession
+def _stored(spark, path: str) -> DataFrame | None:
     try:
-        old = spark.read.parquet(path)
+        return spark.read.parquet(path)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        new.write.parquet(path)
+        return None
+
+
+def absent_rows(new: DataFrame, old: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
+    """Rows of ``new``, one a key, whose keys (a station and a stamp) ``old`` lacks; of ``old`` only the span of the new stamps is read."""
+    once = new.dropDuplicates(list(keys))
+    if ts not in keys:
+        return once.join(old.select(*keys), list(keys), "left_anti")
+    low, high = new.agg(F.min(ts), F.max(ts)).first()
+    if low is None:
+        return once
+    return once.join(old.where(F.col(ts).between(F.lit(low), F.lit(high))).select(*keys), list(keys), "left_anti")
+
+
+def append_block(new: DataFrame, path: str, keys: Sequence[str] = ("ts",), ts: str = "ts", force: bool = False) -> bool:
+    """Append the rows of the block whose ``keys`` the table lacks; whether there were any.
+
+    Give a station and a stamp as keys where the table has several stations. With ``force`` the block is appended as it is. Columns
+    that the table lacks are refused, missing ones are null.
+    """
+    old = _stored(new.sparkSession, path)
+    if old is None:
+        (new if force else new.dropDuplicates(list(keys))).write.parquet(path)
         return True
     extra = [c for c in new.columns if c not in old.columns]
     if extra:
         raise ValueError(f"the table has no columns {extra}; evolve its schema first")
-    if not force and not new.select(key).join(old.select(key), key, "left_anti").limit(1).count():
+    fresh = new if force else absent_rows(new, old, keys, ts)
+    if not force and fresh.isEmpty():
         return False
     fill = {f.name: F.lit(None).cast(f.dataType) for f in old.schema.fields if f.name not in new.columns}
-    new.withColumns(fill).select(*old.columns).write.mode("append").parquet(path)
+    fresh.withColumns(fill).select(*old.columns).write.mode("append").parquet(path)
     return True
 
 
@@ -162,25 +186,39 @@ def evolve_schema(old: DataFrame, new: DataFrame, wanted: Sequence[str]) -> Data
 
 
 def write_with_meta(df: DataFrame, path: str, order: Sequence[str], extra: Mapping[str, str] | None = None) -> None:
-    """The table, and beside it one JSON row: row count, content hash and what else is given."""
+    """The table, and beside it one JSON row: row count, content hash, the order it is hashed in, and what else is given."""
     df.write.mode("overwrite").parquet(path)
     written = df.sparkSession.read.parquet(path)
-    content_hash(written, order).withColumns({k: F.lit(v) for k, v in (extra or {}).items()}).write.mode("overwrite").json(path.rstrip("/") + ".meta")
+    facts = {"order": ",".join(order)} | dict(extra or {})
+    content_hash(written, order).withColumns({k: F.lit(v) for k, v in facts.items()}).write.mode("overwrite").json(path.rstrip("/") + ".meta")
 
 
-def stored_hash(spark, path: str) -> str | None:
+def stored_meta(spark, path: str) -> dict:
+    """The meta row of a table as a dictionary; empty where there is none."""
     try:
-        row = spark.read.json(path.rstrip("/") + ".meta").select("hash").first()
+        row = spark.read.json(path.rstrip("/") + ".meta").first()
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return None
-    return row.hash if row else None
+        return {}
+    return row.asDict() if row else {}
+
+
+def load_verified(spark, path: str, expected: str | None = None) -> DataFrame:
+    """A table written with its meta row, after its content was hashed again; another content, or another id than ``expected``, is an error."""
+    meta = stored_meta(spark, path)
+    if not meta:
+        raise ValueError(f"{path} has no meta row")
+    df = spark.read.parquet(path)
+    found = content_hash(df, meta["order"].split(",")).first().hash
+    if found != meta["hash"] or expected not in (None, found):
+        raise ValueError(f"{path} holds {found}, not {expected or meta['hash']}")
+    return df
 
 
 def save_guarded(df: DataFrame, path: str, order: Sequence[str], force: bool = False) -> bool:
     """Write; equal content is left alone, other content is an error unless forced."""
-    old = stored_hash(df.sparkSession, path)
+    old = stored_meta(df.sparkSession, path).get("hash")
     new = content_hash(df, order).first().hash
     if old == new:
         return False
@@ -195,14 +233,10 @@ def rebuild_if_changed(inputs: Mapping[str, tuple[DataFrame, Sequence[str]]], pa
     import hashlib
 
     digest = hashlib.sha256("".join(f"{n}={content_hash(df, order).first().hash};" for n, (df, order) in sorted(inputs.items())).encode()).hexdigest()
+    spark = next(iter(inputs.values()))[0].sparkSession
+    if stored_meta(spark, path).get("inputs") == digest:
+        return False
     table, order = build()
-    spark = table.sparkSession
-    try:
-        if spark.read.json(path.rstrip("/") + ".meta").select("inputs").first().inputs == digest:
-            return False
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error) and "UNRESOLVED_COLUMN" not in str(error):
-            raise
     write_with_meta(table, path, order, {"inputs": digest})
     return True
 

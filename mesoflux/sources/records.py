@@ -5,6 +5,7 @@ Files are parsed by Spark; only headers, which are a few names, come to the driv
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from pathlib import Path
@@ -87,12 +88,33 @@ def scan_manifest(spark: SparkSession, entries: Sequence[Mapping], folder: str,
     return merge_sources([apply_repair(read_toa5(spark, f"{folder}/{e['path']}", **options), e.get("repair", Repair())) for e in entries])
 
 
-def scan_directory(spark: SparkSession, folder: str, pattern: str = "*.dat", **options) -> DataFrame:
-    """All files of a folder, in name order, merged."""
-    paths = sorted(r.path for r in spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path").collect())
-    if not paths:
-        raise ValueError(f"no {pattern} in {folder}")
-    return merge_sources([read_toa5(spark, p, **options) for p in paths])
+def scan_directory(spark: SparkSession, folder: str, pattern: str = "*.dat", *, sep: str = ",", timestamp_column: str = STAMP, drop: Sequence[str] = ("RECORD",), sentinel: float | None = -900.0, text_columns: Sequence[str] = ()) -> DataFrame:
+    """All logger files of a folder as one record: of each stamp, column by column, the first value in name order of the files.
+
+    One scan, whatever the number of files. The line with the stamp's name is a file's header; files with the same header are parsed
+    together, so the plan grows with the number of different headers alone. The other header lines have no stamp and go.
+    """
+    lines = spark.read.option("pathGlobFilter", pattern).text(folder).select("value", F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_line"))
+    token = rf"(^|{re.escape(sep)})\"?{re.escape(timestamp_column)}\"?({re.escape(sep)}|\r?$)"
+    heads = lines.where(F.col("value").rlike(token)).groupBy("_path").agg(F.min_by("value", "_line").alias("_head"))
+    variants = sorted(r[0] for r in heads.select("_head").distinct().collect())  # a loggers' folder has a handful
+    if not variants:
+        raise ValueError(f"no {pattern} with a {timestamp_column} column in {folder}")
+    tagged, rows = lines.join(heads, "_path"), None
+    for head in variants:
+        names = _split_csv(head, sep)
+        if len(set(names)) != len(names):
+            raise ValueError(f"a file names a column twice: {head}")
+        parsed = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": sep, "quote": '"'})
+        kept = [n for n in names if n != timestamp_column and n not in drop]
+        one = tagged.where(F.col("_head") == head).select("_path", "_line", parsed.alias("_row"))
+        field = lambda n: F.col("_row").getField(n)
+        one = one.select(F.try_to_timestamp(field(timestamp_column)).cast("timestamp_ntz").alias("ts"), "_path", "_line", *[(field(n) if n in text_columns else number(field(n), sentinel)).alias(n) for n in kept])
+        one = one.where("ts IS NOT NULL")
+        rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+    values = [c for c in rows.columns if c not in ("ts", "_path", "_line")]
+    once = rows.groupBy("_path", "ts").agg(F.min_by(F.struct(*values), "_line").alias("_row"))
+    return once.groupBy("ts").agg(*[F.min_by(F.col("_row").getField(c), F.when(F.col("_row").getField(c).isNotNull(), F.col("_path"))).alias(c) for c in values])
 
 
 PARTS = ("year", "month", "day", "hour", "minute")

@@ -68,20 +68,12 @@ def stream_dedup(df: DataFrame, keys: Sequence[str], ts: str = "ts", lateness: s
     return event_time(df, ts).withWatermark(ts, lateness).dropDuplicatesWithinWatermark([*keys, ts])
 
 
-def append_sink(path: str, key: str = "ts") -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: only rows whose stamp the table lacks are appended, so a replayed batch changes nothing."""
+def append_sink(path: str, keys: Sequence[str] = ("ts",), ts: str = "ts") -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: only rows whose ``keys`` (a station and a stamp) the table lacks are appended, one a key, so a replayed
+    batch changes nothing. Of the table only the span of the batch's stamps is read."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(path).select(key)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            batch.write.parquet(path)
-            return
-        fresh = batch.join(old, key, "left_anti")
-        append_block(fresh, path, key, force=True)
+        append_block(batch, path, keys, ts)
 
     return write
 

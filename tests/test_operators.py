@@ -376,11 +376,75 @@ def test_sinks(spark, tmp_path):
     assert publish.save_guarded(df, str(tmp_path / "g"), ["ts"]) and not publish.save_guarded(df, str(tmp_path / "g"), ["ts"])
     with pytest.raises(ValueError, match="another version"):
         publish.save_guarded(df.limit(1), str(tmp_path / "g"), ["ts"])
-    assert publish.rebuild_if_changed({"x": (df, ["ts"])}, str(tmp_path / "r"), lambda: (df, ["ts"])) and not publish.rebuild_if_changed({"x": (df, ["ts"])}, str(tmp_path / "r"), lambda: (df, ["ts"]))
+    built = []
+    build = lambda: built.append(1) or (df, ["ts"])
+    assert [publish.rebuild_if_changed({"x": (x, ["ts"])}, str(tmp_path / "r"), build) for x in (df, df, df.limit(1))] == [True, False, True] and len(built) == 2
+    assert publish.load_verified(spark, str(tmp_path / "g")).count() == 2
+    df.limit(1).write.mode("append").parquet(str(tmp_path / "g"))
+    with pytest.raises(ValueError, match="holds"):
+        publish.load_verified(spark, str(tmp_path / "g"))
     doc = publish.monitoring_payload(series(spark, [1.26, float("nan")], step=600), {"v": "C"}, "5 minutes").first().value
     assert '"count":3' in doc and '"v":[1.3,null,null]' in doc
 
 
+def test_blocks_of_a_second_station_are_appended(spark, tmp_path):
+    a = series(spark, [1.0, 2.0]).withColumn("name", F.lit("a"))
+    path, sink = str(tmp_path / "t"), str(tmp_path / "s")
+    assert publish.append_block(a, path, ["name", "ts"])
+    both = a.unionByName(a.withColumn("name", F.lit("b")))
+    assert publish.append_block(both, path, ["name", "ts"]) and not publish.append_block(both, path, ["name", "ts"])
+    write = sensors.append_sink(sink, ["name", "ts"])
+    for epoch, batch in enumerate((a, a.unionByName(a), both, both)):
+        write(batch, epoch)
+    for t in (path, sink):
+        assert sorted((r.name, r.v) for r in spark.read.parquet(t).collect()) == [("a", 1.0), ("a", 2.0), ("b", 1.0), ("b", 2.0)]
+
+
+def test_vectors_have_row_major_indices(spark):
+    cells = spark.range(64).selectExpr("'D' AS domain", "0 AS step", "id div 8 AS y", "id % 8 AS x", "1.0D AS u", "0.0D AS v")
+    (row,) = publish.vector_overlay(cells, "u", "v").collect()
+    assert [r["index"] for r in row.vectors] == [0, 4, 32, 36]
+
+
+def test_one_long_series_is_worked_on_in_linear_time(spark):
+    import time
+
+    n = 200_000
+    base = spark.range(n).selectExpr("1 AS k", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 5 * id) AS ts", "CASE WHEN id % 10 = 0 THEN CAST(id AS DOUBLE) END AS v")
+    began = time.time()
+    filled = windows.interpolate_time(base, "v", ["k"])
+    assert filled.where("v IS NOT NULL").count() == n - 9
+    right = base.where("v IS NOT NULL").withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 MINUTE"))
+    assert joins.asof_nearest(base, right, ["k"], tolerance="2 minutes").where("gap_seconds IS NOT NULL").count() == n // 10
+    assert time.time() - began < 60  # the frame that shrinks from its far end took minutes
+
+
+def test_step_excursions_match_a_plain_walk(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for k in range(12):
+        t, v = 0, []
+        for i in range(60):
+            t += rng.choice([300, 300, 300, 600, 900])
+            v.append((t, rng.choice([0, 1, 2, 40, 41, 90]) if rng.random() < 0.4 else 1))
+        bad, i = [False] * 60, 1
+        for i in range(1, 60):
+            near = lambda j: 0 < v[j][0] - v[j - 1][0] <= 600
+            if near(i) and abs(v[i][1] - v[i - 1][1]) > 20 and not bad[i - 1]:
+                for j in range(i + 1, min(60, i + 4)):
+                    if not near(j):
+                        break
+                    back = v[j][1] - v[j - 1][1]
+                    if abs(back) > 20 and back * (v[i][1] - v[i - 1][1]) < 0 and abs(v[j][1] - v[i - 1][1]) <= 5:
+                        bad[i:j] = [True] * (j - i)
+                        break
+        rows += [(k, 2**53 + 1 + i, T0 + dt.timedelta(seconds=t), float(x)) for i, (t, x) in enumerate(v)]
+        want |= {(k, 2**53 + 1 + i): None if b else float(x) for i, ((_, x), b) in enumerate(zip(v, bad))}
+    df = spark.createDataFrame(rows, "k int, n long, ts timestamp_ntz, v double")
+    got = quality.step_excursions(df, "v", 20.0, 5.0, 3, ["k"]).collect()
+    assert {(r.k, r.n): r.v for r in got} == want and None in want.values()
+
+
 def test_streams(spark, tmp_path):
     df = series(spark, [5.0] * 8 + [6.0] * 40).withColumn("station", F.lit("s"))
     source = str(tmp_path / "in")
@@ -457,9 +521,11 @@ def test_nearest_cell_takes_any_number_of_points_and_repeated_ones(spark):
     cells = spark.range(400).selectExpr("id % 20 AS y", "id div 20 AS x", "(id * 7 % 101) / 10.0D AS lat", "(id * 11 % 103) / 10.0D AS lon")
     sites = [(r.lat, r.lon, r.y, r.x) for r in cells.collect()]
     places = [((k * 37 % 100) / 10.0, (k * 53 % 97) / 10.0) for k in range(40)] + [(-30.0, 5.0), (300.0, -70.0), (1.0, 1.0), (1.0, 1.0)]
-    got = joins.nearest_cell(spark.createDataFrame(places, "lat double, lon double"), cells).collect()
+    got = joins.nearest_cell(spark.createDataFrame(places, "lat double, lon double"), cells, outside="nearest").collect()
     assert len(got) == len(places)
     for r in got:
         assert (r.y, r.x) == min((((a - r.lat) ** 2 + (o - r.lon) ** 2) ** 0.5, y, x) for a, o, y, x in sites)[1:]
+    with pytest.raises(Exception, match="outside the grid"):
+        joins.nearest_cell(spark.createDataFrame(places, "lat double, lon double"), cells).collect()
     many = spark.range(100_500).selectExpr("id", "id % 100 / 10.0D AS lat", "id % 70 / 10.0D AS lon")
     assert joins.nearest_cell(many, cells).where("y IS NOT NULL").count() == 100_500

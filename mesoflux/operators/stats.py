@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
 from .metrics import correlation
 
 
@@ -17,8 +18,9 @@ def describe_shape(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFr
     n = F.count(c).cast("double")
     skew = F.when((n > 2) & (F.var_pop(c) > 0), F.skewness(c) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
     kurt = F.when((n > 3) & (F.var_pop(c) > 0), (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * F.kurtosis(c) + 6))
-    q = F.percentile(c, F.array(*[F.lit(p) for p in (0.01, 0.25, 0.5, 0.75, 0.99)]))
-    one = df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q.alias("_q"), F.max(c).alias("max"), skew.alias("skew"), kurt.alias("kurtosis"))
+    one = df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), skew.alias("skew"), kurt.alias("kurtosis"))
+    q = ranks.quantiles(df, column, (0.01, 0.25, 0.5, 0.75, 0.99), by).select(*[F.col(k).alias(f"_q_{k}") for k in by], F.col("q").alias("_q"))
+    one = one.join(q, [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in by], "left") if by else one.crossJoin(q)  # a row each
     return one.select(*by, "n", "mean", "std", "min", *[F.col("_q")[k].alias(f"p{p}") for k, p in enumerate((1, 25, 50, 75, 99))], "max", "skew", "kurtosis")
 
 
@@ -79,7 +81,7 @@ def histogram_2d(df: DataFrame, x: str, y: str, x_edges: Sequence[float], y_edge
 def quantile_band(df: DataFrame, x: str, y: str, edges: Sequence[float], min_samples: int) -> DataFrame:
     """(bin, centre, n, p10, median, p90) on right-open bins, the last edge excluded; null below ``min_samples``."""
     rows = df.where(F.col(y).isNotNull()).withColumn("bin", bin_index(F.col(x), edges, close_last=False)).where("bin IS NOT NULL")
-    got = rows.groupBy("bin").agg(F.count("*").alias("n"), F.percentile(y, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
+    got = rows.groupBy("bin").agg(F.count("*").alias("n")).join(ranks.quantiles(rows, y, (0.1, 0.5, 0.9), ["bin"]), "bin")
     bins = df.sparkSession.createDataFrame([(k, (a + b) / 2) for k, (a, b) in enumerate(zip(edges, edges[1:]))], "bin int, centre double")
     enough = F.col("n") >= min_samples
     return bins.join(got, "bin", "left").select("bin", "centre", F.coalesce("n", F.lit(0)).alias("n"), *[F.when(enough, F.col("q")[k]).alias(name) for k, name in enumerate(("p10", "median", "p90"))])
@@ -124,13 +126,14 @@ def class_shares(df: DataFrame, column: str, classes: Sequence[int]) -> DataFram
 
 def scale_bounds(df: DataFrame, value: str, by: Sequence[str], step: str = "step", high: float = 0.98, from_step: int = 1) -> DataFrame:
     """(by, scale_min, scale_max): the least value and a high percentile, without the first step."""
-    return df.where((F.col(step) >= from_step) & F.col(value).isNotNull()).groupBy(*by).agg(F.min(value).alias("scale_min"), F.percentile(value, F.lit(high)).alias("scale_max"))
+    rows = df.where((F.col(step) >= from_step) & F.col(value).isNotNull())
+    q = ranks.quantiles(rows, value, (0.0, high), by)
+    return q.select(*by, F.col("q")[0].alias("scale_min"), F.col("q")[1].alias("scale_max"))
 
 
 def equal_count_bins(df: DataFrame, x: str, bins: int = 60, by: Sequence[str] = ()) -> DataFrame:
     """(by, bin, mean, weight): bins of nearly equal count along the sorted covariate, larger ones first."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(x)
-    cut = df.where(F.col(x).isNotNull()).withColumn("bin", F.ntile(bins).over(w))
+    cut = ranks.ranked(df.select(*by, x), x, by).withColumn("bin", ranks.tile(bins))
     got = cut.groupBy(*by, "bin").agg(F.avg(x).alias("mean"), F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
     return got.withColumn("weight", F.col("n") / total).drop("n")
@@ -157,9 +160,8 @@ def display_range(bins: DataFrame, tail: float = 0.001) -> DataFrame:
 
 def effective_sample_size(df: DataFrame, column: str, order: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, n, r1, n_eff): n (1 - r1) / (1 + r1), r1 the lag-1 correlation of the ordered sample."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(order)
-    base = df.where(F.col(column).isNotNull()).withColumn("_prev", F.lag(column).over(w))
-    got = base.groupBy(*by).agg(F.count("*").alias("n"), correlation(F.col(column), F.col("_prev")).alias("r1"))
+    base = ranks.previous(df.where(F.col(column).isNotNull()).select(*by, order, F.col(column).alias("_v")), ["_v"], order, by, "_before")
+    got = base.groupBy(*by).agg(F.count("*").alias("n"), correlation(F.col("_v"), F.col("_v_before")).alias("r1"))
     return got.withColumn("n_eff", F.try_divide(F.col("n") * (1 - F.col("r1")), 1 + F.col("r1")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import atmosphere, solar
-from ..operators import calibration, hourly, joins, metrics, quality, stats, windows
+from ..operators import calibration, hourly, joins, metrics, quality, ranks, stats, windows
 from ..sources import catalogue_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -337,8 +337,8 @@ def stratified_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""WITH x AS ({_PAIRS}), y AS (SELECT *, lag(o) OVER (ORDER BY o_orderkey) AS ref FROM x)
     SELECT count(*) AS n, round(sqrt(avg((p - o) ** 2)), 3) AS rmse_model, round(sqrt(avg((ref - o) ** 2)), 3) AS rmse_reference, round(1 - sqrt(avg((p - o) ** 2)) / sqrt(avg((ref - o) ** 2)), 6) AS skill FROM y WHERE ref IS NOT NULL""")
 def skill_against_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = windows.add_lags(_pairs(spark, sf_dir), ["o"], [1], ts="o_orderkey")
-    t = metrics.skill(df, "o", "p", "o_lag_1")
+    df = ranks.previous(_pairs(spark, sf_dir), ["o"], "o_orderkey")
+    t = metrics.skill(df, "o", "p", "o_prev")
     return t.select("n", F.round("rmse_model", 3).alias("rmse_model"), F.round("rmse_reference", 3).alias("rmse_reference"), r6("skill").alias("skill"))
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mesoflux.functions import solar, special
-from mesoflux.operators import calibration, dataset, distributions, grid, hourly, joins, metrics, quality, stats, windows
+from mesoflux.operators import calibration, dataset, distributions, grid, hourly, joins, metrics, networks, quality, ranks, stats, windows
 from mesoflux.plans import pipelines
 from mesoflux.sources import catalogue_pages, publish, records
 from mesoflux.streaming import sensors
@@ -406,6 +406,21 @@ def test_vectors_have_row_major_indices(spark):
     assert [r["index"] for r in row.vectors] == [0, 4, 32, 36]
 
 
+def test_ranks_in_ranges_equal_those_of_one_sort(spark):
+    rows = [(k % 3 if k % 50 else None, (k * 7919 % 1000) / 10.0 if k % 11 else 5.0, k) for k in range(3000)] + [(0, None, -1), (0, 1e9, -2)]
+    df = spark.createDataFrame(rows, "g int, v double, k long")
+    shares = (0.0, 0.01, 0.5, 0.98, 1.0)
+    for by in ([], ["g"]):
+        a, b = [{tuple(r[c] for c in by): [round(x, 9) for x in r.q] for r in ranks.quantiles(df, "v", shares, by, whole=w).collect()} for w in (10**9, 10)]
+        assert a == b
+        a, b = [sorted((r.g is None, r.g or 0, r._rank, r.v, r._n) for r in ranks.ranked(df, "v", by, whole=w).collect()) for w in (10**9, 10)]
+        assert a == b
+        a, b = [{r.k: r.v_prev for r in ranks.previous(df, ["v"], "k", by, whole=w).collect()} for w in (10**9, 10)]
+        assert a == b and len(a) == len(rows)
+    tiles = [r.t for r in ranks.ranked(spark.range(103).withColumn("v", F.col("id")), "v").select(ranks.tile(10).alias("t"), "_rank").orderBy("_rank").collect()]
+    assert tiles == [r.t for r in spark.sql("SELECT ntile(10) OVER (ORDER BY id) AS t FROM range(103) ORDER BY id").collect()]
+
+
 def test_one_long_series_is_worked_on_in_linear_time(spark):
     import time
 

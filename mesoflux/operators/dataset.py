@@ -92,34 +92,40 @@ def build_manifest(frames: DataFrame, sensors: DataFrame, site: Site, keys: Sequ
     return base.select(*out)
 
 
-def validate_manifest(df: DataFrame, features: Sequence[str], min_elevation: float = 0.0) -> DataFrame:
-    """(severity, check, n): every broken rule of a manifest, from one pass and one grouped count for each kind of duplicate."""
+def validate_manifest(df: DataFrame, features: Sequence[str], min_elevation: float = 0.0, constant: Sequence[str] = ("kindex_kind", "normalizer_version", "provenance")) -> DataFrame:
+    """(severity, check, n, sample): every broken rule of a manifest, how often, and the least id that breaks it, from one pass and one
+    grouped count for each kind of duplicate. ``constant``: columns that must have one value throughout."""
     required = ["sample_id", "timestamp_utc", "day_id", "qc_flags", "dataset_version", *features]
     missing = [c for c in required if c not in df.columns]
     leaks = [c for c in features if any(c.startswith(f) for f in FORBIDDEN)]
     spark = df.sparkSession
-    schema = "severity string, check string, n long"
-    static = [("error", f"missing column {c}", 1) for c in missing] + [("error", f"forbidden feature {c}", 1) for c in leaks]
+    schema = "severity string, check string, n long, sample string"
+    static = [("error", f"missing column {c}", 1, None) for c in missing] + [("error", f"forbidden feature {c}", 1, None) for c in leaks]
+    if "timestamp_utc" in df.columns and df.schema["timestamp_utc"].dataType.typeName() != "timestamp":
+        static.append(("error", "timestamp_utc has no zone", 1, None))
     if missing:
         return spark.createDataFrame(static, schema)
-    bad = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    rules = [("error", "version", bad(F.col("dataset_version") != VERSION)), ("error", "null id", bad(F.col("sample_id").isNull()))]
-    rules += [("error", f"non-finite {c}", bad(atmosphere.finite(F.col(c)).isNull())) for c in features]
+    rules = [("error", "version", F.col("dataset_version") != VERSION), ("error", "null id", F.col("sample_id").isNull()), ("error", "null stamp", F.col("timestamp_utc").isNull())]
+    rules += [("error", f"non-finite {c}", atmosphere.finite(F.col(c)).isNull()) for c in features]
     if "solar_elevation" in df.columns:
-        rules.append(("error", "sun below the floor", bad(F.col("solar_elevation") < min_elevation)))
+        rules.append(("error", "sun below the floor", F.col("solar_elevation") < min_elevation))
     for c, low, high in (("target_dhi", 0, 1500), ("target_kt", 0, 2), ("target_kindex", 0, 3), ("cloud_fraction", 0, 1)):
         if c in df.columns:
-            rules.append(("warning", f"{c} out of range", bad((F.col(c) < low) | (F.col(c) > high))))
+            rules.append(("warning", f"{c} out of range", (F.col(c) < low) | (F.col(c) > high)))
     if "sky_class" in df.columns:
-        rules.append(("error", "sky_class out of domain", bad(~F.col("sky_class").between(-1, 3))))
-    if "kindex_kind" in df.columns:
-        rules.append(("error", "mixed kindex_kind", F.greatest(F.count_distinct("kindex_kind") - 1, F.lit(0))))
-    one = df.agg(F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(k).alias("check"), n.cast("long").alias("n")) for s, k, n in rules]).alias("r")).select(F.inline("r"))
-    twice = lambda c, s: df.groupBy(c).agg(F.count("*").alias("m")).where("m > 1").agg(F.count("*").alias("n")).select(F.lit(s).alias("severity"), F.lit(f"duplicate {c}").alias("check"), "n")
-    out = one.unionByName(twice("sample_id", "error")).unionByName(twice("timestamp_utc", "warning"))
+        rules.append(("error", "sky_class out of domain", ~F.col("sky_class").between(-1, 3)))
+    broken = lambda c: F.coalesce(c, F.lit(False))
+    found = [F.struct(F.lit(s).alias("severity"), F.lit(k).alias("check"), F.count_if(broken(c)).alias("n"), F.min(F.when(broken(c), F.col("sample_id").cast("string"))).alias("sample")) for s, k, c in rules]
+    mixed = [F.struct(F.lit("error").alias("severity"), F.lit(f"mixed {c}").alias("check"), F.greatest(F.count_distinct(c) - 1, F.lit(0)).alias("n"), F.lit(None).cast("string").alias("sample")) for c in constant if c in df.columns]
+    out = df.agg(F.array(*found, *mixed).alias("r")).select(F.inline("r"))
+
+    def groups(key: str, n: Column, severity: str, check: str) -> DataFrame:
+        many = df.groupBy(key).agg(n.alias("m"), F.min(F.col("sample_id").cast("string")).alias("sample")).where("m > 1")
+        return many.agg(F.count("*").alias("n"), F.min("sample").alias("sample")).select(F.lit(severity).alias("severity"), F.lit(check).alias("check"), "n", "sample")
+
+    out = out.unionByName(groups("sample_id", F.count("*"), "error", "duplicate sample_id")).unionByName(groups("timestamp_utc", F.count("*"), "warning", "duplicate timestamp_utc"))
     if "split" in df.columns:
-        leak = df.where(F.col("split").isNotNull()).groupBy("day_id").agg(F.count_distinct("split").alias("m")).where("m > 1").agg(F.count("*").alias("n"))
-        out = out.unionByName(leak.select(F.lit("error").alias("severity"), F.lit("day in two splits").alias("check"), "n"))
+        out = out.unionByName(groups("day_id", F.count_distinct("split"), "error", "day in two splits"))
     out = out.unionByName(spark.createDataFrame(static, schema)) if static else out
     return out.where("n > 0")
 

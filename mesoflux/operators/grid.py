@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,3 +137,88 @@ def operational_columns(df: DataFrame, keys: Sequence[str], wanted: Sequence[str
     warm = F.col("GLW") != 0 if "GLW" in df.columns else F.lit(True)
     value = lambda n: catalogue[n] if n in catalogue else F.col(n)
     return df.select(*keys, *[(F.when(warm, value(n)) if n in COLD_START else value(n)).alias(n) for n in names])
+
+
+@dataclass(frozen=True)
+class RecordColumn:
+    """One column of the operational record. Without one of ``sources`` it is null; ``instead`` is taken in place of the expression
+    where the run carries it; ``increments`` are accumulated fields whose step differences it reads; physics is blank at a cold start."""
+
+    sources: tuple[str, ...]
+    value: Callable[[], Column]
+    instead: str | None = None
+    increments: tuple[str, ...] = ()
+    physics: bool = False
+
+
+def _plain(name: str) -> RecordColumn:
+    return RecordColumn((name,), lambda: F.col(name), physics=True)
+
+
+def _absent() -> RecordColumn:
+    return RecordColumn((), lambda: F.lit(None).cast("double"))
+
+
+def _earth_wind(part: int) -> Callable[[], Column]:
+    return lambda: atmosphere.rotate_to_earth(F.col("U10"), F.col("V10"), F.col("COSALPHA"), F.col("SINALPHA"))[part]
+
+
+_WIND = ("U10", "V10", "COSALPHA", "SINALPHA")
+_SIGMA = 5.670374419e-08
+#: The names of the record's columns, in their order, and the model fields that they come from.
+RECORD: dict[str, RecordColumn] = {
+    "t2_c": RecordColumn(("T2",), lambda: F.col("T2") - 273.15),
+    "rh_pct": RecordColumn(("T2", "PSFC", "Q2"), lambda: atmosphere.relative_humidity(F.col("Q2"), F.col("PSFC"), F.col("T2") - 273.15, clip=False)),
+    "psfc_hpa": RecordColumn(("PSFC",), lambda: F.col("PSFC") / 100.0),
+    "e_hpa": RecordColumn(("PSFC", "Q2"), lambda: atmosphere.vapor_pressure(F.col("Q2"), F.col("PSFC")) / 100.0),
+    "es_pa": RecordColumn(("T2",), lambda: atmosphere.saturation_vapor_pressure(F.col("T2") - 273.15)),
+    "q2_g_kg": RecordColumn(("Q2",), lambda: F.col("Q2") * 1000.0),
+    "wind_speed_m_s": RecordColumn(_WIND, lambda: F.sqrt(F.pow(_earth_wind(0)(), 2) + F.pow(_earth_wind(1)(), 2))),
+    "wind_dir_deg": RecordColumn(_WIND, lambda: atmosphere.wind_direction(_earth_wind(0)(), _earth_wind(1)())),
+    "u10_m_s": RecordColumn(_WIND, _earth_wind(0)),
+    "v10_m_s": RecordColumn(_WIND, _earth_wind(1)),
+    "swdown_w_m2": _plain("SWDOWN"),
+    "swdnb_w_m2": _plain("SWDNB"),
+    "swdown_farms_w_m2": _absent(),
+    "swupb_w_m2": _plain("SWUPB"),
+    "swup_w_m2": RecordColumn(("ALBEDO", "SWDOWN"), lambda: F.col("ALBEDO") * F.col("SWDOWN"), physics=True),
+    "swddif_w_m2": _plain("SWDDIF"),
+    "swddif_farms_w_m2": _absent(),
+    "swddir_w_m2": _plain("SWDDIR"),
+    "swddir_farms_w_m2": _absent(),
+    "glw_w_m2": _plain("GLW"),
+    "lwdnb_w_m2": RecordColumn(("GLW",), lambda: F.col("GLW"), instead="LWDNB", physics=True),
+    "lwup_w_m2": RecordColumn(("EMISS", "TSK", "GLW"), lambda: F.col("EMISS") * _SIGMA * F.pow("TSK", F.lit(4.0)) + (1 - F.col("EMISS")) * F.col("GLW"), instead="LWUPB", physics=True),
+    "lwup_air_w_m2": RecordColumn(("EMISS", "T2"), lambda: F.col("EMISS") * _SIGMA * F.pow("T2", F.lit(4.0)), physics=True),
+    "albedo": _plain("ALBEDO"),
+    "emissivity": _plain("EMISS"),
+    "hfx_w_m2": _plain("HFX"),
+    "lh_w_m2": _plain("LH"),
+    "grdflx_w_m2": _plain("GRDFLX"),
+    "ustar_m_s": _plain("UST"),
+    "pblh_m": _plain("PBLH"),
+    "sst_c": RecordColumn(("SST",), lambda: F.col("SST") - 273.15),
+    "precip_mm": RecordColumn((), lambda: F.col("_step_RAINC") + F.col("_step_RAINNC"), increments=("RAINC", "RAINNC")),
+}
+
+
+def operational_record(df: DataFrame, keys: Sequence[str], wanted: Sequence[str] | None = None, ts: str = "valid_time") -> DataFrame:
+    """(keys, ts, columns): the record of points. A wanted name that the catalogue lacks is a field of the run, passed through and, as
+    nothing tells whether it is physics, blank at a cold start (downwelling longwave of 0)."""
+    names = list(wanted) if wanted is not None else list(RECORD)
+    unknown = [n for n in names if n not in RECORD and n not in df.columns]
+    if unknown:
+        raise ValueError(f"unknown columns {unknown}")
+    chosen = {n: RECORD.get(n) or _plain(n) for n in names}
+    series = Window.partitionBy(*keys).orderBy(ts)
+    steps = {f: F.col(f) - F.lag(f).over(series) for c in chosen.values() for f in c.increments if f in df.columns}
+    base = df.withColumns({f"_step_{f}": c for f, c in steps.items()}) if steps else df
+    warm = F.col("GLW") != 0 if "GLW" in df.columns else F.lit(True)
+
+    def value(c: RecordColumn) -> Column:
+        if not {*c.sources, *c.increments} <= set(df.columns):
+            return F.lit(None).cast("double")
+        v = F.col(c.instead) if c.instead in df.columns else c.value()
+        return F.when(warm, v) if c.physics else v
+
+    return base.select(*keys, ts, *[value(c).alias(n) for n, c in chosen.items()])

@@ -119,43 +119,40 @@ def step_excursions(df: DataFrame, column: str, threshold: float, return_tol: fl
     """Blank short departures that leave and come back: a jump beyond the threshold, a jump back within ``max_len`` samples, and a value
     within ``return_tol`` of the one before it all.
 
-    The rule is sequential, but no excursion reaches over a gap of more than two steps (or of none), nor over ``max_len`` samples
-    without a jump. Both begin a new segment, so segments are a few samples long; those of one sample have no jump and are left as
-    they are, the others are folded in the JVM. Null samples are left out of the rule and stay null.
+    The end of a departure is found by looking ahead in one window. A departure may begin only after a sample that stays, so the rule is
+    sequential; but none reaches over a gap of more than two steps (or of none), nor over ``max_len`` samples without a jump. Both begin
+    a new segment, and the few departures of a segment are settled in a fold over them. Null samples are left out of the rule.
     """
-    order = _by(keys, ts)
+    valid = Window.partitionBy(*keys, F.col(column).isNull())
+    order = valid.orderBy(ts)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    step, jump = micros - F.lag(micros).over(order), F.col(column) - F.lag(column).over(order)
-    near = F.coalesce((step > 0) & (step <= int(2 * step_seconds * 1e6)), F.lit(False))
-    valid = df.where(F.col(column).isNotNull()).withColumns({"_near": near, "_jump": (near & (F.abs(jump) > threshold)).cast("int")})
-    quiet = F.max("_jump").over(order.rowsBetween(-max_len, 0)) == 0
-    begins = valid.withColumn("_begins", (~F.col("_near") | quiet).cast("int"))
-    marked = begins.withColumns({"_seg": F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_alone": (F.col("_begins") == 1) & (F.coalesce(F.lead("_begins").over(order), F.lit(1)) == 1)})
-    row = F.struct(*[F.col(c) for c in df.columns])
-    segments = marked.where(~F.col("_alone")).groupBy(*keys, "_seg").agg(F.array_sort(F.collect_list(F.struct(micros.alias("t"), F.col(column).cast("double").alias("v"), row.alias("row")))).alias("s"))
-
-    def fold(s: Column) -> Column:
-        """For each sample of a segment whether it goes."""
-        v = lambda i: F.get(s, i)["v"]
-        jumped = lambda i: v(i) - v(i - 1)
-        last = lambda i: F.least(F.size(s) - 1, i + max_len)
-        returns = lambda i, j: (F.abs(jumped(j)) > threshold) & (jumped(j) * jumped(i) < 0) & (F.abs(v(j) - v(i - 1)) <= return_tol)
-        end = lambda i: F.array_min(F.filter(F.sequence(i + 1, last(i)), lambda j: returns(i, j)))
-
-        def advance(until: Column, i: Column) -> Column:
-            """Samples before ``until`` that were not yet judged go; a departure may begin only after one that stays."""
-            begun = (i - 1 >= F.element_at(until, -1)) & (F.abs(jumped(i)) > threshold) & (last(i) > i)
-            found = F.when(begun, end(i))
-            return F.when(found.isNotNull(), F.concat(until, F.array(i, found))).otherwise(until)
-
-        return F.aggregate(F.sequence(F.lit(1), F.size(s) - 1), F.array(F.lit(0)), advance)
-
-    # spans: 0, then first and end of each departure, end not included
-    spans = segments.select("s", fold(F.col("s")).alias("spans"))
-    inside = lambda i: F.exists(F.sequence(F.lit(1), F.size("spans") - 2, F.lit(2)), lambda k: (i >= F.get("spans", k)) & (i < F.get("spans", k + 1)))
-    judged = F.transform("s", lambda x, i: F.struct(x["row"].alias("row"), F.when(F.size("spans") > 2, inside(i)).otherwise(F.lit(False)).alias("bad")))
-    done = spans.select(F.inline(judged)).select(*[F.when(~F.col("bad"), F.col(f"row.{c}")).alias(c) if c == column else F.col(f"row.{c}").alias(c) for c in df.columns])
-    return done.unionByName(marked.where("_alone").select(*df.columns)).unionByName(df.where(F.col(column).isNull()))
+    step = micros - F.lag(micros).over(order)
+    near = F.coalesce((step > 0) & (step <= int(2 * step_seconds * 1e6)), F.lit(False)) & F.col(column).isNotNull()
+    base = df.withColumns({"_near": near, "_before": F.lag(column).over(order), "_i": F.row_number().over(order)})
+    base = base.withColumn("_jump", F.when(F.col("_near"), F.col(column) - F.col("_before")))
+    ahead = lambda c, d: F.lead(c, d).over(order)
+    end, linked = F.lit(None).cast("int"), F.lit(True)
+    cases = []
+    for d in range(1, max_len + 1):
+        linked = linked & F.coalesce(ahead("_near", d), F.lit(False))
+        back = ahead("_jump", d)
+        cases.append((linked & (F.abs(back) > threshold) & (back * F.col("_jump") < 0) & (F.abs(ahead(column, d) - F.col("_before")) <= return_tol), F.col("_i") + d))
+    for condition, at in reversed(cases):
+        end = F.when(condition, at).otherwise(end)
+    loud = F.coalesce(F.abs("_jump") > threshold, F.lit(False))
+    base = base.withColumns({"_end": F.when(loud, end), "_begins": F.when(F.col("_near") & (F.max(loud.cast("int")).over(order.rowsBetween(-max_len, 0)) == 1), 0).otherwise(1)})
+    base = base.withColumn("_seg", F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = F.collect_list(F.when(F.col("_end").isNotNull(), F.struct(F.col("_i").alias("i"), F.col("_end").alias("e")))).over(Window.partitionBy(*keys, F.col(column).isNull(), "_seg"))
+
+    def settled(spans: Column) -> Column:
+        """Of departures in order those that begin after the end of the last that holds."""
+        none = F.array().cast(spans_type)
+        return F.aggregate(F.array_sort(spans), none, lambda kept, s: F.when((F.size(kept) == 0) | (s["i"] > F.element_at(kept, -1)["e"]), F.concat(kept, F.array(s))).otherwise(kept))
+
+    spans_type = "array<struct<i:int,e:int>>"
+    gone = F.exists(settled(F.col("_spans")), lambda s: (F.col("_i") >= s["i"]) & (F.col("_i") < s["e"]))
+    out = base.withColumn("_spans", found)
+    return out.withColumn(column, F.when((F.size("_spans") == 0) | ~gone, F.col(column))).select(*df.columns)
 
 
 def short_excursions(df: DataFrame, column: str, threshold: float, return_tol: float, keys: Sequence[str] = (), ts: str = "ts", step: str = "5 minutes") -> DataFrame:
@@ -195,6 +192,14 @@ def night_corrupted_days(df: DataFrame, site: Site, columns: Sequence[str], keys
     return days.where(F.col("n") >= min_samples)
 
 
+def mask_corrupted_days(df: DataFrame, site: Site, columns: Sequence[str], masked: Sequence[str], keys: Sequence[str] = (), ts: str = "ts", min_samples: int = 3, flux: float = 50.0, below: float = -10.0) -> DataFrame:
+    """``night_corrupted_days`` and ``mask_days`` in one pass: blank ``masked`` on days with that many lit samples in the deep night."""
+    lit = reduce(lambda a, b: a | b, [F.coalesce(F.col(c) > flux, F.lit(False)) for c in _present(df, columns)], F.lit(False))
+    base = computed(df, {"_dark": solar.elevation(F.col(ts), site) < below}).withColumn("_day", F.to_date(ts))
+    base = base.withColumn("_lit", F.sum((F.col("_dark") & lit).cast("int")).over(Window.partitionBy(*keys, "_day")))
+    return base.withColumns({c: F.when(F.col("_lit") < min_samples, F.col(c)) for c in _present(df, masked)}).select(*df.columns)
+
+
 def mask_days(df: DataFrame, days: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
     """Blank ``columns`` on the flagged days. ``days`` has ``keys`` and day; Spark broadcasts it when it is small."""
     flags = days.select(*keys, F.col("day").alias("_day"), F.lit(True).alias("_bad")).distinct()

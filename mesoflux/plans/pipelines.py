@@ -29,8 +29,10 @@ class ArchiveRules:
     directions: Mapping[str, str] = field(default_factory=dict)
 
 
-def build_station_archive(raw: DataFrame, rules: ArchiveRules, site: Site, keys: Sequence[str] = (), ts: str = "ts", min_samples: int = 6) -> dict[str, DataFrame]:
-    """``raw``, ``qc`` and ``hourly`` tables. The order matters: gates are in raw units and come before calibration, statistical
+def build_station_archive(raw: DataFrame, rules: ArchiveRules, site: Site, keys: Sequence[str] = (), ts: str = "ts", min_samples: int = 6, folder: str | None = None) -> dict[str, DataFrame]:
+    """``raw``, ``qc`` and ``hourly`` tables; with ``folder`` each is written there, by year, and the hours are made of the written one.
+
+    The order matters: gates are in raw units and come before calibration, statistical
     tests before the second gate, and that before unification and the solar stage."""
     df = quality.mask_sentinels(raw, rules.sentinels, ts)
     df = calibration.apply_calibrations(quality.range_gate(df, rules.ranges), rules.calibrations, ts)
@@ -45,14 +47,20 @@ def build_station_archive(raw: DataFrame, rules: ArchiveRules, site: Site, keys:
         df = calibration.unify_columns(df, rules.switches, ts)
     here = [c for c in SHORTWAVE if c in df.columns]
     if here:
-        days = quality.night_corrupted_days(df, site, here, keys, ts)
-        df = quality.mask_days(df, days, [*here, "Lw_dw", "Lw_up", "Net_CNR1"], keys, ts)
+        df = quality.mask_corrupted_days(df, site, here, [*here, "Lw_dw", "Lw_up", "Net_CNR1"], keys, ts)
         df = quality.mask_nocturnal(quality.mask_impossible(df, site, ts), site, here, ts)
     if {"Sw_dw", "Sw_up", "Lw_dw", "Lw_up"} <= set(df.columns):
         df = quality.close_net_radiation(computed(df, {"_night": solar.elevation(F.col(ts), site) < 0}), night=F.col("_night")).drop("_night")
+    if folder is not None:
+        spark = raw.sparkSession
+        publish.write_archive_tables({"raw": raw, "qc": df}, folder, ts)
+        raw, df = [spark.read.parquet(f"{folder}/{name}").drop("year") for name in ("raw", "qc")]
     ready = quality.drop_ungated(df)
     values = [f.name for f in ready.schema.fields if f.dataType.typeName() == "double"]
     out = hourly.aggregate_hourly(ready, values, sums=rules.sums, directions=[c for c in rules.directions if c in values], speeds=rules.directions, keys=keys, ts=ts, min_samples=min_samples)
+    if folder is not None:
+        publish.write_archive_tables({"hourly": out}, folder, ts)
+        out = raw.sparkSession.read.parquet(f"{folder}/hourly").drop("year")
     return {"raw": raw, "qc": df, "hourly": out}
 
 

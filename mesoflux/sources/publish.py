@@ -111,6 +111,30 @@ def common_range(steps: DataFrame, over: str) -> DataFrame:
     return steps.groupBy("step").agg(F.count_distinct(over).alias("n")).where(F.col("n") == n).agg(F.min("step").alias("first"), F.max("step").alias("last"))
 
 
+def variable_ranges(steps: DataFrame, requested: Sequence[str] = ()) -> DataFrame:
+    """(variable, first, last) of what every domain published of a variable; ``steps``: domain, variable, step (null: tried, none written).
+
+    Counted are the steps from the latest first to the earliest last step of the domains. A variable that has them all is left out, one
+    that has none, a requested one that wrote nothing included, has a row of nulls, so that no one takes an old file for a new one.
+    """
+    known = steps.where("step IS NOT NULL").select("domain", "variable", "step").distinct()
+    ends = known.groupBy("domain").agg(F.min("step").alias("lo"), F.max("step").alias("hi")).agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"))
+    tried = steps.select("domain", "variable").distinct().groupBy("variable").agg(F.count("*").alias("domains"))
+    shared = known.groupBy("variable", "step").agg(F.count("*").alias("have")).join(tried, "variable").where("have = domains").crossJoin(F.broadcast(ends)).where("step BETWEEN lo AND hi")
+    whole = shared.groupBy("variable", "lo", "hi").agg(F.count("*").alias("n")).where("n = hi - lo + 1").select("variable")
+    runs = availability(shared, ["variable"])
+    names = tried.select("variable")
+    if requested:
+        names = names.union(steps.sparkSession.createDataFrame([(v,) for v in requested], "variable string")).distinct()
+    return names.join(whole, "variable", "left_anti").join(runs, "variable", "left")
+
+
+def run_is_clean(units: DataFrame) -> Column:
+    """For an aggregate over ``units`` (error, missing, kind): whether no unit that writes matrices failed or lacked its variable."""
+    bad = F.col("kind").isin("values", "heights") & (F.col("error").isNotNull() | F.coalesce(F.col("missing"), F.lit(False)))
+    return F.count_if(bad) == 0
+
+
 def vector_overlay(df: DataFrame, u: str, v: str, stride: int = 4, by: Sequence[str] = ("domain", "step"), width: int | None = None) -> DataFrame:
     """(by, vectors): bearing, magnitude and row-major index of every ``stride``-th cell; ``width``: cells a row, else that of the widest."""
     some = df.where((F.col("y") % stride == 0) & (F.col("x") % stride == 0) & F.col(u).isNotNull() & F.col(v).isNotNull())

@@ -223,6 +223,18 @@ def scan_grid(spark: SparkSession, path: str, domain: str | None = None, steps:
     return df.select(*names, local.alias("local_time"), *(fields if fields is not None else [c for c in df.columns if c not in names]))
 
 
+def has_field(df: DataFrame, name: str) -> bool:
+    return name in df.columns
+
+
+def one_run_per_domain(df: DataFrame, run: str = "run") -> DataFrame:
+    """``df``, or an error where a domain's rows come from more than one run; a small aggregate is looked at first."""
+    mixed = df.groupBy("domain").agg(F.count_distinct(run).alias("n")).where("n > 1").limit(1).collect()
+    if mixed:
+        raise ValueError(f"domain {mixed[0].domain} comes from {mixed[0].n} runs")
+    return df
+
+
 def grid_times(df: DataFrame, text: str = "times") -> DataFrame:
     return df.withColumn("valid_time", F.to_timestamp_ntz(text, F.lit("yyyy-MM-dd_HH:mm:ss")))
 

@@ -165,6 +165,16 @@ def short_excursions(df: DataFrame, column: str, threshold: float, return_tol: f
     return df.withColumn(column, F.when(~F.coalesce(bad, F.lit(False)), F.col(column)))
 
 
+def with_sun(df: DataFrame, site: Site, ts: str = "ts") -> DataFrame:
+    """``df`` with ``_mu`` (cosine of the zenith angle) and ``_e0`` (eccentricity correction), made once for the steps that follow; they take
+    these columns where they find them. Made before a window, the work is spread over the scan's tasks."""
+    return computed(df, {"_mu": solar.cos_zenith(F.col(ts), site), "_e0": solar.eccentricity(F.col(ts))})
+
+
+def _sun(df: DataFrame, site: Site, ts: str) -> DataFrame:
+    return df if {"_mu", "_e0"} <= set(df.columns) else with_sun(df, site, ts)
+
+
 def mask_impossible(df: DataFrame, site: Site, ts: str = "ts") -> DataFrame:
     """Blank shortwave outside the physically possible limits, and diffuse over the global it belongs to.
 
@@ -172,7 +182,7 @@ def mask_impossible(df: DataFrame, site: Site, ts: str = "ts") -> DataFrame:
     """
     here = _present(df, CEILING)
     mu = F.col("_mu")
-    base = computed(computed(df, {"_mu": solar.cos_zenith(F.col(ts), site)}), {"_top": F.lit(solar.CEILING_SOLAR_CONSTANT) * solar.eccentricity(F.col(ts)) * F.when(mu > 0, F.pow(mu, F.lit(1.2))).otherwise(F.lit(0.0))})
+    base = computed(_sun(df, site, ts), {"_top": F.lit(solar.CEILING_SOLAR_CONSTANT) * F.col("_e0") * F.when(mu > 0, F.pow(mu, F.lit(1.2))).otherwise(F.lit(0.0))})
     bad = {}
     for name in here:
         gain, offset = CEILING[name]
@@ -182,7 +192,7 @@ def mask_impossible(df: DataFrame, site: Site, ts: str = "ts") -> DataFrame:
         bad["Sw_dif"] = bad["Sw_dif"] | ((F.col("Sw_dw") > 200.0) & (F.col("Sw_dif") > 1.05 * F.col("Sw_dw")))
     if "Net_CNR1" in df.columns and "Sw_dw" in here:
         bad["Net_CNR1"] = bad["Sw_dw"]
-    return base.withColumns({n: F.when(~F.coalesce(b, F.lit(False)), F.col(n)) for n, b in bad.items()}).drop("_mu", "_top")
+    return base.withColumns({n: F.when(~F.coalesce(b, F.lit(False)), F.col(n)) for n, b in bad.items()}).select(*df.columns)
 
 
 def night_corrupted_days(df: DataFrame, site: Site, columns: Sequence[str], keys: Sequence[str] = (), ts: str = "ts", min_samples: int = 3, flux: float = 50.0, below: float = -10.0) -> DataFrame:
@@ -195,8 +205,8 @@ def night_corrupted_days(df: DataFrame, site: Site, columns: Sequence[str], keys
 def mask_corrupted_days(df: DataFrame, site: Site, columns: Sequence[str], masked: Sequence[str], keys: Sequence[str] = (), ts: str = "ts", min_samples: int = 3, flux: float = 50.0, below: float = -10.0) -> DataFrame:
     """``night_corrupted_days`` and ``mask_days`` in one pass: blank ``masked`` on days with that many lit samples in the deep night."""
     lit = reduce(lambda a, b: a | b, [F.coalesce(F.col(c) > flux, F.lit(False)) for c in _present(df, columns)], F.lit(False))
-    base = computed(df, {"_dark": solar.elevation(F.col(ts), site) < below}).withColumn("_day", F.to_date(ts))
-    base = base.withColumn("_lit", F.sum((F.col("_dark") & lit).cast("int")).over(Window.partitionBy(*keys, "_day")))
+    base = _sun(df, site, ts).withColumn("_day", F.to_date(ts))
+    base = base.withColumn("_lit", F.sum(((F.degrees(F.asin("_mu")) < below) & lit).cast("int")).over(Window.partitionBy(*keys, "_day")))
     return base.withColumns({c: F.when(F.col("_lit") < min_samples, F.col(c)) for c in _present(df, masked)}).select(*df.columns)
 
 
@@ -208,8 +218,8 @@ def mask_days(df: DataFrame, days: DataFrame, columns: Sequence[str], keys: Sequ
 
 
 def mask_nocturnal(df: DataFrame, site: Site, columns: Sequence[str], ts: str = "ts", below: float = 0.0) -> DataFrame:
-    base = computed(df, {"_up": solar.elevation(F.col(ts), site) >= below})
-    return base.withColumns({c: F.when(F.col("_up"), F.col(c)) for c in _present(df, columns)}).drop("_up")
+    base = _sun(df, site, ts)
+    return base.withColumns({c: F.when(F.degrees(F.asin("_mu")) >= below, F.col(c)) for c in _present(df, columns)}).select(*df.columns)
 
 
 def close_net_radiation(df: DataFrame, name: str = "Net_CNR1", parts: Sequence[str] = ("Sw_dw", "Sw_up", "Lw_dw", "Lw_up"), night: Column | None = None) -> DataFrame:

@@ -34,7 +34,9 @@ def build_station_archive(raw: DataFrame, rules: ArchiveRules, site: Site, keys:
 
     The order matters: gates are in raw units and come before calibration, statistical
     tests before the second gate, and that before unification and the solar stage."""
-    df = quality.mask_sentinels(raw, rules.sentinels, ts)
+    here = [c for c in SHORTWAVE if c in raw.columns]
+    closes = {"Sw_dw", "Sw_up", "Lw_dw", "Lw_up"} <= set(raw.columns)
+    df = quality.mask_sentinels(quality.with_sun(raw, site, ts) if here or closes else raw, rules.sentinels, ts)
     df = calibration.apply_calibrations(quality.range_gate(df, rules.ranges), rules.calibrations, ts)
     for column, threshold, tol, length in rules.steps:
         if column in df.columns:
@@ -45,12 +47,12 @@ def build_station_archive(raw: DataFrame, rules: ArchiveRules, site: Site, keys:
     df = quality.range_gate(df, rules.ranges)
     if rules.switches:
         df = calibration.unify_columns(df, rules.switches, ts)
-    here = [c for c in SHORTWAVE if c in df.columns]
     if here:
         df = quality.mask_corrupted_days(df, site, here, [*here, "Lw_dw", "Lw_up", "Net_CNR1"], keys, ts)
         df = quality.mask_nocturnal(quality.mask_impossible(df, site, ts), site, here, ts)
-    if {"Sw_dw", "Sw_up", "Lw_dw", "Lw_up"} <= set(df.columns):
-        df = quality.close_net_radiation(computed(df, {"_night": solar.elevation(F.col(ts), site) < 0}), night=F.col("_night")).drop("_night")
+    if closes:
+        df = quality.close_net_radiation(df, night=F.col("_mu") < 0)
+    df = df.drop("_mu", "_e0")
     if folder is not None:
         spark = raw.sparkSession
         publish.write_archive_tables({"raw": raw, "qc": df}, folder, ts)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import atmosphere, solar
-from ..operators import dataset, distributions, grid, hourly, joins, metrics, networks, quality, stats, windows
+from ..operators import dataset, distributions, grid, hourly, joins, metrics, networks, stats, windows
 from ..sources import publish
 from ..sources.scratch import scratch_path
 from ..streaming import sensors

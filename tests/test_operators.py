@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mesoflux.functions import solar, special
-from mesoflux.operators import calibration, dataset, distributions, grid, hourly, joins, metrics, networks, quality, ranks, stats, windows
+from mesoflux.operators import calibration, dataset, distributions, grid, hourly, joins, metrics, quality, ranks, stats, windows
 from mesoflux.plans import pipelines
 from mesoflux.sources import catalogue_pages, publish, records
 from mesoflux.streaming import sensors

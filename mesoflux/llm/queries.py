@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fuzzy_lines, importance_sampling, language_id, packing, quality_rules, simhash, toxicity, url_filter, warc, winnowing
+from . import fuzzy_lines, hard_negatives, importance_sampling, language_id, packing, quality_rules, sentence_pieces, simhash, spelling, toxicity, url_filter, warc, winnowing
 from ._common import scratch_path, table
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_path() -> str:
@@ -77,6 +78,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(e.select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vec")), F.col("id") % 100 == 0)
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = sentence_pieces.round_trip(docs, public_tokenizers.path(PIECES))
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), every=97)
+
+
 def _quality_sql() -> str:
     stop = ", ".join(f"'{form}'" for w in dict.fromkeys(quality_rules.STOP_WORDS) for form in (w, w.capitalize(), w.upper()))
     return rf"""
@@ -138,10 +158,49 @@ _WINNOW_SQL = r"""
            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
     FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
+_NEGATIVES_SQL = """
+    WITH e AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id AS id, list_inner_product(a.v, c.v)::BIGINT AS score
+          FROM e a JOIN e c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+    p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+           id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
+
+_SPELLING_SQL = """
+    WITH RECURSIVE tab AS (
+      SELECT list(c ORDER BY k) AS t FROM (
+        SELECT k, list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM (SELECT unnest(range(256)) AS k))),
+    r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+          FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL),
+    h AS (SELECT run, n, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(4294967295, list_reduce(
+            [4294967295] || list_transform(range(0, length(hx) // 2), lambda i: ('0x' || substr(hx, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) END AS h
+          FROM (SELECT *, hex(encode(doc_id || ':' || run)) AS hx FROM r), tab),
+    c AS (SELECT word, sum(n)::BIGINT AS n FROM (
+            SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h)
+          GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+    i AS (SELECT word, n, unnest(range(0, length(word))) AS i FROM c),
+    cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS k FROM i),
+    near AS (
+      SELECT DISTINCT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.i = b.i AND a.k = b.k AND a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM cut a JOIN c b ON a.k = b.word
+      UNION SELECT b.word, a.word, a.n FROM cut a JOIN c b ON a.k = b.word),
+    best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+    f AS (SELECT c.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n
+          FROM c LEFT JOIN best USING (word)),
+    walk AS (SELECT word, word AS at FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON walk.at = f.word WHERE f.form IS NOT NULL)
+    SELECT f.word, f.n, f.n_near, f.form, f.form_n, walk.at AS root FROM f JOIN walk USING (word) JOIN f AS e ON e.word = walk.at WHERE e.form IS NULL"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc, op2_quality_rules, op3_language, op4_resample, op5_urls, op6_simhash, op7_lines, op8_contamination, op9_toxicity, op10_packing,
+        op11_negatives, op12_pieces, op13_spelling,
     )
 }
 
@@ -150,4 +209,6 @@ ORACLE: dict[str, str] = {
     "op2_quality_rules": _quality_sql(),
     "op5_urls": _URL_SQL.format(rules=", ".join(str(r) for r in url_filter.RULES), default=url_filter.DEFAULT),
     "op8_contamination": _WINNOW_SQL,
+    "op11_negatives": _NEGATIVES_SQL,
+    "op13_spelling": _SPELLING_SQL,
 }

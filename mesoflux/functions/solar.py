@@ -1,7 +1,7 @@
 """Solar geometry, clear-sky and diffuse-fraction models as column expressions.
 
-Stamps are station-local wall time (TIMESTAMP_NTZ); the offset from UTC is a parameter. Every function takes and returns a Column
-and stays inside whole-stage code generation. A null input gives a null.
+Stamps are station-local wall time (TIMESTAMP_NTZ); the offset from UTC is a parameter. Every function but ``with_sun`` takes and
+returns a Column and stays inside whole-stage code generation. A null input gives a null.
 """
 
 from __future__ import annotations
@@ -9,9 +9,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .atmosphere import computed
+
 #: Constants of the published formulas.
 SOLAR_CONSTANT = 1361.0
 CEILING_SOLAR_CONSTANT = 1367.0
@@ -44,8 +46,7 @@ def fractional_year(ts: Column) -> Column:
     return F.lit(2.0 * math.pi / 365.0) * (F.dayofyear(ts) - F.lit(1.0) + (_hours(ts) - F.lit(12.0)) / F.lit(24.0))
 
 
-def _fourier(ts: Column, terms: tuple[float, ...]) -> Column:
-    g = fractional_year(ts)
+def _fourier(g: Column, terms: tuple[float, ...]) -> Column:
     out = F.lit(terms[0])
     for k, value in enumerate(terms[1:]):
         angle = g * F.lit(float(k // 2 + 1))
@@ -54,16 +55,16 @@ def _fourier(ts: Column, terms: tuple[float, ...]) -> Column:
 
 
 def declination(ts: Column) -> Column:
-    return _fourier(ts, DECLINATION)
+    return _fourier(fractional_year(ts), DECLINATION)
 
 
 def equation_of_time(ts: Column) -> Column:
     """Minutes."""
-    return F.lit(229.18) * _fourier(ts, EQUATION_OF_TIME)
+    return F.lit(229.18) * _fourier(fractional_year(ts), EQUATION_OF_TIME)
 
 
 def eccentricity(ts: Column) -> Column:
-    return _fourier(ts, ECCENTRICITY)
+    return _fourier(fractional_year(ts), ECCENTRICITY)
 
 
 def hour_angle(ts: Column, site: Site) -> Column:
@@ -86,6 +87,18 @@ def cos_zenith(ts: Column, site: Site) -> Column:
     return _clip(F.lit(math.sin(lat)) * F.sin(d) + F.lit(math.cos(lat)) * F.cos(d) * F.cos(h), -1.0, 1.0, ts)
 
 
+def with_sun(df: DataFrame, site: Site, ts: str = "ts") -> DataFrame:
+    """``df`` with ``_mu`` (cosine of the zenith angle) and ``_e0`` (eccentricity correction): the same values as of the functions, but each
+    part of the formula is evaluated once."""
+    kept = list(df.columns)
+    base = computed(df, {"_g": fractional_year(F.col(ts)), "_h": _hours(F.col(ts))})
+    g, lat = F.col("_g"), math.radians(site.latitude)
+    minutes = F.col("_h") * F.lit(60.0) + F.lit(229.18) * _fourier(g, EQUATION_OF_TIME) + F.lit(4.0 * site.longitude - 60.0 * site.offset)
+    base = computed(base, {"_e0": _fourier(g, ECCENTRICITY), "_d": _fourier(g, DECLINATION), "_a": F.radians(minutes / F.lit(4.0) - F.lit(180.0))})
+    mu = _clip(F.lit(math.sin(lat)) * F.sin("_d") + F.lit(math.cos(lat)) * F.cos("_d") * F.cos("_a"), -1.0, 1.0, F.col(ts))
+    return computed(base, {"_mu": mu}).select(*[f"`{c}`" for c in kept], "_mu", "_e0")
+
+
 def elevation(ts: Column, site: Site) -> Column:
     return F.degrees(F.asin(cos_zenith(ts, site)))
 

@@ -7,23 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import segments
 
-def asof_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str = "ts", tolerance: str = "30 minutes", columns: Sequence[str] | None = None, suffixes: tuple[str, str] = ("_obs", "_model")) -> DataFrame:
+
+def asof_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str = "ts", tolerance: str = "30 minutes", columns: Sequence[str] | None = None, suffixes: tuple[str, str] = ("_obs", "_model"), sliced: int | None = None) -> DataFrame:
     """Every left row beside the right row nearest in time within the tolerance; of two as near, the earlier.
 
     One union and one shuffle on the keys: in time order the last right row is carried along, in the order of time reversed the next
     one, each frame growing from its start, so the work is linear in the rows. Without a match the right columns are null. Right rows with the same stamp must be made one beforehand.
-    Give ``keys`` (a station, or a station and a coarse time bucket) wherever the tables are large.
+    Give ``keys`` (a station) wherever there are several; ``sliced`` cuts long series into ranges of about so many rows.
     """
     names = list(columns if columns is not None else [c for c in left.columns if c in right.columns and c not in (*keys, ts)])
     payload = lambda df: F.struct(F.col(ts).alias("_at"), *[F.col(c).alias(c) for c in names])
     none = F.lit(None)
     a = left.select(*keys, ts, F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_row"), none.cast(right.select(payload(right)).schema[0].dataType).alias("_r"))
     b = right.select(*keys, ts, F.lit(0).alias("_side"), none.cast(a.schema["_row"].dataType).alias("_row"), payload(right).alias("_r"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(ts, "_side")
-    both = a.unionByName(b).withColumn("_before", F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    back_in_time = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.desc(ts), F.desc("_side"))
-    both = both.withColumn("_after", F.last("_r", ignorenulls=True).over(back_in_time.rowsBetween(Window.unboundedPreceding, 0))).where("_side = 1")
+    both = a.unionByName(b)
+    if sliced:
+        # stamps of both sides order rows; the side decides between equal ones, for which a right row counts as before and after
+        cut = segments.cut(both, keys, ts, segments.edges(left.select(ts), ts, sliced)).withColumn("_order", 2 * segments.micros(both, ts) + F.col("_side"))
+        found = segments.carried(segments.carried(cut, {"_before": F.col("_r")}, keys, "_order"), {"_after": F.col("_r")}, keys, "_order", backwards=True).drop("_slice", "_cuts", "_order")
+        both = found.where("_side = 1")
+    else:
+        w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(ts, "_side")
+        both = both.withColumn("_before", F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        back_in_time = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.desc(ts), F.desc("_side"))
+        both = both.withColumn("_after", F.last("_r", ignorenulls=True).over(back_in_time.rowsBetween(Window.unboundedPreceding, 0))).where("_side = 1")
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     back, ahead = micros(F.col(ts)) - micros(F.col("_before._at")), micros(F.col("_after._at")) - micros(F.col(ts))
     pick = F.when(ahead.isNull() | (back <= ahead), F.col("_before")).otherwise(F.col("_after"))

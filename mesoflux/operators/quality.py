@@ -13,8 +13,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import solar
 from ..functions.atmosphere import computed
@@ -120,8 +123,8 @@ def step_excursions(df: DataFrame, column: str, threshold: float, return_tol: fl
     within ``return_tol`` of the one before it all.
 
     The end of a departure is found by looking ahead in one window. A departure may begin only after a sample that stays, so the rule is
-    sequential; but none reaches over a gap of more than two steps (or of none), nor over ``max_len`` samples without a jump. Both begin
-    a new segment, and the few departures of a segment are settled in a fold over them. Null samples are left out of the rule.
+    sequential: the sorted rows go through one scan in Arrow batches, whose only state is the end of the last departure, so that its time
+    is linear however noisy the series. Null samples are left out of the rule. For a long series see ``segments.scan``.
     """
     valid = Window.partitionBy(*keys, F.col(column).isNull())
     order = valid.orderBy(ts)
@@ -140,19 +143,32 @@ def step_excursions(df: DataFrame, column: str, threshold: float, return_tol: fl
     for condition, at in reversed(cases):
         end = F.when(condition, at).otherwise(end)
     loud = F.coalesce(F.abs("_jump") > threshold, F.lit(False))
-    base = base.withColumns({"_end": F.when(loud, end), "_begins": F.when(F.col("_near") & (F.max(loud.cast("int")).over(order.rowsBetween(-max_len, 0)) == 1), 0).otherwise(1)})
-    base = base.withColumn("_seg", F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    found = F.collect_list(F.when(F.col("_end").isNotNull(), F.struct(F.col("_i").alias("i"), F.col("_end").alias("e")))).over(Window.partitionBy(*keys, F.col(column).isNull(), "_seg"))
+    return base.withColumn("_end", F.when(loud, end)).select(*df.columns, "_i", "_end").mapInArrow(_settled(column, df.columns), StructType([StructField(f.name, f.dataType) for f in df.schema.fields]))
 
-    def settled(spans: Column) -> Column:
-        """Of departures in order those that begin after the end of the last that holds."""
-        none = F.array().cast(spans_type)
-        return F.aggregate(F.array_sort(spans), none, lambda kept, s: F.when((F.size(kept) == 0) | (s["i"] > F.element_at(kept, -1)["e"]), F.concat(kept, F.array(s))).otherwise(kept))
 
-    spans_type = "array<struct<i:int,e:int>>"
-    gone = F.exists(settled(F.col("_spans")), lambda s: (F.col("_i") >= s["i"]) & (F.col("_i") < s["e"]))
-    out = base.withColumn("_spans", found)
-    return out.withColumn(column, F.when((F.size("_spans") == 0) | ~gone, F.col(column))).select(*df.columns)
+def _settled(column: str, columns: Sequence[str]):
+    """Blank the departures that hold. ``_i`` counts the samples of a series from 1; rows come as the window left them, series by series."""
+
+    def run(batches):
+        last = seen = 0  # the end of the last departure that holds, and the sample before this batch
+        for b in batches:
+            i, end = b.column("_i").to_numpy(zero_copy_only=False), pc.fill_null(b.column("_end"), 0).to_numpy(zero_copy_only=False)
+            if ((np.diff(i, prepend=seen) != 1) & (i != 1)).any():
+                raise RuntimeError("the samples aren't in order")
+            fresh = np.flatnonzero(i == 1)
+            gone = np.zeros(len(i), bool)
+            gone[: fresh[0] if len(fresh) else len(i)] = i[: fresh[0] if len(fresh) else len(i)] < last  # a departure that began in the batch before
+            for k in np.union1d(fresh, np.flatnonzero(end)).tolist():
+                if i[k] == 1:
+                    last = 0
+                if end[k] and i[k] > last:
+                    last = int(end[k])
+                    gone[k : k + last - int(i[k])] = True
+            seen = int(i[-1]) if len(i) else seen
+            kept = pc.if_else(pa.array(gone), pa.scalar(None, b.column(column).type), b.column(column))
+            yield pa.RecordBatch.from_arrays([kept if c == column else b.column(c) for c in columns], list(columns))
+
+    return run
 
 
 def short_excursions(df: DataFrame, column: str, threshold: float, return_tol: float, keys: Sequence[str] = (), ts: str = "ts", step: str = "5 minutes") -> DataFrame:
@@ -168,7 +184,7 @@ def short_excursions(df: DataFrame, column: str, threshold: float, return_tol: f
 def with_sun(df: DataFrame, site: Site, ts: str = "ts") -> DataFrame:
     """``df`` with ``_mu`` (cosine of the zenith angle) and ``_e0`` (eccentricity correction), made once for the steps that follow; they take
     these columns where they find them. Made before a window, the work is spread over the scan's tasks."""
-    return computed(df, {"_mu": solar.cos_zenith(F.col(ts), site), "_e0": solar.eccentricity(F.col(ts))})
+    return solar.with_sun(df, site, ts)
 
 
 def _sun(df: DataFrame, site: Site, ts: str) -> DataFrame:
@@ -360,10 +376,13 @@ def dead_channels(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 
 def clip_last_days(df: DataFrame, days: int, ts: str = "ts", end: Column | None = None) -> DataFrame:
-    """Rows within ``days`` of the last stamp, or of ``end``; rows after ``end`` stay."""
-    top = F.broadcast(df.agg(F.max(ts).alias("_end"))) if end is None else None
-    base = df.crossJoin(top) if top is not None else df.withColumn("_end", end)  # the other side is one row
-    return base.where(F.col(ts) >= F.col("_end") - F.expr(f"INTERVAL {days} DAYS")).drop("_end")
+    """Rows within ``days`` of the last stamp, or of ``end``; rows after ``end`` stay.
+
+    The last stamp is looked up first, so that the filter is one on a constant, which the scan can use to skip files.
+    """
+    if end is None:
+        end = F.lit(df.agg(F.max(ts).alias("_end")).first()[0]).cast(df.schema[ts].dataType)
+    return df.where(F.col(ts) >= end - F.expr(f"INTERVAL {days} DAYS"))
 
 
 def first_present(df: DataFrame, candidates: Sequence[str]) -> Column | None:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import segments
+
 
 def ordered(keys: Sequence[str], ts: str):
     """Without keys the whole series is one partition; give keys wherever there is more than one series."""
@@ -90,36 +92,57 @@ def pad_sequence(members: Column, length: int, dim: int) -> tuple[Column, Column
     return F.concat(F.array_repeat(zero, missing), newest), F.concat(F.array_repeat(F.lit(0), missing), F.array_repeat(F.lit(1), F.size(newest)))
 
 
-def interpolate_time(df: DataFrame, column: str, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
-    """Linear in time, inside gaps only."""
-    w = ordered(keys, ts)
+def _known_around(df: DataFrame, known: Column, keys: Sequence[str], order: str, sliced: int | None) -> DataFrame:
+    """``df`` with ``_b`` and ``_a``: the last known value up to each row and the next one from it on."""
+    if sliced:
+        df = segments.cut(df, keys, order, segments.edges(df, order, sliced))
+        return segments.carried(segments.carried(df, {"_b": known}, keys, order), {"_a": known}, keys, order, backwards=True).drop("_slice", "_cuts")
+    return df.withColumns({"_b": F.last(known, True).over(ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0)), "_a": next_known(known, keys, order)})
+
+
+def interpolate_time(df: DataFrame, column: str, keys: Sequence[str] = (), ts: str = "ts", sliced: int | None = None) -> DataFrame:
+    """Linear in time, inside gaps only. ``sliced``: cut long series into ranges of about so many rows."""
     point = F.when(F.col(column).isNotNull(), F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(column).alias("v")))
-    base = df.withColumns({"_b": F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_a": next_known(point, keys, ts)})
+    base = _known_around(df, point, keys, ts, sliced)
     t = F.unix_micros(F.col(ts).cast("timestamp"))
     line = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * F.try_divide(t - F.col("_b.t"), F.col("_a.t") - F.col("_b.t"))
     return base.withColumn(column, F.coalesce(column, line)).drop("_a", "_b")
 
 
-def ffill(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), ts: str = "ts", last: dict | None = None, mean: dict | None = None) -> DataFrame:
-    """Forward fill, then the training set's last value, then its mean."""
-    w = ordered(keys, ts).rowsBetween(Window.unboundedPreceding, 0)
-    fill = lambda c: F.coalesce(F.last(c, True).over(w), F.lit((last or {}).get(c)).cast("double"), F.lit((mean or {}).get(c)).cast("double"))
-    return df.withColumns({c: fill(c) for c in columns})
+def ffill(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), ts: str = "ts", last: dict | None = None, mean: dict | None = None, sliced: int | None = None) -> DataFrame:
+    """Forward fill, then the training set's last value, then its mean. ``sliced``: cut long series into ranges of about so many rows."""
+    if sliced:
+        base = segments.carried(segments.cut(df, keys, ts, segments.edges(df, ts, sliced)), {c: F.col(c) for c in columns}, keys, ts).select(*df.columns)
+    else:
+        w = ordered(keys, ts).rowsBetween(Window.unboundedPreceding, 0)
+        base = df.withColumns({c: F.last(c, True).over(w) for c in columns})
+    fill = lambda c: F.coalesce(F.col(c), F.lit((last or {}).get(c)).cast("double"), F.lit((mean or {}).get(c)).cast("double"))
+    return base.withColumns({c: fill(c) for c in columns})
+
 
+def repair_stamps(df: DataFrame, order: str, ts: str = "ts", keys: Sequence[str] = (), max_missing: float = 0.5, sliced: int | None = None) -> DataFrame:
+    """Unreadable stamps interpolated between known neighbours by row position; fails where too many are missing or time runs back.
 
-def repair_stamps(df: DataFrame, order: str, ts: str = "ts", keys: Sequence[str] = (), max_missing: float = 0.5) -> DataFrame:
-    """Unreadable stamps interpolated between known neighbours by row position; fails where too many are missing or time runs back."""
-    w = ordered(keys, order)
-    every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    base = df.withColumn("_i", F.row_number().over(w))
+    ``sliced``: cut long series into ranges of about so many rows of ``order``, a whole number.
+    """
+    share = df.groupBy(*[F.col(c).alias(f"_g_{c}") for c in keys]).agg(F.avg(F.col(ts).isNull().cast("double")).alias("_share"))
+    if sliced:
+        base = segments.numbered(segments.cut(df, keys, order, segments.edges(df, order, sliced)), keys, order, "_i")
+    else:
+        base = df.withColumn("_i", F.row_number().over(ordered(keys, order)))
     known = F.when(F.col(ts).isNotNull(), F.struct(F.col("_i").alias("i"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t")))
-    base = base.withColumns({"_b": F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_a": next_known(known, keys, order), "_share": F.avg(F.col(ts).isNull().cast("double")).over(every)})
+    base = _known_around(base, known, keys, order, sliced)
+    base = base.join(share, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in keys]).drop(*[f"_g_{c}" for c in keys]) if keys else base.crossJoin(F.broadcast(share))  # one row
     at = F.col("_b.t") + (F.col("_a.t") - F.col("_b.t")) * F.try_divide(F.col("_i") - F.col("_b.i"), F.col("_a.i") - F.col("_b.i"))
     fixed = F.coalesce(F.col(ts), F.timestamp_micros(at.cast("long")).cast("timestamp_ntz"))
     base = base.withColumn("_t", fixed)
-    back = F.col("_t") <= F.lag("_t").over(w)
+    if sliced:
+        base = segments.shifted(segments.cut(base, keys, order, segments.edges(df, order, sliced)), {"_p": F.col("_t")}, keys, order).drop("_slice", "_cuts")
+    else:
+        base = base.withColumn("_p", F.lag("_t").over(ordered(keys, order)))
+    back = F.col("_t") <= F.col("_p")
     bad = F.when(F.col("_share") > max_missing, F.raise_error(F.lit("too many unreadable stamps")).cast("timestamp_ntz")).when(F.coalesce(back, F.lit(False)), F.raise_error(F.lit("stamps run backwards")).cast("timestamp_ntz"))
-    return base.withColumn(ts, F.when((F.col("_share") > max_missing) | F.coalesce(back, F.lit(False)), bad).otherwise(F.col("_t"))).drop("_i", "_a", "_b", "_share", "_t")
+    return base.withColumn(ts, F.when((F.col("_share") > max_missing) | F.coalesce(back, F.lit(False)), bad).otherwise(F.col("_t"))).drop("_i", "_a", "_b", "_share", "_t", "_p")
 
 
 # -- splits ---------------------------------------------------------------------------------------------------------------

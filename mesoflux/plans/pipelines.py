@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import solar
 from ..functions.atmosphere import computed
 from ..functions.solar import Site
-from ..operators import calibration, grid, hourly, joins, metrics, quality
+from ..operators import calibration, grid, hourly, joins, metrics, quality, segments
 from ..sources import publish, records
 
 SHORTWAVE = ("Sw_dw", "Sw_dif", "Sw_up", "Sw_par")
@@ -29,24 +29,23 @@ class ArchiveRules:
     directions: Mapping[str, str] = field(default_factory=dict)
 
 
-def build_station_archive(raw: DataFrame, rules: ArchiveRules, site: Site, keys: Sequence[str] = (), ts: str = "ts", min_samples: int = 6, folder: str | None = None) -> dict[str, DataFrame]:
+def build_station_archive(raw: DataFrame, rules: ArchiveRules, site: Site, keys: Sequence[str] = (), ts: str = "ts", min_samples: int = 6, folder: str | None = None, step_seconds: float = 300.0, slice_rows: int = segments.ROWS) -> dict[str, DataFrame]:
     """``raw``, ``qc`` and ``hourly`` tables; with ``folder`` each is written there, by year, and the hours are made of the written one.
 
+    Without keys the record is one series, whose statistical tests run on ranges of time of about ``slice_rows`` rows.
+
     The order matters: gates are in raw units and come before calibration, statistical
     tests before the second gate, and that before unification and the solar stage."""
     here = [c for c in SHORTWAVE if c in raw.columns]
     closes = {"Sw_dw", "Sw_up", "Lw_dw", "Lw_up"} <= set(raw.columns)
-    df = quality.mask_sentinels(quality.with_sun(raw, site, ts) if here or closes else raw, rules.sentinels, ts)
+    df = quality.mask_sentinels(raw, rules.sentinels, ts)
     df = calibration.apply_calibrations(quality.range_gate(df, rules.ranges), rules.calibrations, ts)
-    for column, threshold, tol, length in rules.steps:
-        if column in df.columns:
-            df = quality.step_excursions(df, column, threshold, tol, length, keys, ts)
-    for column, run in rules.persistence:
-        if column in df.columns:
-            df = quality.persistent_runs(df, column, run, keys, ts)
+    df = _statistical_tests(df, rules, keys, ts, step_seconds, slice_rows, raw)
     df = quality.range_gate(df, rules.ranges)
     if rules.switches:
         df = calibration.unify_columns(df, rules.switches, ts)
+    if here or closes:
+        df = quality.with_sun(df, site, ts)
     if here:
         df = quality.mask_corrupted_days(df, site, here, [*here, "Lw_dw", "Lw_up", "Net_CNR1"], keys, ts)
         df = quality.mask_nocturnal(quality.mask_impossible(df, site, ts), site, here, ts)
@@ -66,6 +65,33 @@ def build_station_archive(raw: DataFrame, rules: ArchiveRules, site: Site, keys:
     return {"raw": raw, "qc": df, "hourly": out}
 
 
+def _statistical_tests(df: DataFrame, rules: ArchiveRules, keys: Sequence[str], ts: str, step_seconds: float, slice_rows: int, stamps: DataFrame) -> DataFrame:
+    """Step and persistence tests in their order. Rules of different columns share one pass over ranges of time; a second rule of a column needs the first one's result around its edges."""
+    layers: list[list[tuple]] = [[]]
+    for rule in [("step", *r) for r in rules.steps] + [("run", *r) for r in rules.persistence]:
+        if rule[1] in df.columns:
+            if rule[1] in {r[1] for r in layers[-1]}:
+                layers.append([])
+            layers[-1].append(rule)
+
+    def tested(layer: Sequence[tuple]):
+        def run(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+            for kind, column, *args in layer:
+                rows = quality.step_excursions(rows, column, *args, by, ts, step_seconds) if kind == "step" else quality.persistent_runs(rows, column, *args, by, ts, f"{step_seconds} seconds")
+            return rows
+
+        return run
+
+    for layer in filter(None, layers):
+        if keys:
+            df = tested(layer)(df, keys)
+            continue
+        reach = step_seconds * max(2 * (r[-1] + 2) if r[0] == "step" else r[-1] + 1 for r in layer)
+        calm = [(r[1], r[2], r[4]) for r in layer if r[0] == "step"]
+        df = segments.scan(df, tested(layer), ts=ts, before=reach, after=reach, calm=calm, step_seconds=step_seconds, stamps=stamps, rows=slice_rows)
+    return df
+
+
 def process_sensor_folder(spark: SparkSession, folder: str, target: str, ranges: Sequence = (), records_: Sequence[calibration.Calibration] = (), freq: str = "1 hour", min_samples: int = 6, **read) -> None:
     merged = records.scan_directory(spark, folder, **read)
     gated = calibration.apply_calibrations(quality.range_gate(merged, ranges), records_)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.atmosphere import finite, flow_bearing
 from ..operators.stats import content_hash
+from . import commits
 
 DECIMALS = {"C": 1, "K": 1, "hPa": 1, "%": 0, "m/s": 1, "deg": 0, "W/m2": 0, "mm": 1}
 MISSING_INT = -(2**31)
@@ -159,15 +160,6 @@ def grid_cells(cells: DataFrame, by: Sequence[str] = ("domain",)) -> DataFrame:
     return out.withColumn("separable", flat("west", "x") & flat("east", "x") & flat("south", "y") & flat("north", "y"))
 
 
-def _stored(spark, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return None
-
-
 def absent_rows(new: DataFrame, old: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
     """Rows of ``new``, one a key, whose keys (a station and a stamp) ``old`` lacks; of ``old`` only the span of the new stamps is read."""
     once = new.dropDuplicates(list(keys))
@@ -179,25 +171,37 @@ def absent_rows(new: DataFrame, old: DataFrame, keys: Sequence[str], ts: str = "
     return once.join(old.where(F.col(ts).between(F.lit(low), F.lit(high))).select(*keys), list(keys), "left_anti")
 
 
-def append_block(new: DataFrame, path: str, keys: Sequence[str] = ("ts",), ts: str = "ts", force: bool = False) -> bool:
-    """Append the rows of the block whose ``keys`` the table lacks; whether there were any.
+def append_block(new: DataFrame, path: str, keys: Sequence[str] | None = None, ts: str = "ts", force: bool = False, batch: tuple[str, int] | None = None) -> bool:
+    """Append the rows of the block whose ``keys`` (a station and a stamp) the table lacks; whether there were any.
 
-    Give a station and a stamp as keys where the table has several stations. With ``force`` the block is appended as it is. Columns
-    that the table lacks are refused, missing ones are null.
+    The block is appended as a whole or not at all, also where a job is lost or two writers meet (``commits``); ``batch`` (writer, number)
+    is not appended again. Without ``keys`` the stamp alone is the key, as in the table of one station; a row that differs from another of
+    its stamp is then an error. With ``force`` the block is appended as it is. Columns that the table lacks are refused, missing ones are null.
     """
-    old = _stored(new.sparkSession, path)
-    if old is None:
-        (new if force else new.dropDuplicates(list(keys))).write.parquet(path)
-        return True
-    extra = [c for c in new.columns if c not in old.columns]
-    if extra:
-        raise ValueError(f"the table has no columns {extra}; evolve its schema first")
-    fresh = new if force else absent_rows(new, old, keys, ts)
-    if not force and fresh.isEmpty():
-        return False
-    fill = {f.name: F.lit(None).cast(f.dataType) for f in old.schema.fields if f.name not in new.columns}
-    fresh.withColumns(fill).select(*old.columns).write.mode("append").parquet(path)
-    return True
+    by = list(keys or (ts,))
+    if not keys and not force and not new.groupBy(ts).agg(F.count_distinct(_whole_row(new)).alias("n")).where("n > 1").isEmpty():
+        raise ValueError("rows of one stamp differ: give the station as a key")
+
+    def rows(old: DataFrame | None) -> DataFrame | None:
+        if old is None:
+            return new if force else new.dropDuplicates(by)
+        extra = [c for c in new.columns if c not in old.columns]
+        if extra:
+            raise ValueError(f"the table has no columns {extra}; evolve its schema first")
+        if not keys and not force:
+            before = old.select(F.col(ts).alias("_ts"), _whole_row(old.select(*new.columns)).alias("_row"))
+            if not new.join(before, F.col(ts) == F.col("_ts")).where(_whole_row(new) != F.col("_row")).isEmpty():
+                raise ValueError("the table has another row of a stamp: give the station as a key")
+        fresh = new if force else absent_rows(new, old, by, ts)
+        fill = {f.name: F.lit(None).cast(f.dataType) for f in old.schema.fields if f.name not in new.columns}
+        return fresh.withColumns(fill).select(*old.columns)
+
+    return commits.append(new.sparkSession, path, rows, batch)
+
+
+def _whole_row(df: DataFrame) -> Column:
+    """A hash of all columns, named so that it stays apart from those of another frame."""
+    return F.xxhash64(*[df[c] for c in sorted(df.columns)])
 
 
 def evolve_schema(old: DataFrame, new: DataFrame, wanted: Sequence[str]) -> DataFrame:

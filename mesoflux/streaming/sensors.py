@@ -68,12 +68,16 @@ def stream_dedup(df: DataFrame, keys: Sequence[str], ts: str = "ts", lateness: s
     return event_time(df, ts).withWatermark(ts, lateness).dropDuplicatesWithinWatermark([*keys, ts])
 
 
-def append_sink(path: str, keys: Sequence[str] = ("ts",), ts: str = "ts") -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: only rows whose ``keys`` (a station and a stamp) the table lacks are appended, one a key, so a replayed
-    batch changes nothing. Of the table only the span of the batch's stamps is read."""
+def append_sink(path: str, keys: Sequence[str] | None = None, ts: str = "ts") -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: rows whose ``keys`` (a station and a stamp) the table lacks are appended, one a key, as a whole or not at all.
+
+    A batch that the stream has committed before is left alone: the commit holds the number of the last batch of every stream, known by
+    its checkpoint. Of the table only the span of the batch's stamps is read. Without keys see ``append_block``.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        append_block(batch, path, keys, ts)
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        append_block(batch, path, keys, ts, batch=(stream, epoch) if stream else None)
 
     return write
 

@@ -1,4 +1,4 @@
-"""Distribution fits. Spark reduces a column to sufficient statistics or a fixed number of bins; only those reach a solver."""
+"""Distribution fits. Spark reduces a column to sufficient statistics, for mixtures anew in every round; only those reach a solver."""
 
 from __future__ import annotations
 
@@ -7,11 +7,14 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special
 from ..functions.atmosphere import STEFAN_BOLTZMANN
+from ..sources.scratch import scratch_path
+from . import ranks, stats
 
 BINS = 8192
 NAN = math.nan
@@ -24,15 +27,15 @@ class Fit:
     n: int
 
 
-def binned(df: DataFrame, column: str, low: float | None = None, high: float | None = None, bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
-    """(mean of each bin, count): at most ``bins`` rows on the driver, whatever the input. Bounds are exclusive."""
+def binned(df: DataFrame, column: str, low: float | None = None, high: float | None = None, bins: int = BINS, weight: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(mean of each bin, count, or sum of ``weight``): at most ``bins`` rows on the driver, whatever the input. Bounds are exclusive."""
     c = F.col(column)
     ok = df.where(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < math.inf) & (c > low if low is not None else F.lit(True)) & (c < high if high is not None else F.lit(True)))
     lo, hi = ok.agg(F.min(c), F.max(c)).first()
     if lo is None:
         return np.zeros(0), np.zeros(0)
     width = (hi - lo) / bins or 1.0
-    rows = ok.groupBy(F.least(F.floor((c - lo) / width), F.lit(bins - 1)).alias("b")).agg(F.avg(c).alias("x"), F.count("*").alias("n")).orderBy("b").collect()
+    rows = ok.groupBy(F.least(F.floor((c - lo) / width), F.lit(bins - 1)).alias("b")).agg((F.avg(c) if weight is None else F.sum(c * F.col(weight)) / F.sum(weight)).alias("x"), (F.count("*") if weight is None else F.sum(weight)).alias("n")).orderBy("b").collect()
     return np.array([r.x for r in rows]), np.array([r.n for r in rows], float)
 
 
@@ -116,7 +119,7 @@ def _hollands_constant(lam: float, top: float) -> tuple[float, float]:
 
 def fit_hollands_huget(df: DataFrame, column: str, kt_max: float | None = None) -> dict:
     ok = df.where(F.col(column) >= 0)
-    top = kt_max if kt_max is not None else ok.agg(F.percentile(column, F.lit(0.995))).first()[0]
+    top = kt_max if kt_max is not None else (ranks.quantiles(ok, column, [0.995]).first() or [[None]])[0][0]
     if not top or top <= 0:
         return {"lambda": NAN, "kt_max": NAN}
     n, mean = _moments(ok.where(F.col(column) < top), F.avg(column))
@@ -129,30 +132,91 @@ def fit_hollands_huget(df: DataFrame, column: str, kt_max: float | None = None)
     return {"lambda": (low + high) / 2, "kt_max": top}
 
 
-def em_normal(x: np.ndarray, n: np.ndarray, components: int, rounds: int = 600) -> dict:
-    """Weighted EM from quantile starts; components by ascending mean."""
-    total = n.sum()
-    cum = (np.cumsum(n) - n / 2) / total
-    mu = np.interp(np.linspace(0.5 / components, 1 - 0.5 / components, components), cum, x)
-    mean = (n * x).sum() / total
-    sd = np.full(components, (math.sqrt((n * (x - mean) ** 2).sum() / total) or 1.0) / components)
-    w = np.full(components, 1 / components)
-    for _ in range(rounds):
-        d = w * np.exp(-0.5 * ((x[:, None] - mu) / sd) ** 2) / (sd * math.sqrt(2 * math.pi))
-        t = d.sum(axis=1, keepdims=True)
-        r = np.where(t > 0, d / np.maximum(t, 1e-300), 1 / components) * n[:, None]
-        mass = np.maximum(r.sum(axis=0), 1e-300)
-        w, mu = mass / total, (r * x[:, None]).sum(axis=0) / mass
-        sd = np.sqrt(np.maximum((r * (x[:, None] - mu) ** 2).sum(axis=0) / mass, 1e-12))
+#: EM stops when no parameter moves by more than this share of its size.
+TOLERANCE = 1e-8
+
+
+def _sums(values: DataFrame, of) -> np.ndarray:
+    """The sum over all rows (x, n) of ``of(x, n)``, a vector: every task adds its rows up, the driver adds a vector a task."""
+
+    def task(batches):
+        total = 0.0
+        for b in batches:
+            total = total + of(b.column("x").to_numpy(zero_copy_only=False), b.column("n").to_numpy(zero_copy_only=False).astype(float))
+        if np.ndim(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
+
+    return np.sum([r.s for r in values.mapInArrow(task, "s array<double>").collect()], axis=0)
+
+
+def _settled(theta: np.ndarray, step, valid, rounds: int) -> np.ndarray:
+    """The fixed point of EM steps: after every two steps the path is extrapolated (squared extrapolation), if that is ``valid``."""
+    done = 0
+    while done < rounds:
+        one = step(theta)
+        two = step(one)
+        done += 2
+        if np.all(np.abs(two - one) <= TOLERANCE * np.maximum(1.0, np.abs(two))):
+            return two
+        r, v = one - theta, (two - one) - (one - theta)
+        far = np.linalg.norm(r) / max(np.linalg.norm(v), 1e-300)
+        leap = theta + 2 * far * r + far * far * v
+        theta = step(leap) if far > 1 and np.all(np.isfinite(leap)) and valid(leap) else two
+        done += 1
+    return theta
+
+
+def _normal_sums(theta: np.ndarray, components: int):
+    w, mu, sd = np.split(theta, 3)
+
+    def of(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        logs = np.log(np.maximum(w, 1e-300)) - 0.5 * ((x[:, None] - mu) / sd) ** 2 - np.log(sd)
+        d = np.exp(logs - logs.max(axis=1, keepdims=True))
+        r = d / d.sum(axis=1, keepdims=True) * n[:, None]
+        z = x[:, None] - mu  # moments about the present means lose no digits
+        return np.concatenate([r.sum(axis=0), (r * z).sum(axis=0), (r * z * z).sum(axis=0)])
+
+    return of
+
+
+def em_normal(values: DataFrame | tuple[np.ndarray, np.ndarray], components: int, rounds: int = 600, start: np.ndarray | None = None) -> dict:
+    """Normal mixture by EM over rows (x, n), n their weights; components by ascending mean. Without a start: quantiles of an array."""
+    if start is None:
+        x, n = values
+        total = n.sum()
+        cum = (np.cumsum(n) - n / 2) / total
+        mean = (n * x).sum() / total
+        sd = np.full(components, (math.sqrt((n * (x - mean) ** 2).sum() / total) or 1.0) / components)
+        start = np.concatenate([np.full(components, 1 / components), np.interp(np.linspace(0.5 / components, 1 - 0.5 / components, components), cum, x), sd])
+
+    def step(theta: np.ndarray) -> np.ndarray:
+        of = _normal_sums(theta, components)
+        mass, first, second = np.split(of(*values) if isinstance(values, tuple) else _sums(values, of), 3)
+        mass = np.maximum(mass, 1e-300)
+        shift = first / mass
+        return np.concatenate([mass / mass.sum(), np.split(theta, 3)[1] + shift, np.sqrt(np.maximum(second / mass - shift**2, 1e-12))])
+
+    theta = _settled(start, step, lambda t: (np.split(t, 3)[0] > 0).all() and (np.split(t, 3)[2] > 0).all(), rounds)
+    w, mu, sd = np.split(theta, 3)
     o = np.argsort(mu)
     return {"weights": w[o].tolist(), "mu": mu[o].tolist(), "sigma": sd[o].tolist()}
 
 
+def _weighted(df: DataFrame, value: Column) -> DataFrame:
+    """(x, n): the distinct values with their counts, written once for all rounds."""
+    path = scratch_path(df.sparkSession, "mixture")
+    df.select(value.cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)").groupBy("x").agg(F.count("*").alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema("x double, n long").parquet(path)
+
+
 def fit_power_normal_mixture(df: DataFrame, column: str, components: int = 2) -> dict:
-    """A normal mixture of the brightness temperature (F / sigma)^(1/4)."""
-    t = df.select(F.pow(F.greatest(F.col(column), F.lit(0.0)) / STEFAN_BOLTZMANN, F.lit(0.25)).alias("t")).where("t IS NOT NULL")
-    x, n = binned(t, "t")
-    return em_normal(x, n, components) if n.sum() >= components else {k: [NAN] * components for k in ("weights", "mu", "sigma")}
+    """A normal mixture of the brightness temperature (F / sigma)^(1/4): EM over all rows, from where EM over a histogram has come."""
+    rows = _weighted(df, F.pow(F.greatest(F.col(column), F.lit(0.0)) / STEFAN_BOLTZMANN, F.lit(0.25)))
+    x, n = binned(rows.withColumnRenamed("x", "t").withColumn("_w", F.col("n")), "t", weight="_w")
+    if n.sum() < components:
+        return {k: [NAN] * components for k in ("weights", "mu", "sigma")}
+    first = em_normal((x, n), components)
+    return em_normal(rows, components, start=np.concatenate([first["weights"], first["mu"], first["sigma"]]))
 
 
 def fit_compound(df: DataFrame | None, column: str | None, *, lam: float, kt_max: float, scales: Sequence[float], weights: Sequence[float], gain: float = 1.0) -> dict:
@@ -287,59 +351,86 @@ def ppf(fit: Fit, q, rounds: int = 100) -> np.ndarray:
     return (low + high) / 2
 
 
-def goodness_of_fit(df: DataFrame, column: str, fit: Fit, points: int = 2001) -> DataFrame:
-    """One row: n, ks, quantile_gap. Equal values are counted before the one ordered pass over distinct ones.
+def goodness_of_fit(df: DataFrame, column: str, fit: Fit, order: str | None = None, edges: Sequence[float] | None = None, whole: int = ranks.WHOLE) -> DataFrame:
+    """One row: n, ks, quantile_gap, density_r2, n_eff, r1. All but n are null for fewer than two values.
 
-    The distribution functions are tabulated at ``points`` places and interpolated, so the data never leave Spark.
+    The distribution function and its inverse are evaluated at every value, in Arrow batches over the ranked rows: ks is the largest
+    distance of the two distribution functions, quantile_gap the mean distance of the i-th of n values from the quantile of (i - 1/2) / n.
+    density_r2 compares the densities over ``edges`` with the fitted one at the centres; n_eff and r1 need the ``order`` of the series.
     """
     low_end, high_end = FAMILIES[fit.family].support
-    c = F.col(column)
-    ok = df.where(c.isNotNull() & (c >= low_end if low_end > -math.inf else F.lit(True)) & (c <= high_end if high_end < math.inf else F.lit(True)))
-    lo, hi = ok.agg(F.min(c), F.max(c)).first()
-    if lo is None or lo == hi:
-        return ok.agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("ks"), F.lit(None).cast("double").alias("quantile_gap"))
-    grid = np.linspace(lo, hi, points)
-    f, q = cdf(fit, grid), ppf(fit, np.linspace(0, 1, points)[1:-1])
-    q = np.concatenate([[min(lo, q[0])], q, [max(hi, q[-1])]])
-    table = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    spark = df.sparkSession
-    lookup = spark.range(1).select(table(f).alias("_f"), table(q).alias("_q"))
-
-    def interpolate(where: Column, values: Column) -> Column:
-        at = F.greatest(F.lit(0.0), F.least(where, F.lit(points - 1.0)))
-        k = F.least(F.floor(at).cast("int"), F.lit(points - 2))
-        return F.get(values, k) + (F.get(values, k + 1) - F.get(values, k)) * (at - k)
-
-    counts = ok.groupBy(c.alias("v")).agg(F.count("*").alias("m"))
-    every, run = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumns({"_n": F.sum("m").over(every), "_hi": F.sum("m").over(run)}).crossJoin(F.broadcast(lookup))
-    model = interpolate((F.col("v") - lo) / (hi - lo) * (points - 1), F.col("_f"))
-    upper, lower = F.col("_hi") / F.col("_n"), (F.col("_hi") - F.col("m")) / F.col("_n")
-    middle = (F.col("_hi") - F.col("m") / 2) / F.col("_n")
-    gap = F.abs(F.col("v") - interpolate(middle * (points - 1), F.col("_q"))) * F.col("m")
-    return ranked.agg(F.sum("m").alias("n"), F.max(F.greatest(F.abs(upper - model), F.abs(model - lower))).alias("ks"), (F.sum(gap) / F.sum("m")).alias("quantile_gap"))
-
-
-def fit_von_mises_mixture(df: DataFrame, column: str, components: int = 2, rounds: int = 100, bins: int = 720, seed: int = 0) -> dict:
-    """EM on a histogram of directions, from evenly spaced starts with a seeded jitter; components by falling weight."""
-    rows = df.where(F.col(column).isNotNull()).groupBy(F.floor(F.pmod(F.col(column), F.lit(360.0)) / (360.0 / bins)).alias("b")).agg(F.count("*").alias("n")).collect()
-    if not rows:
-        return {k: [NAN] * components for k in ("weights", "mu", "kappa")}
-    t = np.radians((np.array([r.b for r in rows]) + 0.5) * 360.0 / bins)
-    n = np.array([r.n for r in rows], float)
-    mu = np.linspace(0, 2 * np.pi, components, endpoint=False) + np.random.default_rng(seed).uniform(0, 0.1, components)
-    kappa, w = np.ones(components), np.full(components, 1 / components)
-    for _ in range(rounds):
-        logs = np.log(w) + kappa * np.cos(t[:, None] - mu) - np.array([special.log_i0(k) for k in kappa]) - math.log(2 * math.pi)
+    c = F.col(column).cast("double")
+    sound = df.where(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < math.inf))
+    ok = sound.where((c >= low_end if low_end > -math.inf else F.lit(True)) & (c <= high_end if high_end < math.inf else F.lit(True)))
+
+    def distances(batches):
+        for b in batches:
+            v, rank, n = (b.column(k).to_numpy(zero_copy_only=False).astype(float) for k in ("v", "_rank", "_n"))
+            model = cdf(fit, v)
+            # (i + 1) / n and i / n of equal values bound the step of all of them
+            ks = np.maximum(np.abs((rank + 1) / n - model), np.abs(model - rank / n))
+            yield pa.RecordBatch.from_arrays([pa.array(ks), pa.array(np.abs(v - ppf(fit, (rank + 0.5) / n)))], ["ks", "gap"])
+
+    got = ranks.ranked(ok.select(c.alias("v")), "v", whole=whole).mapInArrow(distances, "ks double, gap double")
+    many = F.count("*") > 1
+    out = got.agg(F.count("*").alias("n"), F.when(many, F.max("ks")).alias("ks"), F.when(many, F.avg("gap")).alias("quantile_gap"))
+    none = F.lit(None).cast("double")
+    out = out.crossJoin(F.broadcast(_density_fit(sound, column, fit, edges))) if edges is not None else out.withColumn("density_r2", none)  # one row each
+    if order is None:
+        return out.withColumns({"n_eff": none, "r1": none})
+    return out.crossJoin(F.broadcast(stats.effective_sample_size(sound, column, order).select("n_eff", "r1")))
+
+
+def _density_fit(df: DataFrame, column: str, fit: Fit, edges: Sequence[float]) -> DataFrame:
+    """One row with density_r2: 1 - residual over total square, over the bins of a histogram."""
+    edges = [float(e) for e in edges]
+    centres = (np.array(edges[1:]) + np.array(edges[:-1])) / 2
+    model = F.array(*[F.lit(float(x)) for x in pdf(fit, centres)])
+    bars = stats.histogram(df, column, edges).withColumn("_m", F.get(model, F.col("bin")))
+    total = F.sum(F.col("density") * F.col("density")) - F.sum("density") * F.sum("density") / F.count("*")
+    return bars.agg(F.when(total > 0, 1 - F.sum((F.col("density") - F.col("_m")) * (F.col("density") - F.col("_m"))) / total).alias("density_r2"))
+
+
+def _direction_sums(theta: np.ndarray, components: int):
+    w, mu, kappa = np.split(theta, 3)
+    norm = np.array([special.log_i0(k) for k in kappa])
+
+    def of(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        t = np.radians(x)[:, None]
+        logs = np.log(np.maximum(w, 1e-300)) + kappa * np.cos(t - mu) - norm
         d = np.exp(logs - logs.max(axis=1, keepdims=True))
         r = d / d.sum(axis=1, keepdims=True) * n[:, None]
-        mass = np.maximum(r.sum(axis=0), 1e-300)
-        c, s = (r * np.cos(t)[:, None]).sum(axis=0), (r * np.sin(t)[:, None]).sum(axis=0)
-        old = (w, mu, kappa)
-        w, mu = mass / n.sum(), np.arctan2(s, c)
-        kappa = np.array([_kappa(min(x, 0.9999)) for x in np.hypot(c, s) / mass])
-        if max(np.abs(w - old[0]).max(), np.abs(kappa - old[2]).max()) < 1e-9:
-            break
+        return np.concatenate([r.sum(axis=0), (r * np.cos(t)).sum(axis=0), (r * np.sin(t)).sum(axis=0)])
+
+    return of
+
+
+def fit_von_mises_mixture(df: DataFrame, column: str, components: int = 2, rounds: int = 600, bins: int = 720, seed: int = 0) -> dict:
+    """Mixture of directions in degrees by EM, from evenly spaced starts with a seeded jitter; components by falling weight.
+
+    EM over a histogram of ``bins`` bins goes first; EM over all rows goes on from there until it settles.
+    """
+    rows = _weighted(df, F.pmod(F.col(column), F.lit(360.0)))
+    bars = rows.groupBy(F.floor(F.col("x") / (360.0 / bins)).alias("b")).agg(F.sum("n").alias("n")).collect()
+    if not bars:
+        return {k: [NAN] * components for k in ("weights", "mu", "kappa")}
+    coarse = (np.array([r.b for r in bars]) + 0.5) * 360.0 / bins, np.array([r.n for r in bars], float)
+
+    def step(sums):
+        def once(theta: np.ndarray) -> np.ndarray:
+            mass, c, s = np.split(sums(_direction_sums(theta, components)), 3)
+            mass = np.maximum(mass, 1e-300)
+            turned = np.arctan2(s, c)
+            before = np.split(theta, 3)[1]
+            mu = before + np.remainder(turned - before + np.pi, 2 * np.pi) - np.pi  # the nearest turn, so that the path has no jumps
+            return np.concatenate([mass / mass.sum(), mu, [_kappa(min(x, 0.9999)) for x in np.hypot(c, s) / mass]])
+
+        return once
+
+    valid = lambda t: (np.split(t, 3)[0] > 0).all() and (np.split(t, 3)[2] > 0).all()
+    start = np.concatenate([np.full(components, 1 / components), np.linspace(0, 2 * np.pi, components, endpoint=False) + np.random.default_rng(seed).uniform(0, 0.1, components), np.ones(components)])
+    theta = _settled(_settled(start, step(lambda of: of(*coarse)), valid, rounds), step(lambda of: _sums(rows, of)), valid, rounds)
+    w, mu, kappa = np.split(theta, 3)
     o = np.argsort(-w)
     return {"weights": w[o].tolist(), "mu": (np.degrees(mu[o]) % 360).tolist(), "kappa": kappa[o].tolist()}
 

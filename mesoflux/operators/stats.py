@@ -183,10 +183,26 @@ def top_counts(df: DataFrame, by: Sequence[str], n: int) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *by).limit(n)
 
 
+#: Rows of a leaf of the hash tree, about.
+LEAF_ROWS = 1024
+
+
 def content_hash(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """(n, hash): SHA-256 over the rows' own hashes. Row hashes are joined per key range first, then the few range hashes."""
+    """(n, hash): a hash tree over the rows. ``order`` names the columns that identify a row.
+
+    A leaf is the SHA-256 of the rows' hashes under a beginning of their keys' hash, which is as long as it takes for a leaf to hold
+    about ``LEAF_ROWS`` rows (three digits at least); sixteen nodes at a time are hashed together up to three digits, and those 4,096 at
+    last. So no array grows with the table, and the hash is the same however the rows are partitioned. Rows are counted first.
+    """
     row = F.sha2(F.to_json(F.struct(*[F.col(c) for c in df.columns])), 256)
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in order])
-    parts = df.select(F.conv(F.substring(F.md5(key), 1, 3), 16, 10).cast("int").alias("part"), key.alias("k"), row.alias("h"))
-    ranges = parts.groupBy("part").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    return ranges.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), ""), 256).alias("hash"))
+    digits = 3
+    rows = df.count()
+    while rows > LEAF_ROWS * 16**digits:
+        digits += 1
+    joined = lambda *by: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by, "h"))), lambda x: x["h"]), ""), 256).alias("h")
+    level = df.select(F.substring(F.md5(key), 1, digits).alias("part"), key.alias("k"), row.alias("h")).groupBy("part").agg(F.count("*").alias("n"), joined("k"))
+    for length in range(digits - 1, 2, -1):
+        level = level.withColumn("up", F.substring("part", 1, length)).groupBy("up").agg(F.sum("n").alias("n"), joined("part")).withColumnRenamed("up", "part")
+    top = level.select(F.conv("part", 16, 10).cast("int").alias("part"), "n", "h")
+    return top.agg(F.sum("n").alias("n"), joined("part").alias("hash"))

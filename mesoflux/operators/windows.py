@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import segments
 
@@ -28,8 +33,47 @@ def add_lags(df: DataFrame, columns: Sequence[str], lags: Sequence[int], keys: S
 
 
 def add_rolling(df: DataFrame, columns: Sequence[str], windows: Sequence[int], how: Sequence[str] = ("mean", "std"), keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
-    make = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "sum": F.sum, "median": lambda c: F.percentile(c, F.lit(0.5))}
-    return df.withColumns({f"{c}_roll_{n}_{h}": make[h](c).over(ordered(keys, ts).rowsBetween(-(n - 1), 0)) for c in columns for n in windows for h in how})
+    make = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "sum": F.sum}
+    out = df.withColumns({f"{c}_roll_{n}_{h}": make[h](c).over(ordered(keys, ts).rowsBetween(-(n - 1), 0)) for c in columns for n in windows for h in how if h != "median"})
+    if "median" in how:
+        out = rolling_medians(out, columns, windows, keys, ts)
+    return out.select(*df.columns, *[f"{c}_roll_{n}_{h}" for c in columns for n in windows for h in how])
+
+
+def rolling_medians(df: DataFrame, columns: Sequence[str], windows: Sequence[int], keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
+    """``df`` with {column}_roll_{n}_median: the median of the values, nulls left out, of the last n rows; NaN counts as the largest.
+
+    The sorted rows go through one scan that keeps each window in order: a value enters and leaves by binary search, so a row costs the same
+    however many it has before it.
+    """
+    numbered = df.withColumn("_i", F.row_number().over(ordered(keys, ts)))
+    wanted, kept = [(c, n) for c in columns for n in windows], list(df.columns)
+
+    def run(batches):
+        states: list[tuple[deque, list]] = []
+        for b in batches:
+            fresh = (b.column("_i").to_numpy(zero_copy_only=False) == 1).tolist()
+            values = {c: [math.inf if x is not None and x != x else x for x in b.column(c).cast(pa.float64()).to_pylist()] for c in columns}
+            if not states:
+                states = [(deque(), []) for _ in wanted]
+            made = []
+            for (c, n), (last, order) in zip(wanted, states):
+                out = []
+                for x, first in zip(values[c], fresh):
+                    if first:
+                        last.clear()
+                        order.clear()
+                    last.append(x)
+                    if x is not None:
+                        insort(order, x)
+                    if len(last) > n and (gone := last.popleft()) is not None:
+                        del order[bisect_left(order, gone)]
+                    m = len(order)
+                    out.append(None if not m else order[m // 2] if m % 2 else order[m // 2 - 1] + (order[m // 2] - order[m // 2 - 1]) * 0.5)
+                made.append(pa.array(out, pa.float64()))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *made], [*kept, *[f"{c}_roll_{n}_median" for c, n in wanted]])
+
+    return numbered.mapInArrow(run, StructType([*df.schema.fields, *[StructField(f"{c}_roll_{n}_median", DoubleType()) for c, n in wanted]]))
 
 
 def add_diffs(df: DataFrame, columns: Sequence[str], periods: Sequence[int] = (1,), keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:

@@ -38,7 +38,7 @@ def climatology_documents(df: DataFrame, value: str, edges: Sequence[float], sub
             scalars = {k: v for k, v in fit.params.items() if np.isscalar(v)}
             if all(np.isfinite(v) for v in scalars.values()):
                 curve = _numbers(distributions.pdf(fit, np.linspace(edges[0], edges[-1], points)))
-                quality_of = distributions.goodness_of_fit(body, value, fit)
+                quality_of = distributions.goodness_of_fit(body, value, fit).select("n", "ks", "quantile_gap")
                 parts.append(quality_of.select(F.struct(*quality_of.columns).alias("quality")))
             fitted = F.to_json(F.struct(F.lit(family).alias("family"), *[F.lit(float(v)).alias(k) for k, v in scalars.items()]))
         one = parts[0]

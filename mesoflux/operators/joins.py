@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path
 from . import segments
 
 
@@ -78,52 +79,53 @@ def interval_join(rows: DataFrame, rules: DataFrame, key: str, ts: str = "ts", s
     return rows.withColumn("_rb", day(F.col(ts))).join(wide, (F.col(key) == F.col("_key")) & (F.col("_rb") == F.col("_b")) & inside, how).drop("_key", "_b", "_rb")
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, lat: str = "lat", lon: str = "lon", outside: str = "error") -> DataFrame:
+def nearest_cell(points: DataFrame, cells: DataFrame, lat: str = "lat", lon: str = "lon", outside: str = "error", by: Sequence[str] = ()) -> DataFrame:
     """``points`` with the y, x of the nearest cell (by the hypotenuse of degrees; the least y, x on ties) and km.
 
-    Distinct places of both sides meet by an equi-join on square tiles. A place is settled once its nearest cell is no farther than
-    the rings of tiles that were searched; for the others the rings are doubled. Every row of ``points`` stays, repeated ones too;
-    where there is no place or no cell, y, x and km are null. A place beyond the cells' centres fails the job, since its nearest cell
-    would be the grid's edge; with ``outside="nearest"`` it gets that cell.
+    ``by`` names the columns that say which grid a point and a cell belong to; one plan serves any number of grids, each with tiles of
+    its own size. Distinct places of both sides meet by an equi-join on square tiles. A place is settled once its nearest cell is no
+    farther than the rings of tiles that were searched; for the others the rings are doubled. Every row of ``points`` stays, repeated
+    ones too; where there is no place or no cell, y, x and km are null. A place beyond the cells' centres fails the job, since its
+    nearest cell would be the grid's edge; with ``outside="nearest"`` it gets that cell.
     """
     if outside not in ("error", "nearest"):
         raise ValueError(f"unknown handling of outside places: {outside}")
-    sites = cells.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(F.col(lat).cast("double").alias("_clat"), F.col(lon).cast("double").alias("_clon"))
-    sites = sites.agg(F.min(F.struct("y", "x")).alias("_c"))
-    places = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(lat).cast("double").alias("_plat"), F.col(lon).cast("double").alias("_plon")).distinct()
-    box = sites.agg(F.count("*").alias("n"), *[f(c).alias(k) for k, f, c in (("s", F.min, "_clat"), ("n_", F.max, "_clat"), ("w", F.min, "_clon"), ("e", F.max, "_clon"))]).first()
-    found = None
-    if box.n:
-        tall, wide = box.n_ - box.s, box.e - box.w
-        side = max((tall * wide / box.n) ** 0.5 * 2, max(tall, wide) * 2 / box.n, 1e-9)  # a few cells a tile
-        rows, columns = int(tall // side) + 1, int(wide // side) + 1
-        tile = lambda c, low: F.floor((F.col(c) - low) / side)
-        tiled = sites.withColumns({"_ti": tile("_clat", box.s), "_tj": tile("_clon", box.w)})
-        rest, ring = places, 1
-        while True:
-            last = ring >= max(rows, columns)
-            # beyond the grid the last rings are counted from its edge, so that they hold the whole grid
-            i, j = [F.least(F.greatest(tile(c, low), F.lit(0)), F.lit(most)) if last else tile(c, low) for c, low, most in (("_plat", box.s, rows), ("_plon", box.w, columns))]
-            span = lambda t, most: F.sequence(F.greatest(t - ring, F.lit(0).cast("long")), F.least(t + ring, F.lit(most).cast("long")))
-            near = rest.withColumns({"_i": i, "_j": j}).where((F.col("_i") + ring >= 0) & (F.col("_i") - ring <= rows) & (F.col("_j") + ring >= 0) & (F.col("_j") - ring <= columns))
-            near = near.withColumn("_ti", F.explode(span(F.col("_i"), rows))).withColumn("_tj", F.explode(span(F.col("_j"), columns))).drop("_i", "_j")
-            d = F.sqrt(F.pow(F.col("_clat") - F.col("_plat"), 2) + F.pow(F.col("_clon") - F.col("_plon"), 2))
-            best = near.join(tiled, ["_ti", "_tj"]).groupBy("_plat", "_plon").agg(F.min(F.struct(d.alias("d"), F.col("_c.y"), F.col("_c.x"), "_clat", "_clon")).alias("b"))
-            settled = best if last else best.where(F.col("b.d") < ring * side * (1 - 1e-9))
-            found = settled if found is None else found.union(settled)
-            if last:
-                break
-            rest = rest.join(settled.select("_plat", "_plon"), ["_plat", "_plon"], "left_anti")
-            if rest.isEmpty():
-                break
-            ring *= 2
-    else:
-        found = places.withColumn("b", F.lit(None).cast("struct<d:double,y:bigint,x:bigint,_clat:double,_clon:double>"))
+    spark, grid = points.sparkSession, [f"_b_{c}" for c in by]
+    own = [F.col(c).alias(f"_b_{c}") for c in by]
+    sites = cells.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(*own, F.col(lat).cast("double").alias("_clat"), F.col(lon).cast("double").alias("_clon")).agg(F.min(F.struct("y", "x")).alias("_c"))
+    boxes = sites.groupBy(*grid).agg(F.count("*").alias("_n"), *[f(c).alias(k) for k, f, c in (("_s", F.min, "_clat"), ("_t", F.max, "_clat"), ("_w", F.min, "_clon"), ("_e", F.max, "_clon"))]).where("_n > 0")
+    tall, wide = F.col("_t") - F.col("_s"), F.col("_e") - F.col("_w")
+    boxes = boxes.withColumn("_side", F.greatest(F.sqrt(tall * wide / F.col("_n")) * 2, F.greatest(tall, wide) * 2 / F.col("_n"), F.lit(1e-9)))  # a few cells a tile
+    path = scratch_path(spark, "grids")
+    boxes.withColumns({"_rows": F.floor(tall / F.col("_side")) + 1, "_columns": F.floor(wide / F.col("_side")) + 1}).write.parquet(path)
+    boxes = spark.read.schema(", ".join([*[f"`_b_{c}` {cells.schema[c].dataType.simpleString()}" for c in by], "_n long, _s double, _t double, _w double, _e double, _side double, _rows long, _columns long"])).parquet(path)
+    beside = lambda df: df.join(boxes, grid) if grid else df.crossJoin(F.broadcast(boxes))  # noqa: E731  # without ``by`` a row at most
+    tile = lambda c, low: F.floor((F.col(c) - F.col(low)) / F.col("_side"))
+    tiled = beside(sites).select(*grid, tile("_clat", "_s").alias("_ti"), tile("_clon", "_w").alias("_tj"), "_clat", "_clon", "_c")
+    places = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*own, F.col(lat).cast("double").alias("_plat"), F.col(lon).cast("double").alias("_plon")).distinct()
+    rest, ring, found = beside(places), 1, None
+    while True:
+        last = F.lit(ring) >= F.greatest("_rows", "_columns")
+        # beyond the grid the last rings are counted from its edge, so that they hold the whole grid
+        edge = lambda t, most: F.when(last, F.least(F.greatest(t, F.lit(0)), F.col(most))).otherwise(t)
+        span = lambda t, most: F.sequence(F.greatest(t - ring, F.lit(0).cast("long")), F.least(t + ring, F.col(most)))
+        near = rest.withColumns({"_i": edge(tile("_plat", "_s"), "_rows"), "_j": edge(tile("_plon", "_w"), "_columns"), "_last": last})
+        near = near.where((F.col("_i") + ring >= 0) & (F.col("_i") - ring <= F.col("_rows")) & (F.col("_j") + ring >= 0) & (F.col("_j") - ring <= F.col("_columns")))
+        near = near.withColumn("_ti", F.explode(span(F.col("_i"), "_rows"))).withColumn("_tj", F.explode(span(F.col("_j"), "_columns"))).select(*grid, "_plat", "_plon", "_side", "_last", "_ti", "_tj")
+        d = F.sqrt(F.pow(F.col("_clat") - F.col("_plat"), 2) + F.pow(F.col("_clon") - F.col("_plon"), 2))
+        best = near.join(tiled, [*grid, "_ti", "_tj"]).groupBy(*grid, "_plat", "_plon", "_side", "_last").agg(F.min(F.struct(d.alias("d"), F.col("_c.y"), F.col("_c.x"), "_clat", "_clon")).alias("b"))
+        settled = best.where(F.col("_last") | (F.col("b.d") < ring * F.col("_side") * (1 - 1e-9))).select(*grid, "_plat", "_plon", "b")
+        found = settled if found is None else found.union(settled)
+        rest = rest.where(~last).join(settled.select(*grid, "_plat", "_plon"), [*grid, "_plat", "_plon"], "left_anti")
+        if rest.isEmpty():
+            break
+        ring *= 2
     km = F.sqrt(F.pow((F.col("b._clat") - F.col(lat)) * 111.32, 2) + F.pow((F.col("b._clon") - F.col(lon)) * 111.32 * F.cos(F.radians(lat)), 2))
-    joined = points.join(found, (F.col(lat).cast("double") == F.col("_plat")) & (F.col(lon).cast("double") == F.col("_plon")), "left")
+    joined = points.join(found, [*[F.col(c) == F.col(f"_b_{c}") for c in by], F.col(lat).cast("double") == F.col("_plat"), F.col(lon).cast("double") == F.col("_plon")], "left").drop(*grid)
     y = F.col("b.y")
-    if outside == "error" and box.n:
-        inside = F.col(lat).between(box.s, box.n_) & F.col(lon).between(box.w, box.e)
+    if outside == "error":
+        joined = joined.join(boxes, [F.col(c) == F.col(f"_b_{c}") for c in by], "left") if by else joined.join(F.broadcast(boxes), F.lit(True), "left")
+        inside = F.col(lat).between(F.col("_s"), F.col("_t")) & F.col(lon).between(F.col("_w"), F.col("_e"))
         y = F.when(F.coalesce(~inside, F.lit(False)), F.raise_error(F.format_string("a place lies outside the grid: %s, %s", lat, lon)).cast("long")).otherwise(y)
     return joined.select(*points.columns, y.alias("y"), F.col("b.x").alias("x"), km.alias("distance_km"))
 

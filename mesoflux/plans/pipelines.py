@@ -114,18 +114,18 @@ def compare_runs(obs: DataFrame, model: DataFrame, keys: Sequence[str] = (), ts:
     return table
 
 
-def publish_station_series(fields: DataFrame, stations: DataFrame, domains: DataFrame, cells: DataFrame, path: str, wanted: Sequence[str] | None = None) -> bool:
-    """Stations to their finest domain and nearest cell, the catalogue's columns at that cell, appended unless already there."""
+def publish_station_series(fields: DataFrame, stations: DataFrame, domains: DataFrame, cells: DataFrame, path: str, wanted: Sequence[str] | None = None, batch: tuple[str, int] | None = None) -> bool:
+    """Stations to their finest domain and nearest cell, the catalogue's columns at that cell, appended unless already there; whether there were any new rows.
+
+    One plan for any number of domains; the append happens once or not at all.
+    """
     placed = joins.assign_domains(stations, domains).where("domain IS NOT NULL")
-    located = None
-    for d in [r.domain for r in placed.select("domain").distinct().collect()]:  # a handful of domains
-        one = joins.nearest_cell(placed.where(F.col("domain") == d).drop("domain"), cells.where(F.col("domain") == d).drop("domain")).withColumn("domain", F.lit(d))
-        located = one if located is None else located.unionByName(one)
-    if located is None:
+    if placed.isEmpty():
         raise ValueError("no station lies in any domain")
+    located = joins.nearest_cell(placed, cells, by=["domain"])
     at = fields.join(located.select("name", "domain", "y", "x"), ["domain", "y", "x"])
-    series = grid.operational_columns(at, ["name", "valid_time"], wanted).withColumnRenamed("valid_time", "ts")
-    return publish.append_block(series, path, ["name", "ts"])
+    series = grid.operational_record(at, ["name"], wanted).withColumnRenamed("valid_time", "ts")
+    return publish.append_block(series, path, ["name", "ts"], batch=batch)
 
 
 def ktkd_table(df: DataFrame, site: Site, ghi: str = "Sw_dw", dhi: str = "Sw_dif", keys: Sequence[str] = (), ts: str = "ts", min_ghi: float = 50.0) -> DataFrame:

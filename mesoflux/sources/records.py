@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from pathlib import Path
 
 import yaml
@@ -83,9 +84,34 @@ def apply_repair(df: DataFrame, repair: Repair, ts: str = "ts") -> DataFrame:
     return df.where(F.col(ts) < at(high)) if high is not None else df
 
 
-def scan_manifest(spark: SparkSession, entries: Sequence[Mapping], folder: str, **options) -> DataFrame:
-    """Ordered file entries ({path, repair}) as one merged record; a missing file fails when Spark lists it."""
-    return merge_sources([apply_repair(read_toa5(spark, f"{folder}/{e['path']}", **options), e.get("repair", Repair())) for e in entries])
+def scan_manifest(spark: SparkSession, entries: Sequence[Mapping], folder: str, *, sep: str = ",", timestamp_column: str = STAMP, drop: Sequence[str] = ("RECORD",), sentinel: float | None = -900.0, text_columns: Sequence[str] = ()) -> DataFrame:
+    """Ordered file entries ({path, repair}) as one merged record: of each stamp, column by column, the first value in the order of the entries.
+
+    One scan of all files; the entries' repairs are a table beside it, joined on the file's path. A missing file, or one without a header,
+    fails before anything is read as data.
+    """
+    local = spark._jvm.org.apache.hadoop.fs.Path
+    places = [local(f"{folder}/{e['path']}") for e in entries]
+    raw_paths = [p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().getRawPath() for p in places]
+    if len(set(raw_paths)) != len(raw_paths):
+        raise ValueError("the manifest names a file twice")
+    repairs = [e.get("repair") or Repair() for e in entries]
+    manifest = spark.createDataFrame(
+        [(k, p, r.shift_until, r.drop_from, *r.keep) for k, (p, r) in enumerate(zip(raw_paths, repairs))], "_order int, _raw string, _shift string, _end string, _low string, _high string"
+    ).select("_order", "_raw", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("_shift", "_end", "_low", "_high")])
+    lines = spark.read.text([f"{folder}/{e['path']}" for e in entries]).select("value", F.expr("parse_url(_metadata.file_path, 'PATH')").alias("_raw"), F.monotonically_increasing_id().alias("_line"))
+    lines = lines.join(F.broadcast(manifest), "_raw").withColumnRenamed("_order", "_path")  # a row an entry
+    heads = _heads(lines, timestamp_column, sep)
+    bare = manifest.join(heads, F.col("_order") == F.col("_path"), "left_anti").select("_raw").limit(5).collect()
+    if bare:
+        raise ValueError(f"no {timestamp_column} column in {[r[0] for r in bare]}")
+
+    def repaired(rows: DataFrame) -> DataFrame:
+        moved = rows.withColumn("ts", F.when(F.col("ts") <= F.col("_shift"), F.col("ts") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("ts")))
+        kept = (F.col("ts") < F.col("_end"), F.col("ts") >= F.col("_low"), F.col("ts") < F.col("_high"))
+        return moved.where(reduce(lambda a, b: a & b, [F.coalesce(k, F.lit(True)) for k in kept]))
+
+    return _merged(lines, heads, sep, timestamp_column, drop, sentinel, text_columns, repaired, ("_shift", "_end", "_low", "_high"))
 
 
 def scan_directory(spark: SparkSession, folder: str, pattern: str = "*.dat", *, sep: str = ",", timestamp_column: str = STAMP, drop: Sequence[str] = ("RECORD",), sentinel: float | None = -900.0, text_columns: Sequence[str] = ()) -> DataFrame:
@@ -95,11 +121,21 @@ def scan_directory(spark: SparkSession, folder: str, pattern: str = "*.dat", *,
     together, so the plan grows with the number of different headers alone. The other header lines have no stamp and go.
     """
     lines = spark.read.option("pathGlobFilter", pattern).text(folder).select("value", F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_line"))
-    token = rf"(^|{re.escape(sep)})\"?{re.escape(timestamp_column)}\"?({re.escape(sep)}|\r?$)"
-    heads = lines.where(F.col("value").rlike(token)).groupBy("_path").agg(F.min_by("value", "_line").alias("_head"))
-    variants = sorted(r[0] for r in heads.select("_head").distinct().collect())  # a loggers' folder has a handful
-    if not variants:
+    heads = _heads(lines, timestamp_column, sep)
+    if heads.isEmpty():
         raise ValueError(f"no {pattern} with a {timestamp_column} column in {folder}")
+    return _merged(lines, heads, sep, timestamp_column, drop, sentinel, text_columns)
+
+
+def _heads(lines: DataFrame, timestamp_column: str, sep: str) -> DataFrame:
+    """(_path, _head): the header line of each file."""
+    token = rf"(^|{re.escape(sep)})\"?{re.escape(timestamp_column)}\"?({re.escape(sep)}|\r?$)"
+    return lines.where(F.col("value").rlike(token)).groupBy("_path").agg(F.min_by("value", "_line").alias("_head"))
+
+
+def _merged(lines: DataFrame, heads: DataFrame, sep: str, timestamp_column: str, drop: Sequence[str], sentinel: float | None, text_columns: Sequence[str], repaired=lambda rows: rows, beside: Sequence[str] = ()) -> DataFrame:
+    """The record of all files: ``_path`` orders them, ``_line`` the rows of a file; ``beside``: columns that ``repaired`` reads."""
+    variants = sorted(r[0] for r in heads.select("_head").distinct().collect())  # loggers have a handful
     tagged, rows = lines.join(heads, "_path"), None
     for head in variants:
         names = _split_csv(head, sep)
@@ -107,10 +143,10 @@ def scan_directory(spark: SparkSession, folder: str, pattern: str = "*.dat", *,
             raise ValueError(f"a file names a column twice: {head}")
         parsed = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": sep, "quote": '"'})
         kept = [n for n in names if n != timestamp_column and n not in drop]
-        one = tagged.where(F.col("_head") == head).select("_path", "_line", parsed.alias("_row"))
+        one = tagged.where(F.col("_head") == head).select("_path", "_line", *beside, parsed.alias("_row"))
         field = lambda n: F.col("_row").getField(n)
-        one = one.select(F.try_to_timestamp(field(timestamp_column)).cast("timestamp_ntz").alias("ts"), "_path", "_line", *[(field(n) if n in text_columns else number(field(n), sentinel)).alias(n) for n in kept])
-        one = one.where("ts IS NOT NULL")
+        one = one.select(F.try_to_timestamp(field(timestamp_column)).cast("timestamp_ntz").alias("ts"), "_path", "_line", *beside, *[(field(n) if n in text_columns else number(field(n), sentinel)).alias(n) for n in kept])
+        one = repaired(one.where("ts IS NOT NULL")).drop(*beside)
         rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
     values = [c for c in rows.columns if c not in ("ts", "_path", "_line")]
     once = rows.groupBy("_path", "ts").agg(F.min_by(F.struct(*values), "_line").alias("_row"))

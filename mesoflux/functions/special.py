@@ -6,12 +6,18 @@ import math
 
 import numpy as np
 
-_LGAMMA = np.vectorize(math.lgamma, otypes=[float])
-_ERF = np.vectorize(math.erf, otypes=[float])
+
+
+def _lgamma(x) -> np.ndarray:
+    return np.vectorize(math.lgamma, otypes=[float])(x)  # made here, since such objects can't be sent to workers
+
+
+def _erf(x) -> np.ndarray:
+    return np.vectorize(math.erf, otypes=[float])(x)
 
 
 def normal_cdf(z):
-    return 0.5 * (1 + _ERF(np.asarray(z, float) / math.sqrt(2)))
+    return 0.5 * (1 + _erf(np.asarray(z, float) / math.sqrt(2)))
 
 
 def digamma(x: float) -> float:
@@ -93,7 +99,7 @@ def beta_cdf(a: float, b: float, x):
 
 
 def lgamma(x):
-    return _LGAMMA(x)
+    return _lgamma(x)
 
 
 def bessel_ratio(kappa: float) -> float:

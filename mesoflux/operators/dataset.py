@@ -130,13 +130,28 @@ def validate_manifest(df: DataFrame, features: Sequence[str], min_elevation: flo
     return out.where("n > 0")
 
 
+def with_clear_sky(df: DataFrame, site: Site, target: str, ts: str = "ts") -> DataFrame:
+    """``df`` with ``clear_sky``, as ``solar.clear_sky_reference``, and ``_elevation``.
+
+    One step after the other, each a plain column for the next: as a single expression the sun is in it some hundred times over, more than
+    can be compiled.
+    """
+    if target not in ("kstar", "kt", "dhi"):
+        raise ValueError(f"no clear-sky reference for {target!r}")
+    mu = atmosphere.computed(df, {"_mu": solar.cos_zenith(F.col(ts), site), "_top": solar.extraterrestrial(F.col(ts), site), "_elevation": solar.elevation(F.col(ts), site)})
+    clear = atmosphere.computed(mu, {"_clear": solar.haurwitz(F.col("_mu"))})
+    kt = atmosphere.computed(clear, {"_clear_kt": F.try_divide("_clear", "_top")})
+    out = {"kstar": F.lit(1.0), "kt": F.col("_clear_kt"), "dhi": solar.pseudo_diffuse(F.col("_clear"), F.col("_clear_kt"))}[target]
+    return atmosphere.computed(kt, {"clear_sky": out}).drop("_mu", "_top", "_clear", "_clear_kt")
+
+
 def evaluate_predictions(df: DataFrame, target: str, site: Site, keys: Sequence[str] = (), ts: str = "ts", split: str | None = None, reference: str = "dhi") -> dict[str, DataFrame]:
     """Scores overall and by stratum, and skill against persistence and a clear sky. ``df``: obs_<target>, pred_<target>, day_id."""
     rows = df if split is None else df.where(F.col("split") == split)
     obs, pred = f"obs_{target}", f"pred_{target}"
-    base = windows.persistence_reference(rows, obs, "day_id", keys, ts).withColumn("clear_sky", solar.clear_sky_reference(F.col(ts), site, reference))
-    elevation = solar.elevation(F.col(ts), site)
-    strata = {"elevation": F.floor(elevation / 10) * 10, "hour": F.hour(ts), "month": F.month(ts)}
+    base = windows.persistence_reference(rows, obs, "day_id", keys, ts)
+    base = with_clear_sky(base, site, reference, ts)
+    strata = {"elevation": F.floor(F.col("_elevation") / 10) * 10, "hour": F.hour(ts), "month": F.month(ts)}
     if "obs_sky" in base.columns:
         strata["class"] = F.col("obs_sky")
     if "qc_flags" in base.columns:

@@ -55,15 +55,24 @@ def destagger(df: DataFrame, column: str, axis: str, keys: Sequence[str]) -> Dat
     return df.withColumn(column, (F.col(column) + nxt) / 2).where(F.col(column).isNotNull())
 
 
-def wind_at_heights(levels: DataFrame, heights: Sequence[float] = (50.0, 100.0, 150.0)) -> DataFrame:
-    """(domain, step, y, x, height, u, v, speed, bearing). ``levels``: destaggered u, v and height above ground, a row a level."""
-    speed = levels.withColumn("speed", F.sqrt(F.col("u") ** 2 + F.col("v") ** 2))
-    out = None
-    for h in heights:
-        parts = [vertical_interpolate(speed, c, "agl", h) for c in ("u", "v", "speed")]
-        one = parts[0].join(parts[1], list(CELL)).join(parts[2], list(CELL)).withColumn("height", F.lit(h))
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("bearing", atmosphere.flow_bearing(F.col("u"), F.col("v")))
+def wind_at_heights(levels: DataFrame, heights: Sequence[float] = (50.0, 100.0, 150.0), every: int = 1) -> DataFrame:
+    """(domain, step, y, x, height, u, v, speed, bearing). ``levels``: destaggered u, v and height above ground ``agl``, a row a level.
+
+    u, v and the speed are each linear in height as in ``vertical_interpolate``, so the speed is not that of the interpolated vector; a level
+    that lacks one of the components takes no part. One exchange brings a column's levels together for all heights. ``every``: only cells
+    whose y and x it divides, for drawing arrows; they are chosen before the exchange.
+    """
+    h = F.col("h")
+    rows = levels.where((F.col("y") % every == 0) & (F.col("x") % every == 0)) if every > 1 else levels
+    whole = rows.where(F.col("agl").isNotNull() & F.col("u").isNotNull() & F.col("v").isNotNull())
+    level = F.struct(F.col("agl").alias("h"), "u", "v", F.sqrt(F.col("u") ** 2 + F.col("v") ** 2).alias("speed"))
+    column = whole.groupBy(*CELL).agg(F.array_sort(F.collect_list(level)).alias("c"))  # a model's levels, some tens
+    at = column.select(*CELL, "c", F.explode(F.array(*[F.lit(float(z)) for z in heights])).alias("h"))
+    low = F.greatest(F.lit(1), F.least(F.size(F.filter("c", lambda p: p["h"] <= h)), F.size("c") - 1))
+    at = at.select(*CELL, "h", F.element_at("c", low).alias("a"), F.element_at("c", F.least(low + 1, F.size("c"))).alias("b"))
+    share = F.coalesce(F.try_divide(h - F.col("a.h"), F.col("b.h") - F.col("a.h")), F.lit(0.0))
+    at = at.select(*CELL, h.alias("height"), *[(F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * share).alias(c) for c in ("u", "v", "speed")])
+    return at.withColumn("bearing", atmosphere.flow_bearing(F.col("u"), F.col("v")))
 
 
 def sea_level_pressure(levels: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:

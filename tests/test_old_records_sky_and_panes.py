@@ -177,3 +177,33 @@ def test_panes_bound_the_states_of_a_sliding_monitor(spark, tmp_path):
     assert len(got) == 2 * 47
     updated = [op["numRowsUpdated"] for p in q.recentProgress for op in p["stateOperators"]]
     assert sum(updated) <= 2 * 48 * (1 + 24) * 2  # by panes, where samples alone would make 2 * 4320 * 24
+
+
+def test_clear_sky_in_steps_is_the_expression(spark):
+    from mesoflux.operators import dataset
+
+    site = solar.Site(-13.0, -38.5, -3.0)
+    df = spark.createDataFrame([(k, T0 + dt.timedelta(minutes=37 * k)) for k in range(60)], "k int, ts timestamp_ntz")
+    for target in ("kt", "kstar"):
+        got = {r.k: r.clear_sky for r in dataset.with_clear_sky(df, site, target).collect()}
+        want = {r.k: r.c for r in df.select("k", solar.clear_sky_reference(F.col("ts"), site, target).alias("c")).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) if want[k] is not None else got[k] is None for k in got)
+    with pytest.raises(ValueError, match="reference"):
+        dataset.with_clear_sky(df, site, "rain")
+
+
+def test_a_report_of_two_targets(spark, tmp_path):
+    from mesoflux.plans import evaluation
+
+    rows = [(T0 + dt.timedelta(hours=h), str(1 + h // 24), float(h), float(h) + 1, 1.0, None, "test" if h < 48 else "train") for h in range(72)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, day_id string, obs_dhi double, pred_dhi double, obs_kt double, pred_kt double, split string")
+    paths = evaluation.write_evaluation_report(df, ["dhi", "kt"], str(tmp_path / "r"), solar.Site(-13.0, -38.5, -3.0), split="test", facts={"model": "m"})
+    assert set(paths) == {"metrics", "stratified", "predictions"}  # no classes, no confusion
+    doc = json.loads(spark.read.text(paths["metrics"]).first().value)
+    assert (doc["split"], doc["n_samples"], doc["model"]) == ("test", 48, "m") and doc["global"]["dhi"]["scores"]["mbe"] == 1.0
+    assert doc["global"]["kt"]["scores"]["n"] == 0 and doc["global"]["kt"]["scores"]["rmse"] is None
+    assert doc["global"]["dhi"]["persistence"]["n"] == 46 and doc["global"]["dhi"]["persistence"]["skill"] == pytest.approx(0.0)
+    strata = spark.read.option("header", True).csv(paths["stratified"]).collect()
+    assert strata[0].kind == "overall" and spark.read.parquet(paths["predictions"]).count() == 48
+    with pytest.raises(Exception, match="exists"):
+        evaluation.write_evaluation_report(df, ["dhi"], str(tmp_path / "r"), solar.Site(-13.0, -38.5, -3.0))

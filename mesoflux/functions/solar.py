@@ -87,16 +87,19 @@ def cos_zenith(ts: Column, site: Site) -> Column:
     return _clip(F.lit(math.sin(lat)) * F.sin(d) + F.lit(math.cos(lat)) * F.cos(d) * F.cos(h), -1.0, 1.0, ts)
 
 
-def with_sun(df: DataFrame, site: Site, ts: str = "ts") -> DataFrame:
-    """``df`` with ``_mu`` (cosine of the zenith angle) and ``_e0`` (eccentricity correction): the same values as of the functions, but each
-    part of the formula is evaluated once."""
+def with_sun(df: DataFrame, site: Site, ts: str = "ts", bearing: bool = False) -> DataFrame:
+    """``df`` with ``_mu`` (cosine of the zenith angle), ``_e0`` (eccentricity correction) and, if ``bearing``, ``_azimuth``: the same values as of the
+    functions, but each part of the formula is evaluated once."""
     kept = list(df.columns)
     base = computed(df, {"_g": fractional_year(F.col(ts)), "_h": _hours(F.col(ts))})
     g, lat = F.col("_g"), math.radians(site.latitude)
     minutes = F.col("_h") * F.lit(60.0) + F.lit(229.18) * _fourier(g, EQUATION_OF_TIME) + F.lit(4.0 * site.longitude - 60.0 * site.offset)
-    base = computed(base, {"_e0": _fourier(g, ECCENTRICITY), "_d": _fourier(g, DECLINATION), "_a": F.radians(minutes / F.lit(4.0) - F.lit(180.0))})
-    mu = _clip(F.lit(math.sin(lat)) * F.sin("_d") + F.lit(math.cos(lat)) * F.cos("_d") * F.cos("_a"), -1.0, 1.0, F.col(ts))
-    return computed(base, {"_mu": mu}).select(*[f"`{c}`" for c in kept], "_mu", "_e0")
+    base = computed(base, {"_e0": _fourier(g, ECCENTRICITY), "_d": _fourier(g, DECLINATION), "_a": minutes / F.lit(4.0) - F.lit(180.0)})
+    mu = _clip(F.lit(math.sin(lat)) * F.sin("_d") + F.lit(math.cos(lat)) * F.cos("_d") * F.cos(F.radians("_a")), -1.0, 1.0, F.col(ts))
+    base = computed(base, {"_mu": mu})
+    if bearing:
+        base = computed(base, {"_azimuth": _bearing(F.col("_mu"), F.col("_d"), F.col("_a"), site, F.col(ts))})
+    return base.select(*[f"`{c}`" for c in kept], "_mu", "_e0", *(["_azimuth"] if bearing else []))
 
 
 def elevation(ts: Column, site: Site) -> Column:
@@ -105,11 +108,15 @@ def elevation(ts: Column, site: Site) -> Column:
 
 def azimuth(ts: Column, site: Site) -> Column:
     """Degrees clockwise from north."""
-    lat, cosz = math.radians(site.latitude), cos_zenith(ts, site)
+    return _bearing(cos_zenith(ts, site), declination(ts), hour_angle(ts, site), site, ts)
+
+
+def _bearing(cosz: Column, decl: Column, hours: Column, site: Site, given: Column) -> Column:
+    lat = math.radians(site.latitude)
     below = F.lit(math.cos(lat)) * F.sin(F.acos(cosz))
-    ratio = F.when(F.abs(below) > 1e-12, (F.lit(math.sin(lat)) * cosz - F.sin(declination(ts))) / below).otherwise(F.lit(0.0))
-    turn = F.degrees(F.acos(_clip(ratio, -1.0, 1.0, ts)))
-    west = F.pmod(hour_angle(ts, site) + 180.0, F.lit(360.0)) - 180.0 > 0
+    ratio = F.when(F.abs(below) > 1e-12, (F.lit(math.sin(lat)) * cosz - F.sin(decl)) / below).otherwise(F.lit(0.0))
+    turn = F.degrees(F.acos(_clip(ratio, -1.0, 1.0, given)))
+    west = F.pmod(hours + 180.0, F.lit(360.0)) - 180.0 > 0
     return F.pmod(F.when(west, turn + 180.0).otherwise(F.lit(540.0) - turn), F.lit(360.0))
 
 

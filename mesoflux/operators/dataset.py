@@ -41,17 +41,22 @@ def unique_or_fail(df: DataFrame, column: str) -> DataFrame:
     return df
 
 
-def feature_columns(df: DataFrame, site: Site, feature_set: str = "safe", ts: str = "ts", direction: str = "WindDir") -> dict[str, Column]:
-    """Name -> expression of a feature set, in policy order; leaky sources are refused."""
+def feature_columns(df: DataFrame, site: Site, feature_set: str = "safe", ts: str = "ts", direction: str = "WindDir", sun: tuple[Column, Column] | None = None) -> dict[str, Column]:
+    """Name -> expression of a feature set, in policy order; leaky sources are refused.
+
+    ``sun``: the cosine of the zenith angle and the azimuth where they are columns already, as of ``solar.with_sun``; the formulas are long.
+    """
     if feature_set not in SETS:
         raise ValueError(f"unknown feature set {feature_set!r}")
     t, turn = F.col(ts), 2 * 3.141592653589793
+    mu, azimuth = sun or (solar.cos_zenith(t, site), solar.azimuth(t, site))
+    elevation = F.degrees(F.asin(mu))
     groups = {
-        "solar": {"solar_elevation": solar.elevation(t, site), "solar_zenith": F.lit(90.0) - solar.elevation(t, site), "azimuth_sin": F.sin(F.radians(solar.azimuth(t, site))), "azimuth_cos": F.cos(F.radians(solar.azimuth(t, site)))},
+        "solar": {"solar_elevation": elevation, "solar_zenith": F.lit(90.0) - elevation, "azimuth_sin": F.sin(F.radians(azimuth)), "azimuth_cos": F.cos(F.radians(azimuth))},
         "season": {"doy_sin": F.sin(F.lit(turn) * F.dayofyear(t) / 365.25), "doy_cos": F.cos(F.lit(turn) * F.dayofyear(t) / 365.25)},
         "wind": {"wind_sin": F.sin(F.radians(direction)), "wind_cos": F.cos(F.radians(direction))} if direction in df.columns else {},
         "met": {c: F.col(c) for c in MET_CHANNELS if c in df.columns},
-        "clear": {"clear_sky_ghi": solar.haurwitz(solar.cos_zenith(t, site))},
+        "clear": {"clear_sky_ghi": solar.haurwitz(mu)},
     }
     out = {n: c for g in SETS[feature_set] for n, c in groups[g].items()}
     leaky = [n for n in out if any(n.startswith(f) for f in FORBIDDEN)]
@@ -70,17 +75,21 @@ def build_manifest(frames: DataFrame, sensors: DataFrame, site: Site, keys: Sequ
     first = F.row_number().over(Window.partitionBy(*keys, ts).orderBy("frame_path"))
     once = frames.withColumn("_k", first).where("_k = 1").drop("_k")
     paired = joins.pair_frames(once, sensors, keys, ts, max_distance)
-    features = feature_columns(paired, site, feature_set, ts)
-    base = atmosphere.computed(paired, features)
+    # the sun once, then what hangs on it: as single expressions these are more than can be compiled
+    sunny = solar.with_sun(paired, site, ts, bearing=True)
+    features = feature_columns(sunny, site, feature_set, ts, sun=(F.col("_mu"), F.col("_azimuth")))
+    base = atmosphere.computed(sunny, features)
     finite = atmosphere.finite
     complete = None
     for n in features:
         complete = finite(F.col(n)).isNotNull() if complete is None else complete & finite(F.col(n)).isNotNull()
     base = base.where(complete & (F.col("solar_elevation") >= min_elevation))
     t, g = F.col(ts), F.col(ghi)
-    kt = solar.clearness_index(g, t, site)
+    top, clear = F.lit(solar.SOLAR_CONSTANT) * F.col("_e0") * F.col("_mu"), solar.haurwitz(F.col("_mu"))
+    kt = F.when(top > 0, g / top)
+    kstar = F.when((F.col("solar_elevation") >= 10.0) & (clear > 0), g / clear)
     measured = finite(F.col(dhi)) if dhi in sensors.columns else F.lit(None).cast("double")
-    base = atmosphere.computed(base, {"target_kt": kt, "target_kindex": solar.clear_sky_index(g, t, site) if k_kind == "kstar" else kt})
+    base = atmosphere.computed(base, {"target_kt": kt, "target_kindex": kstar if k_kind == "kstar" else kt})
     base = base.withColumns({
         "target_dhi": F.coalesce(measured, solar.pseudo_diffuse(g, F.col("target_kt"))),
         "target_source": F.when(measured.isNotNull(), "measured").otherwise("erbs"), "kindex_kind": F.lit(k_kind),

@@ -119,7 +119,10 @@ def _hollands_constant(lam: float, top: float) -> tuple[float, float]:
 
 def fit_hollands_huget(df: DataFrame, column: str, kt_max: float | None = None) -> dict:
     ok = df.where(F.col(column) >= 0)
-    top = kt_max if kt_max is not None else (ranks.quantiles(ok, column, [0.995]).first() or [[None]])[0][0]
+    top = kt_max
+    if top is None:
+        drawn = ranks.quantiles(ok, column, [0.995]).first()
+        top = drawn.q[0] if drawn and drawn.q else None
     if not top or top <= 0:
         return {"lambda": NAN, "kt_max": NAN}
     n, mean = _moments(ok.where(F.col(column) < top), F.avg(column))

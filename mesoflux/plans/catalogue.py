@@ -603,4 +603,4 @@ def calendar_and_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", *ints, r6("hour_sin").alias("hour_sin"), r6("doy_cos").alias("doy_cos"))
 
 
-from . import library, library2, library3, library4, library5  # noqa: E402, F401  they register their queries too
+from . import library, library2, library3, library4, library5, library6  # noqa: E402, F401  they register their queries too

@@ -32,6 +32,11 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""SELECT ts, click, view, CASE WHEN value > 0.5 THEN value END AS gated FROM (SELECT w.*, e.value FROM ({_WIDE}) w JOIN events e ON w.ts = e.ts AND w.station = e.user_id)""")
 def logger_files_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logger files, one a day, written with their header lines, then scanned as a folder."""
+    return records.scan_directory(spark, logger_folder(spark, sf_dir), "*.txt", sentinel=-900.0).select("ts", "click", "view", "gated")
+
+
+def logger_folder(spark: SparkSession, sf_dir: str) -> str:
+    """events as logger files, one a day; returns their folder."""
     folder = scratch_path(spark, "logger")
     gated = wide(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("user_id").alias("station"), "ts", "value"), ["station", "ts"])
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit('"NAN"'))
@@ -41,7 +46,7 @@ def logger_files_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     tops = rows.select("day").distinct().select("day", F.lit(0).alias("part"), F.lit(None).cast("timestamp_ntz").alias("t"), F.array_join(F.array(*[F.lit(h) for h in heads]), "\n").alias("value"))
     files = rows.unionByName(tops).repartition("day").sortWithinPartitions("day", "part", "t")
     files.select("day", "value").write.partitionBy("day").text(folder)
-    return records.scan_directory(spark, folder, "*.txt", sentinel=-900.0).select("ts", "click", "view", "gated")
+    return folder
 
 
 @register("""SELECT station, ts + CASE WHEN ts <= TIMESTAMP '2024-01-10' THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS ts, value FROM (SELECT user_id AS station, ts, value FROM events)

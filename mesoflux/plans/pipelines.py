@@ -92,11 +92,39 @@ def _statistical_tests(df: DataFrame, rules: ArchiveRules, keys: Sequence[str],
     return df
 
 
-def process_sensor_folder(spark: SparkSession, folder: str, target: str, ranges: Sequence = (), records_: Sequence[calibration.Calibration] = (), freq: str = "1 hour", min_samples: int = 6, **read) -> None:
+def process_sensor_folder(spark: SparkSession, folder: str, target: str, ranges: Sequence = (), records_: Sequence[calibration.Calibration] = (), freq: str = "1 hour", min_samples: int = 6, decimals: int = 3, **read) -> None:
+    """Logger files of a folder merged, gated, calibrated, averaged and exported; windows that open off the hour fail the export."""
     merged = records.scan_directory(spark, folder, **read)
     gated = calibration.apply_calibrations(quality.range_gate(merged, ranges), records_)
     values = [f.name for f in gated.schema.fields if f.dataType.typeName() == "double"]
-    publish.export_csv(hourly.aggregate_hourly(gated, values, freq=freq, min_samples=min_samples), target)
+    publish.export_csv(hourly.aggregate_hourly(gated, values, freq=freq, min_samples=min_samples), target, decimals=decimals)
+
+
+def load_station_hourly(spark: SparkSession, path: str, *, prepared: bool | None = None, calibrations: Sequence[calibration.Calibration] = (), columns: Sequence[str] | None = None, types: Mapping[str, str] | None = None, limit: int | None = None, freq: str | None = "1 hour", min_samples: int = 6, **read) -> DataFrame:
+    """A station's hours, ``ts`` and its channels, from a prepared table or from a folder of logger files.
+
+    A path that ends in ``.csv`` or ``.parquet`` is a prepared table, unless ``prepared`` says otherwise. Its stamp is ``ts``, or the first column of
+    a Parquet table without one; of CSV, what ``read_timeseries_csv`` takes for it. Stamps that don't parse go. Its values are taken as they are:
+    calibrations and windows are for folders only. A folder without matching files is an error; ``freq=None`` keeps the logging interval.
+    """
+    suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if prepared if prepared is not None else suffix in ("csv", "parquet"):
+        if suffix == "parquet":
+            raw = spark.read.parquet(path)
+            stamp = "ts" if "ts" in raw.columns else raw.columns[0]
+            at = F.try_to_timestamp(stamp) if raw.schema[stamp].dataType.typeName() == "string" else F.col(f"`{stamp}`")
+            out = raw.select(at.cast("timestamp_ntz").alias("ts"), *[F.col(f"`{c}`") for c in raw.columns if c != stamp]).where("ts IS NOT NULL")
+        else:
+            out = records.read_timeseries_csv(spark, path)
+    else:
+        out = calibration.apply_calibrations(records.scan_directory(spark, path, **read), calibrations)
+        if freq is not None:
+            values = [f.name for f in out.schema.fields if f.dataType.typeName() == "double"]
+            out = hourly.aggregate_hourly(out, values, freq=freq, min_samples=min_samples)
+    if columns is not None:
+        out = out.select("ts", *[F.col(f"`{c}`") for c in columns if c != "ts"])
+    out = out.withColumns({c: F.col(f"`{c}`").try_cast(t) for c, t in (types or {}).items()})
+    return out if limit is None else out.orderBy("ts").limit(limit)
 
 
 def compare_runs(obs: DataFrame, model: DataFrame, keys: Sequence[str] = (), ts: str = "ts", tolerance: str | None = "30 minutes") -> DataFrame:

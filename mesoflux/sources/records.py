@@ -6,10 +6,10 @@ Files are parsed by Spark; only headers, which are a few names, come to the driv
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from pathlib import Path
 
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -248,7 +248,12 @@ def convert_geometry(spark: SparkSession, source: str, target: str) -> None:
 
 
 def scan_grid(spark: SparkSession, path: str, domain: str | None = None, steps: tuple[int, int] | None = None, fields: Sequence[str] | None = None, utc_offset_hours: float = -3.0) -> DataFrame:
-    """Rows of a gridded run partitioned by domain and step; both filters prune partitions, fields prune columns."""
+    """Rows of a gridded run partitioned by domain and step; both filters prune partitions, fields prune columns.
+
+    ``steps``: from the first to before the second; the second may lie beyond the run, an empty or negative block is an error.
+    """
+    if steps is not None and not 0 <= steps[0] < steps[1]:
+        raise ValueError(f"no block of steps {steps}")
     df = spark.read.parquet(path)
     if domain is not None:
         df = df.where(F.col("domain") == domain)
@@ -275,13 +280,50 @@ def grid_times(df: DataFrame, text: str = "times") -> DataFrame:
     return df.withColumn("valid_time", F.to_timestamp_ntz(text, F.lit("yyyy-MM-dd_HH:mm:ss")))
 
 
+#: Weekdays of captions, from Monday on.
+WEEKDAYS = ("Segunda", "Terça", "Quarta", "Quinta", "Sexta", "Sábado", "Domingo")
+
+
+def run_day(text: str) -> str:
+    """The day of a run as yyyyMMdd, from digits with or without ``-`` or ``/`` between them; an hour may follow. Anything else is an error."""
+    digits = text.replace("-", "").replace("/", "")
+    if not re.fullmatch(r"[0-9]{8,}", digits):
+        raise ValueError(f"a run is named by its day, yyyyMMdd, not by {text!r}")
+    return digits[:8]
+
+
+def run_steps(df: DataFrame, skip_first: int = 0, utc_offset_hours: float = -3.0, time: str = "valid_time") -> DataFrame:
+    """(domain, step, time, local_time, name_suffix, caption, skip): a row a step of each domain of a gridded run.
+
+    The first ``skip_first`` steps of a domain are marked, not left out, so that steps keep their places. The caption names the domain's first
+    time and the step's local hour and weekday. A step with two times fails the job; one without any has null times. Cells combine on
+    the map side; what is ordered afterwards is a row a step.
+    """
+    t, domain = F.col(time), Window.partitionBy("domain")
+    steps = df.groupBy("domain", "step").agg(F.min(time).alias(time), F.max(time).alias("_last"))
+    name = F.concat(F.col("domain").cast("string"), F.lit(" "), F.col("step").cast("string"))
+    mixed = F.when(t != F.col("_last"), F.raise_error(F.concat(F.lit("a step with several times: "), name)).cast("boolean"))
+    local = t + F.expr(f"INTERVAL {int(utc_offset_hours * 60)} MINUTES")
+    day = F.get(F.array(*[F.lit(w) for w in WEEKDAYS]), F.weekday(local))
+    # a step that was checked has no flag, so the filter keeps it
+    steps = steps.where(mixed.isNull()).withColumns({"_start": F.min_by(time, "step").over(domain), "_place": F.row_number().over(domain.orderBy("step"))})
+    caption = F.concat(F.lit("Início Análise: "), F.date_format("_start", "dd/MM/yyyy HH"), F.lit(" (UTC)\nPrevisão: "), F.date_format(local, "dd/MM/yyyy HH"), F.lit("HL ("), day, F.lit(")"))
+    suffix = F.concat(F.col("domain").cast("string"), F.lit("_"), F.lpad(F.col("step").cast("string"), 3, "0"))
+    return steps.select("domain", "step", time, local.alias("local_time"), suffix.alias("name_suffix"), caption.alias("caption"), (F.col("_place") <= skip_first).alias("skip"))
+
+
 def load_rules(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Rule tables of a YAML file, each with a strict schema; a missing file gives empty ones."""
+    """Rule tables of a YAML file, each with a strict schema; a missing file gives a warning and empty ones. The file may lie in any store that Spark reads."""
     schemas = {
         "ranges": "column string, lower double, upper double", "steps": "column string, threshold double, return_tol double, max_len int", "persistence": "column string, min_run int",
         "calibrations": "column string, start string, end string, factor double", "switches": "unified string, column string, start string, end string",
     }
-    data = yaml.safe_load(Path(path).read_text()) or {} if Path(path).exists() else {}
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        data = yaml.safe_load("\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())) or {}
+    else:
+        warnings.warn(f"no rules at {path}; nothing is gated, calibrated or switched", stacklevel=2)
+        data = {}
     unknown = set(data) - set(schemas)
     if unknown:
         raise ValueError(f"unknown rule tables {sorted(unknown)}")
@@ -295,14 +337,19 @@ def load_rules(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
-def scan_frames(spark: SparkSession, folder: str, minutes_per_frame: float, start_hour: int = 0, pattern: str = "*.png") -> DataFrame:
-    """(frame_path, video, index, timestamp): stamps from the day in the path and the frame number."""
+def scan_frames(spark: SparkSession, folder: str, minutes_per_frame: float, start_hour: int = 0, pattern: str = "*.png", day: str = r"(\d{8})", number_: str = r"(\d+)\.\w+$") -> DataFrame:
+    """(frame_path, video, index, timestamp): stamps from the day and the number of the frame, which ``day`` and ``number_`` find in the path below ``folder``.
+
+    Only names are listed, no frame is read. Paths without a day are left out; without a number, or with a day that does not exist, the stamp is null.
+    """
     paths = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path")
-    day = F.regexp_extract("path", r"(\d{8})", 1)
-    index = F.regexp_extract("path", r"(\d+)\.\w+$", 1).try_cast("bigint")
-    start = F.to_timestamp_ntz(day, F.lit("yyyyMMdd"))
-    at = F.timestamp_micros((F.unix_micros(start.cast("timestamp")) + start_hour * 3_600_000_000 + index * int(minutes_per_frame * 60_000_000)).cast("long")).cast("timestamp_ntz")
-    return paths.where(day != "").select(F.col("path").alias("frame_path"), day.alias("video"), index.alias("index"), at.alias("timestamp"))
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    below = F.when(F.startswith("path", F.lit(root)), F.substring("path", len(root) + 1, 1 << 20)).otherwise(F.col("path"))
+    found = paths.select(F.col("path").alias("frame_path"), F.regexp_extract(below, day, 1).alias("video"), F.regexp_extract(below, number_, 1).try_cast("bigint").alias("index"))
+    start = F.try_to_timestamp("video", F.lit("yyyyMMdd")).cast("timestamp_ntz")
+    at = F.timestamp_micros((F.unix_micros(start.cast("timestamp")) + start_hour * 3_600_000_000 + F.col("index") * int(minutes_per_frame * 60_000_000)).cast("long")).cast("timestamp_ntz")
+    return found.where("video <> ''").withColumn("timestamp", at)
 
 
 def parse_timestamp_strict(c: Column, fmt: str) -> Column:

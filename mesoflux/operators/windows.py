@@ -7,6 +7,7 @@ from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -197,10 +198,15 @@ def positions(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts") -> DataFr
     return df.withColumns({"_pos": F.row_number().over(ordered(keys, ts)) - 1, "_n": F.count("*").over(every)})
 
 
+def _part(share: float) -> Column:
+    """That share of ``_n``, exact for the decimal that the share is written as."""
+    return F.col("_n") * F.lit(Decimal(str(share)))
+
+
 def chronological_split(df: DataFrame, train: float = 0.7, val: float = 0.15, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
-    """``split`` by position in time: train, val, test."""
+    """``split`` by position in time: train, val, test. Shares are decimals: 0.7 of 90 rows are 63, which as doubles are less."""
     p = positions(df, keys, ts)
-    a, b = F.floor(F.col("_n") * train), F.floor(F.col("_n") * train) + F.floor(F.col("_n") * val)
+    a, b = F.floor(_part(train)), F.floor(_part(train)) + F.floor(_part(val))
     return p.withColumn("split", F.when(F.col("_pos") < a, "train").when(F.col("_pos") < b, "val").otherwise("test")).drop("_pos", "_n")
 
 
@@ -224,8 +230,8 @@ def day_split(df: DataFrame, train: float = 0.7, val: float = 0.15, gap_days: in
     order = F.col("day_id") if seed is None else F.xxhash64(F.lit(seed), F.col("day_id"))
     w = Window.partitionBy(F.lit(0))  # over days, some thousands of rows
     p = days.withColumns({"_pos": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count("*").over(w)})
-    a = F.round(F.col("_n") * train)
-    b = a + F.round(F.col("_n") * val)
+    a = F.round(_part(train))
+    b = a + F.round(_part(val))
     gap = gap_days if seed is None else 0
     split = F.when(F.col("_pos") < a, "train").when(F.col("_pos") < a + gap, None).when(F.col("_pos") < b, "val").when(F.col("_pos") < b + gap, None).otherwise("test")
     return p.select("day_id", split.alias("split"))

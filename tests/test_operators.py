@@ -246,6 +246,12 @@ def test_repair_stamps(spark):
         windows.repair_stamps(df.withColumn("ts", F.when(F.col("i") == 0, F.col("ts"))), "i").collect()
 
 
+def test_shares_of_a_split_are_decimal(spark):
+    df = series(spark, [float(k) for k in range(90)])
+    got = [r.split for r in windows.chronological_split(df).orderBy("ts").collect()]  # 0.7 * 90 is 62.99... in doubles
+    assert [got.count(k) for k in ("train", "val", "test")] == [63, 13, 14]
+
+
 def test_scalers_splits_and_padding(spark):
     df = series(spark, [float(k) for k in range(10)]).withColumn("flat", F.lit(1.0)).withColumn("gone", F.when(F.col("v") < 2, F.col("v")))
     s = windows.fit_scaler(df, ["v", "flat", "gone"], max_null=0.5)

@@ -550,3 +550,9 @@ def test_nearest_cell_takes_any_number_of_points_and_repeated_ones(spark):
         joins.nearest_cell(spark.createDataFrame(places, "lat double, lon double"), cells).collect()
     many = spark.range(100_500).selectExpr("id", "id % 100 / 10.0D AS lat", "id % 70 / 10.0D AS lon")
     assert joins.nearest_cell(many, cells).where("y IS NOT NULL").count() == 100_500
+
+
+def test_scaler_learns_from_the_decimal_share(spark):
+    """63 of 90 rows teach it: 0.7 * 90 is 62.99... in doubles."""
+    _, scaler = windows.split_and_scale(series(spark, [float(k) for k in range(90)]), [], "v")
+    assert scaler.centre["v"] == 31.0

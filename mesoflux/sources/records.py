@@ -114,9 +114,11 @@ def scan_manifest(spark: SparkSession, entries: Sequence[Mapping], folder: str,
     return _merged(lines, heads, sep, timestamp_column, drop, sentinel, text_columns, repaired, ("_shift", "_end", "_low", "_high"))
 
 
-def scan_directory(spark: SparkSession, folder: str, pattern: str = "*.dat", *, sep: str = ",", timestamp_column: str = STAMP, drop: Sequence[str] = ("RECORD",), sentinel: float | None = -900.0, text_columns: Sequence[str] = ()) -> DataFrame:
+def scan_directory(spark: SparkSession, folder: str, pattern: str = "*.dat", *, sep: str = ",", timestamp_column: str = STAMP, drop: Sequence[str] = ("RECORD",), sentinel: float | None = -900.0, text_columns: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
     """All logger files of a folder as one record: of each stamp, column by column, the first value in name order of the files.
 
+    ``keys``: columns, kept as text, that tell stations of one folder apart; a stamp is then one row for each of them. All files have them.
+
     One scan, whatever the number of files. The line with the stamp's name is a file's header; files with the same header are parsed
     together, so the plan grows with the number of different headers alone. The other header lines have no stamp and go.
     """
@@ -124,7 +126,7 @@ def scan_directory(spark: SparkSession, folder: str, pattern: str = "*.dat", *,
     heads = _heads(lines, timestamp_column, sep)
     if heads.isEmpty():
         raise ValueError(f"no {pattern} with a {timestamp_column} column in {folder}")
-    return _merged(lines, heads, sep, timestamp_column, drop, sentinel, text_columns)
+    return _merged(lines, heads, sep, timestamp_column, drop, sentinel, text_columns, keys=keys)
 
 
 def _heads(lines: DataFrame, timestamp_column: str, sep: str) -> DataFrame:
@@ -133,24 +135,27 @@ def _heads(lines: DataFrame, timestamp_column: str, sep: str) -> DataFrame:
     return lines.where(F.col("value").rlike(token)).groupBy("_path").agg(F.min_by("value", "_line").alias("_head"))
 
 
-def _merged(lines: DataFrame, heads: DataFrame, sep: str, timestamp_column: str, drop: Sequence[str], sentinel: float | None, text_columns: Sequence[str], repaired=lambda rows: rows, beside: Sequence[str] = ()) -> DataFrame:
-    """The record of all files: ``_path`` orders them, ``_line`` the rows of a file; ``beside``: columns that ``repaired`` reads."""
+def _merged(lines: DataFrame, heads: DataFrame, sep: str, timestamp_column: str, drop: Sequence[str], sentinel: float | None, text_columns: Sequence[str], repaired=lambda rows: rows, beside: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
+    """The record of all files: ``_path`` orders them, ``_line`` the rows of a file; ``beside``: columns that ``repaired`` reads; ``keys``: what
+    identifies a row together with the stamp."""
     variants = sorted(r[0] for r in heads.select("_head").distinct().collect())  # loggers have a handful
     tagged, rows = lines.join(heads, "_path"), None
     for head in variants:
         names = _split_csv(head, sep)
         if len(set(names)) != len(names):
             raise ValueError(f"a file names a column twice: {head}")
+        if not set(keys) <= set(names):
+            raise ValueError(f"a file lacks one of the keys {list(keys)}: {head}")
         parsed = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": sep, "quote": '"'})
-        kept = [n for n in names if n != timestamp_column and n not in drop]
+        kept = [n for n in names if n in keys or (n != timestamp_column and n not in drop)]
         one = tagged.where(F.col("_head") == head).select("_path", "_line", *beside, parsed.alias("_row"))
         field = lambda n: F.col("_row").getField(n)
-        one = one.select(F.try_to_timestamp(field(timestamp_column)).cast("timestamp_ntz").alias("ts"), "_path", "_line", *beside, *[(field(n) if n in text_columns else number(field(n), sentinel)).alias(n) for n in kept])
+        one = one.select(F.try_to_timestamp(field(timestamp_column)).cast("timestamp_ntz").alias("ts"), "_path", "_line", *beside, *[(field(n) if n in text_columns or n in keys else number(field(n), sentinel)).alias(n) for n in kept])
         one = repaired(one.where("ts IS NOT NULL")).drop(*beside)
         rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
-    values = [c for c in rows.columns if c not in ("ts", "_path", "_line")]
-    once = rows.groupBy("_path", "ts").agg(F.min_by(F.struct(*values), "_line").alias("_row"))
-    return once.groupBy("ts").agg(*[F.min_by(F.col("_row").getField(c), F.when(F.col("_row").getField(c).isNotNull(), F.col("_path"))).alias(c) for c in values])
+    values = [c for c in rows.columns if c not in ("ts", "_path", "_line", *keys)]
+    once = rows.groupBy("_path", "ts", *keys).agg(F.min_by(F.struct(*values), "_line").alias("_row"))
+    return once.groupBy("ts", *keys).agg(*[F.min_by(F.col("_row").getField(c), F.when(F.col("_row").getField(c).isNotNull(), F.col("_path"))).alias(c) for c in values])
 
 
 PARTS = ("year", "month", "day", "hour", "minute")

@@ -556,3 +556,13 @@ def test_scaler_learns_from_the_decimal_share(spark):
     """63 of 90 rows teach it: 0.7 * 90 is 62.99... in doubles."""
     _, scaler = windows.split_and_scale(series(spark, [float(k) for k in range(90)]), [], "v")
     assert scaler.centre["v"] == 31.0
+
+
+def test_stations_of_one_folder_may_share_a_stamp(spark, tmp_path):
+    toa5(tmp_path / "a.dat", ["TIMESTAMP", "RECORD", "T"], [['"2024-01-01 00:00:00"', "7", "1"], ['"2024-01-01 00:00:00"', "8", '"NAN"'], ['"2024-01-01 00:00:00"', "7", "9"]])
+    toa5(tmp_path / "b.dat", ["TIMESTAMP", "RECORD", "T"], [['"2024-01-01 00:00:00"', "8", "3"]])
+    got = records.scan_directory(spark, str(tmp_path), keys=["RECORD"])
+    assert sorted((r.RECORD, r["T"]) for r in got.collect()) == [("7", 1.0), ("8", 3.0)]
+    toa5(tmp_path / "c.dat", ["TIMESTAMP", "T"], [['"2024-01-01 00:00:00"', "3"]])
+    with pytest.raises(ValueError, match="keys"):
+        records.scan_directory(spark, str(tmp_path), keys=["RECORD"])

@@ -101,10 +101,11 @@ def build_manifest(frames: DataFrame, sensors: DataFrame, site: Site, keys: Sequ
     return base.select(*out)
 
 
-def validate_manifest(df: DataFrame, features: Sequence[str], min_elevation: float = 0.0, constant: Sequence[str] = ("kindex_kind", "normalizer_version", "provenance")) -> DataFrame:
+def validate_manifest(df: DataFrame, features: Sequence[str], min_elevation: float = 0.0, constant: Sequence[str] = ("kindex_kind", "normalizer_version", "provenance"), keys: Sequence[str] = ()) -> DataFrame:
     """(severity, check, n, sample): every broken rule of a manifest, how often, and the least id that breaks it, from one pass and one
-    grouped count for each kind of duplicate. ``constant``: columns that must have one value throughout."""
-    required = ["sample_id", "timestamp_utc", "day_id", "qc_flags", "dataset_version", *features]
+    grouped count for each kind of duplicate. ``constant``: columns that must have one value throughout. ``keys``: the station, where there
+    are several; a stamp is a duplicate only within one."""
+    required = ["sample_id", "timestamp_utc", "day_id", "qc_flags", "dataset_version", *features, *keys]
     missing = [c for c in required if c not in df.columns]
     leaks = [c for c in features if any(c.startswith(f) for f in FORBIDDEN)]
     spark = df.sparkSession
@@ -128,13 +129,13 @@ def validate_manifest(df: DataFrame, features: Sequence[str], min_elevation: flo
     mixed = [F.struct(F.lit("error").alias("severity"), F.lit(f"mixed {c}").alias("check"), F.greatest(F.count_distinct(c) - 1, F.lit(0)).alias("n"), F.lit(None).cast("string").alias("sample")) for c in constant if c in df.columns]
     out = df.agg(F.array(*found, *mixed).alias("r")).select(F.inline("r"))
 
-    def groups(key: str, n: Column, severity: str, check: str) -> DataFrame:
-        many = df.groupBy(key).agg(n.alias("m"), F.min(F.col("sample_id").cast("string")).alias("sample")).where("m > 1")
+    def groups(by: Sequence[str], n: Column, severity: str, check: str) -> DataFrame:
+        many = df.groupBy(*by).agg(n.alias("m"), F.min(F.col("sample_id").cast("string")).alias("sample")).where("m > 1")
         return many.agg(F.count("*").alias("n"), F.min("sample").alias("sample")).select(F.lit(severity).alias("severity"), F.lit(check).alias("check"), "n", "sample")
 
-    out = out.unionByName(groups("sample_id", F.count("*"), "error", "duplicate sample_id")).unionByName(groups("timestamp_utc", F.count("*"), "warning", "duplicate timestamp_utc"))
+    out = out.unionByName(groups(["sample_id"], F.count("*"), "error", "duplicate sample_id")).unionByName(groups([*keys, "timestamp_utc"], F.count("*"), "warning", "duplicate timestamp_utc"))
     if "split" in df.columns:
-        out = out.unionByName(groups("day_id", F.count_distinct("split"), "error", "day in two splits"))
+        out = out.unionByName(groups(["day_id"], F.count_distinct("split"), "error", "day in two splits"))
     out = out.unionByName(spark.createDataFrame(static, schema)) if static else out
     return out.where("n > 0")
 

@@ -566,3 +566,12 @@ def test_stations_of_one_folder_may_share_a_stamp(spark, tmp_path):
     toa5(tmp_path / "c.dat", ["TIMESTAMP", "T"], [['"2024-01-01 00:00:00"', "3"]])
     with pytest.raises(ValueError, match="keys"):
         records.scan_directory(spark, str(tmp_path), keys=["RECORD"])
+
+
+def test_a_stamp_is_a_duplicate_within_a_station(spark):
+    rows = [(f"e{k}", T0, "20240101", 0, "v2", 1.0, k // 2) for k in range(4)]
+    m = spark.createDataFrame(rows, "sample_id string, timestamp_utc timestamp_ntz, day_id string, qc_flags int, dataset_version string, f double, station int").withColumn("timestamp_utc", F.col("timestamp_utc").cast("timestamp"))
+    found = lambda df, keys: [(r.check, r.n, r["sample"]) for r in dataset.validate_manifest(df, ["f"], keys=keys).collect()]
+    assert found(m, []) == [("duplicate timestamp_utc", 1, "e0")]
+    assert found(m, ["station"]) == [("duplicate timestamp_utc", 2, "e0")]
+    assert found(m.dropDuplicates(["station"]), ["station"]) == []

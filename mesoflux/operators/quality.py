@@ -277,10 +277,26 @@ def daylight_selection(ts: Column, site: Site, day_above: float = 10.0, night_be
     return F.when(lowest_elevation(ts, site) > day_above, "day").when(highest_elevation(ts, site) < night_below, "night")
 
 
+def with_elevations(df: DataFrame, site: Site, ts: str = "ts", minutes: Sequence[int] = (0, 30, 60)) -> DataFrame:
+    """``df`` with ``_low`` and ``_high``, as ``lowest_elevation`` and ``highest_elevation``, but the sun is computed once for each of the minutes, in
+    steps that compile. As one expression its formula is there so often that Spark interprets it."""
+    base, names = df, [f"_el_{m}" for m in minutes]
+    for m, name in zip(minutes, names):
+        moved = computed(base, {"_at": F.col(ts) + F.expr(f"INTERVAL {m} MINUTES")})
+        base = computed(solar.with_sun(moved, site, "_at"), {name: F.degrees(F.asin("_mu"))}).drop("_at", "_mu", "_e0")
+    return base.withColumns({"_low": F.least(*names), "_high": F.greatest(*names)}).drop(*names)
+
+
+def with_daylight(df: DataFrame, site: Site, ts: str = "ts", name: str = "part", day_above: float = 10.0, night_below: float = 0.0) -> DataFrame:
+    """``df`` with ``daylight_selection`` as a column."""
+    part = F.when(F.col("_low") > day_above, "day").when(F.col("_high") < night_below, "night")
+    return with_elevations(df, site, ts).withColumn(name, part).drop("_low", "_high")
+
+
 def prepare_clearness(df: DataFrame, site: Site, column: str = "Sw_dw", ts: str = "ts", shift_minutes: int = 30, min_elevation: float = 10.0) -> DataFrame:
     """Hours with a sun at mid-hour, a lowest elevation above the bound and a value: adds ``e0`` and ``kt``."""
     mid = F.col(ts) + F.expr(f"INTERVAL {shift_minutes} MINUTES")
-    base = computed(df.where(F.col(column).isNotNull()), {"e0": solar.extraterrestrial(mid, site), "_low": lowest_elevation(F.col(ts), site)})
+    base = computed(with_elevations(df.where(F.col(column).isNotNull()), site, ts).drop("_high"), {"e0": solar.extraterrestrial(mid, site)})
     return base.where((F.col("e0") > 0) & (F.col("_low") > min_elevation)).withColumn("kt", F.col(column) / F.col("e0")).drop("_low")
 
 

@@ -575,3 +575,12 @@ def test_a_stamp_is_a_duplicate_within_a_station(spark):
     assert found(m, []) == [("duplicate timestamp_utc", 1, "e0")]
     assert found(m, ["station"]) == [("duplicate timestamp_utc", 2, "e0")]
     assert found(m.dropDuplicates(["station"]), ["station"]) == []
+
+
+def test_daylight_compiles_and_equals_the_expression(spark):
+    """The single expression is interpreted; in steps each generator has a compiled stage of its own."""
+    df = spark.range(72).select((F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("ts"))
+    both = quality.with_daylight(df, SITE).withColumn("same", quality.daylight_selection(F.col("ts"), SITE)).collect()
+    assert {r.part for r in both} == {"day", "night", None} and all(r.part == r.same for r in both)
+    sines = quality.with_daylight(df, SITE)._jdf.queryExecution().executedPlan().toString().count("ASIN(")
+    assert sines == 3

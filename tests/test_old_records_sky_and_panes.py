@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import json
+import pathlib
 
 import numpy as np
 import pytest
@@ -207,3 +208,15 @@ def test_a_report_of_two_targets(spark, tmp_path):
     assert strata[0].kind == "overall" and spark.read.parquet(paths["predictions"]).count() == 48
     with pytest.raises(Exception, match="exists"):
         evaluation.write_evaluation_report(df, ["dhi"], str(tmp_path / "r"), solar.Site(-13.0, -38.5, -3.0))
+
+
+def test_old_lines_are_a_file_a_part_with_a_header_each(spark, sf, tmp_path):
+    """No exchange and no sort of all rows in one task: as many files as the table has parts."""
+    from mesoflux.plans import library5
+
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    folder = library5.old_lines(spark, str(tmp_path))
+    files = [[r.value for r in spark.read.text(str(p)).collect()] for p in pathlib.Path(folder).glob("part-*")]
+    assert len(files) == 3 and all(f[0].startswith("year,month") and sum(x.startswith("year") for x in f) == 1 for f in files)
+    assert sum(len(f) - 1 for f in files) == 1000
+    assert library5.old_record_changes(spark, str(tmp_path)).where("what = 'rows'").first().n == 1000

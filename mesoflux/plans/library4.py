@@ -12,14 +12,19 @@ from . import pipelines
 from .catalogue import r6, register, table
 
 
-def logger_files(spark: SparkSession, sf_dir: str, folder: str, name) -> None:
-    """events as logger files, one for each value of the column ``name``, in sub-folders ``file=...``."""
+def logger_lines(spark: SparkSession, sf_dir: str, name) -> DataFrame:
+    """(file, part, k, value): events as lines of logger files, one for each value of the column ``name``; part 0 is a file's header."""
     e = table(spark, sf_dir, "events").withColumn("file", name)
     line = F.concat(F.lit('"'), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit('",'), F.col("event_id").cast("string"), F.lit(","), F.col("value").cast("string"), F.lit(","), F.when(F.col("event_type") == "view", F.lit('"NAN"')).otherwise((F.col("value") * 2).cast("string")))
     rows = e.select("file", F.lit(1).alias("part"), F.col("event_id").alias("k"), line.alias("value"))
     heads = ['"TOA5","CR1000"', '"TIMESTAMP","RECORD","T","U"', '"TS","RN","C","C"', '"","","Avg","Avg"']
     tops = rows.select("file").distinct().select("file", F.lit(0).alias("part"), F.lit(0).cast("long").alias("k"), F.array_join(F.array(*[F.lit(h) for h in heads]), "\n").alias("value"))
-    files = rows.unionByName(tops).repartition("file").sortWithinPartitions("file", "part", "k")
+    return rows.unionByName(tops)
+
+
+def logger_files(spark: SparkSession, sf_dir: str, folder: str, name) -> None:
+    """``logger_lines`` in sub-folders ``file=...``, one file each."""
+    files = logger_lines(spark, sf_dir, name).repartition("file").sortWithinPartitions("file", "part", "k")
     files.select("file", "value").write.partitionBy("file").text(folder)
 
 
@@ -47,11 +52,10 @@ def manifest_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""SELECT ts, value AS "T", CASE WHEN event_type <> 'view' THEN value * 2 END AS "U" FROM events QUALIFY row_number() OVER (PARTITION BY ts ORDER BY event_id) = 1""")
 def one_logger_file_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One logger file of all events."""
+    """One logger file of all events, in parts that are ranges of it, so that no task writes or sorts it whole."""
     folder = scratch_path(spark, "one-logger")
-    logger_files(spark, sf_dir, folder, F.lit("all"))
-    (path,) = paths_below(spark, folder)
-    return records.read_toa5(spark, f"{folder}/{path}")
+    logger_lines(spark, sf_dir, F.lit("all")).orderBy("part", "k").select("value").write.text(folder)
+    return records.read_toa5(spark, folder)
 
 
 #: Grids of three domains, of 9, 3 and 1 degrees a cell, and the stations of customer on them.

@@ -10,6 +10,7 @@ import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,12 +32,15 @@ def _split_csv(line: str, sep: str) -> list[str]:
 
 
 def read_toa5(spark: SparkSession, path: str, *, sep: str = ",", timestamp_column: str = STAMP, drop: Sequence[str] = ("RECORD",), sentinel: float | None = -900.0, text_columns: Sequence[str] = (), header_line: int = 1, header_lines: int = 4) -> DataFrame:
-    """One logger file: names on the second line, then units and aggregation lines, then rows.
+    """One logger file: names on the second line, then units and aggregation lines, then rows. ``path`` may be a folder that holds the file in
+    parts, in name order, with the header in the first.
 
     Bad stamps and repeated ones (the first row of a stamp stays) are dropped.
     """
     lines = spark.read.text(path)
-    head = [r.value for r in lines.limit(header_lines).collect()]
+    parts = sorted(f.rsplit("/", 1)[-1] for f in lines.inputFiles())
+    top = lines if len(parts) < 2 else lines.where(F.col("_metadata.file_name").isin(parts[0], unquote(parts[0])))
+    head = [r.value for r in top.limit(header_lines).collect()]
     if len(head) <= header_line or timestamp_column not in _split_csv(head[header_line], sep):
         raise ValueError(f"{path} has no {timestamp_column} column on line {header_line + 1}")
     names = _split_csv(head[header_line], sep)
@@ -45,9 +49,10 @@ def read_toa5(spark: SparkSession, path: str, *, sep: str = ",", timestamp_colum
     raw = spark.read.option("sep", sep).option("quote", '"').schema(", ".join(f"`{n}` string" for n in names)).csv(path)
     ts = F.try_to_timestamp(timestamp_column).cast("timestamp_ntz")
     kept = [n for n in names if n != timestamp_column and n not in drop]
-    rows = raw.select(ts.alias("ts"), F.monotonically_increasing_id().alias("_line"), *[(F.col(f"`{n}`") if n in text_columns else number(F.col(f"`{n}`"), sentinel)).alias(n) for n in kept]).where("ts IS NOT NULL")
-    first = F.row_number().over(Window.partitionBy("ts").orderBy("_line"))
-    return rows.withColumn("_k", first).where("_k = 1").drop("_k", "_line")
+    place = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")]
+    rows = raw.select(ts.alias("ts"), *place, *[(F.col(f"`{n}`") if n in text_columns else number(F.col(f"`{n}`"), sentinel)).alias(n) for n in kept]).where("ts IS NOT NULL")
+    first = F.row_number().over(Window.partitionBy("ts").orderBy("_path", "_block", "_line"))
+    return rows.withColumn("_k", first).where("_k = 1").drop("_k", "_path", "_block", "_line")
 
 
 def merge_sources(frames: Sequence[DataFrame], keys: Sequence[str] = ("ts",)) -> DataFrame:

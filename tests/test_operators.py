@@ -584,3 +584,12 @@ def test_daylight_compiles_and_equals_the_expression(spark):
     assert {r.part for r in both} == {"day", "night", None} and all(r.part == r.same for r in both)
     sines = quality.with_daylight(df, SITE)._jdf.queryExecution().executedPlan().toString().count("ASIN(")
     assert sines == 3
+
+
+def test_one_logger_file_in_parts(spark, tmp_path):
+    folder = tmp_path / "one"
+    folder.mkdir()
+    toa5(folder / "part-0", ["TIMESTAMP", "RECORD", "T"], [['"2024-01-01 00:00:00"', "1", "1"]])
+    (folder / "part-1").write_text('"2024-01-01 00:00:00",2,8\n"2024-01-01 00:05:00",3,2\n')
+    (folder / "part-2").write_text('"2024-01-01 00:05:00",4,9\n' * 3000)  # the longest part is read first
+    assert [r["T"] for r in records.read_toa5(spark, str(folder)).orderBy("ts").collect()] == [1.0, 2.0]

@@ -1,7 +1,7 @@
 """Ranks, quantiles and neighbours in the order of a column, without a task for each group.
 
 A group of up to ``WHOLE`` rows (counted first) is sorted by one task, which is the cheapest. Beyond that, with the same results, a
-group of a third of all rows can't be: its rows are dealt by value over ``PARTS`` ranges of about equal count, each
+group of a third of all rows can't be: for quantiles its equal values are counted first; its rows (or distinct values) are dealt by value over ``PARTS`` ranges of about equal count, each
 range is sorted alone, and what lies before it comes from a table of counts, a row a range. The bounds of the ranges are approximate;
 ranks and quantiles are exact. They are written to the shared folder first, so that every use sees the same ones.
 """
@@ -61,16 +61,37 @@ def ranked(df: DataFrame, order: str, by: Sequence[str] = (), whole: int = WHOLE
     return _beside(rows.withColumn("_inner", inner), counts, [*by, "_part"]).withColumn("_rank", F.col("_before") + F.col("_inner") - 1).drop("_inner", "_before", "_part")
 
 
+def counted(df: DataFrame, column: str, by: Sequence[str] = (), whole: int = WHOLE) -> DataFrame:
+    """(by, column, _m, _before, _n): each distinct value of a group, how many rows have it, how many have less, and the group's rows.
+
+    Equal values combine on the map side before anything is ordered, so that repeated ones cost nothing. Rows without a value go.
+    """
+    points = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_m"))
+    path = scratch_path(df.sparkSession, "counted")
+    points.write.parquet(path)
+    points = df.sparkSession.read.schema(points.schema).parquet(path)
+    grow = lambda w, order: F.sum("_m").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    if _small(points, by, whole):
+        w = _group(by)
+        return points.withColumns({"_before": grow(w, column) - F.col("_m"), "_n": F.sum("_m").over(w)})
+    rows = dealt(points, column, by)
+    group = _group([f"_g_{c}" for c in by])  # PARTS rows a group
+    parts = rows.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("_part").alias("_g__part")).agg(F.sum("_m").alias("_p"))
+    parts = parts.withColumns({"_n": F.sum("_p").over(group), "_start": F.sum("_p").over(group.orderBy("_g__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_p")}).drop("_p")
+    inner = rows.withColumn("_inner", grow(Window.partitionBy(*by, "_part"), column) - F.col("_m"))
+    return _beside(inner, parts, [*by, "_part"]).withColumn("_before", F.col("_start") + F.col("_inner")).drop("_inner", "_start", "_part")
+
+
 def quantiles(df: DataFrame, column: str, shares: Sequence[float], by: Sequence[str] = (), whole: int = WHOLE) -> DataFrame:
     """(by, q): the exact quantiles, linear between neighbours, as an array."""
     known = df.select(*by, column).where(F.col(column).isNotNull())
     if _small(known, by, whole):
         return known.groupBy(*by).agg(F.percentile(column, F.array(*[F.lit(float(p)) for p in shares])).alias("q"))
-    rows = ranked(known, column, by, whole)
+    rows = counted(known, column, by, whole)
     at = lambda p: (F.col("_n") - 1) * F.lit(float(p))
     value = F.col(column).cast("double")
-    pick = lambda place: F.max(F.when(F.col("_rank") == place, value))
-    # rank holds the place if it is the floor or the next of it
+    pick = lambda place: F.max(F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("_m")), value))
+    # the value that holds the place, and that which holds the next
     ends = [F.struct(pick(F.floor(at(p))).alias("a"), pick(F.least(F.floor(at(p)) + 1, F.col("_n") - 1)).alias("b"), F.max(at(p) - F.floor(at(p))).alias("w")).alias(f"_q{k}") for k, p in enumerate(shares)]
     got = rows.groupBy(*by).agg(*ends)
     line = lambda k: F.col(f"_q{k}.a") + (F.col(f"_q{k}.b") - F.col(f"_q{k}.a")) * F.col(f"_q{k}.w")

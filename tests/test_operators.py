@@ -593,3 +593,14 @@ def test_one_logger_file_in_parts(spark, tmp_path):
     (folder / "part-1").write_text('"2024-01-01 00:00:00",2,8\n"2024-01-01 00:05:00",3,2\n')
     (folder / "part-2").write_text('"2024-01-01 00:05:00",4,9\n' * 3000)  # the longest part is read first
     assert [r["T"] for r in records.read_toa5(spark, str(folder)).orderBy("ts").collect()] == [1.0, 2.0]
+
+
+def test_repeated_values_are_counted_before_they_are_ordered(spark):
+    df = spark.range(2000).select((F.col("id") % 2).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(7)) / 2.0).alias("v"))
+    want, got = ({r.g: r.q for r in ranks.quantiles(df, "v", (0.0, 0.1, 0.5, 0.9, 1.0), ["g"], whole=w).collect()} for w in (10**9, 100))
+    assert got == want
+    for whole in (10**9, 3):
+        c = ranks.counted(df, "v", ["g"], whole)
+        assert c.count() == 14 and all(r._before + r._m <= r._n == 1000 for r in c.collect())
+    plan = ranks.quantiles(df, "v", (0.5,), ["g"], whole=100)._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan  # no window over the rows themselves

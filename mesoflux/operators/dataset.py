@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import atmosphere, solar
 from ..functions.solar import Site
+from ..sources.scratch import scratch_path
 from . import joins, metrics, windows
 
 #: Bits of the flag column.
@@ -148,7 +149,7 @@ def with_clear_sky(df: DataFrame, site: Site, target: str, ts: str = "ts") -> Da
     """
     if target not in ("kstar", "kt", "dhi"):
         raise ValueError(f"no clear-sky reference for {target!r}")
-    mu = atmosphere.computed(df, {"_mu": solar.cos_zenith(F.col(ts), site), "_top": solar.extraterrestrial(F.col(ts), site), "_elevation": solar.elevation(F.col(ts), site)})
+    mu = atmosphere.computed(solar.with_sun(df, site, ts), {"_top": F.when(F.col("_mu").isNotNull(), F.greatest(F.lit(0.0), F.lit(solar.SOLAR_CONSTANT) * F.col("_e0") * F.col("_mu"))), "_elevation": F.degrees(F.asin("_mu"))}).drop("_e0")
     clear = atmosphere.computed(mu, {"_clear": solar.haurwitz(F.col("_mu"))})
     kt = atmosphere.computed(clear, {"_clear_kt": F.try_divide("_clear", "_top")})
     out = {"kstar": F.lit(1.0), "kt": F.col("_clear_kt"), "dhi": solar.pseudo_diffuse(F.col("_clear"), F.col("_clear_kt"))}[target]
@@ -166,6 +167,13 @@ def evaluate_predictions(df: DataFrame, target: str, site: Site, keys: Sequence[
         strata["class"] = F.col("obs_sky")
     if "qc_flags" in base.columns:
         strata["qc"] = F.when(F.col("qc_flags") == 0, "clean").otherwise("flagged")
+    # references, sun and strata are made once and then read for every table
+    skies = [c for c in ("obs_sky", "pred_sky") if c in base.columns]
+    path = scratch_path(df.sparkSession, "evaluated")
+    made = base.select(obs, pred, f"persistence_{obs}", "clear_sky", *skies, *[c.cast("string").alias(f"_s_{k}") for k, c in strata.items()])
+    made.write.parquet(path)
+    base = df.sparkSession.read.schema(made.schema).parquet(path)
+    strata = {k: F.col(f"_s_{k}") for k in strata}
     out = {
         "strata": metrics.stratified(base, obs, pred, strata, ["n", "rmse", "mae", "mbe", "nmae", "nrmse"]),
         "persistence": metrics.skill(base, obs, pred, f"persistence_{obs}"), "clear_sky": metrics.skill(base, obs, pred, "clear_sky"),

@@ -604,3 +604,12 @@ def test_repeated_values_are_counted_before_they_are_ordered(spark):
         assert c.count() == 14 and all(r._before + r._m <= r._n == 1000 for r in c.collect())
     plan = ranks.quantiles(df, "v", (0.5,), ["g"], whole=100)._jdf.queryExecution().executedPlan().toString()
     assert "row_number" not in plan  # no window over the rows themselves
+
+
+def test_an_evaluation_computes_its_references_once(spark):
+    rows = [(T0 + dt.timedelta(hours=k), "20240101", float(k), k + 1.0, k % 4, (k + 1) % 4) for k in range(24)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, day_id string, obs_dhi double, pred_dhi double, obs_sky int, pred_sky int")
+    out = dataset.evaluate_predictions(df, "dhi", SITE)
+    plans = {k: v._jdf.queryExecution().executedPlan().toString() for k, v in out.items()}
+    assert len(plans) == 5 and not any("ASIN(" in p or "lag(" in p or "Generate explode(array(struct(_g" in p for p in plans.values())
+    assert out["persistence"].first().n == 23 and out["strata"].where("kind = 'hour'").count() == 24

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -613,3 +614,24 @@ def test_an_evaluation_computes_its_references_once(spark):
     plans = {k: v._jdf.queryExecution().executedPlan().toString() for k, v in out.items()}
     assert len(plans) == 5 and not any("ASIN(" in p or "lag(" in p or "Generate explode(array(struct(_g" in p for p in plans.values())
     assert out["persistence"].first().n == 23 and out["strata"].where("kind = 'hour'").count() == 24
+
+
+def test_quantiles_of_a_law_take_few_values_of_its_distribution_function(spark, monkeypatch):
+    seen, q = [], (np.arange(5000) + 0.5) / 5000
+    real = distributions.cdf
+    monkeypatch.setattr(distributions, "cdf", lambda fit, x: seen.append(np.size(x)) or real(fit, x))
+    for family, params in (("normal", {"mean": 55000.0, "std": 20000.0}), ("gamma", {"shape": 2.5, "scale": 3.0})):
+        seen.clear()
+        fit = distributions.Fit(family, params, 10)
+        got = distributions.ppf(fit, q)
+        assert sum(seen) < 20 * len(q)  # over a hundred by bisection alone
+        assert got[::50] == pytest.approx(distributions._bisected(fit, q[::50], -1e6 if family == "normal" else 0.0, 1e6, 120), rel=1e-12)
+
+
+def test_fit_of_repeated_values_judges_every_rank(spark):
+    v = np.repeat([1.0, 2.0, 3.5, 5.0], [3, 40, 50, 7])
+    fit = distributions.Fit("normal", {"mean": 3.0, "std": 1.0}, 100)
+    got = distributions.goodness_of_fit(spark.createDataFrame([(float(x),) for x in v], "v double"), "v", fit).first()
+    gap = np.abs(v - distributions.ppf(fit, (np.arange(100) + 0.5) / 100)).mean()
+    model = distributions.cdf(fit, v)
+    assert (got.n, got.quantile_gap) == (100, pytest.approx(gap)) and got.ks == pytest.approx(max(np.abs((np.arange(100) + 1) / 100 - model).max(), np.abs(model - np.arange(100) / 100).max()))

@@ -1,7 +1,8 @@
 """Best-fit-decreasing packing of token sequences.
 
-1. Tokenize in Arrow batches. Splitting at ASCII white space is exact for this tokenizer, which drops white space and never
-   joins over it, so each distinct chunk of a batch is encoded once and the ids are gathered by index.
+1. Tokenize in Arrow batches, in slices of a megabyte. Splitting at ASCII white space is exact for this tokenizer, which drops
+   white space and never joins over it, so a chunk is encoded when a task first meets it and the ids are gathered by index. What a
+   task remembers is bounded by the characters of its chunks; beyond that it begins anew.
 2. An overlong document is first cut into full windows, which are whole sequences; only the remainders are packed.
 3. Remainders are dealt over shards by a hash of the piece and its place in the table, so that repeated rows spread; a shard holds about ``shard_pieces`` of them, however large the input is. In its
    shard each piece, longest first, goes to the open window with the least remaining capacity that still fits it, found by a
@@ -21,19 +22,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import give_back, materialize
 
 WINDOW = 4096
 END_ID = 2
 SHARD_PIECES = 20_000
 _JOINED = 1000
-_PART_BYTES = 16_000_000
+_END = 1  # the place of the end id among the chunks known
+_PART_BYTES = 1_000_000
+_BATCH_BYTES = 4_000_000
+#: Characters of the chunks that a task remembers with their ids.
+_KNOWN_CHARS = 2_000_000
 _SPACES = r"[ \t\n\x0b\x0c\r]+"
 _CUT = r"([a-z0-9])([.,;:!?|*#$%&])"
 
 
 class ChunkEncoder:
-    """Token ids of texts; each distinct white-space-free chunk of a call is encoded once.
+    """Token ids of texts; a white-space-free chunk is encoded once, until the chunks known hold over ``_KNOWN_CHARS`` characters.
 
     Chunks are made few by steps that can't change the ids: the tokenizer lower-cases anyway, and it always cuts between a letter
     or digit and a sign other than the apostrophe.
@@ -44,6 +49,25 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.end_id = end_id
+        self._forget()
+
+    def _forget(self) -> None:
+        """Only the empty chunk, without an id, and the place of the end id stay."""
+        self.known, self.chars = {"": 0}, 0
+        self.flat, self.begins, self.sizes = np.array([self.end_id], np.uint32), np.zeros(2, np.int64), np.array([0, 1], np.int64)
+
+    def _places(self, chunks: list[str]) -> np.ndarray:
+        """Where ``begins`` and ``sizes`` have the chunks; unknown ones are encoded first."""
+        if self.chars > _KNOWN_CHARS:
+            self._forget()
+        new = [c for c in chunks if c not in self.known]
+        if new:
+            flat, some = self._encode_chunks(new)
+            self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
+            self.chars += sum(map(len, new))
+            self.begins = np.append(self.begins, len(self.flat) + np.cumsum(some) - some)
+            self.sizes, self.flat = np.append(self.sizes, some), np.append(self.flat, flat)
+        return np.array([self.known[c] for c in chunks], np.int64)
 
     def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after the other, number of ids of each chunk); many chunks share one call, told apart by offsets."""
@@ -75,20 +99,13 @@ class ChunkEncoder:
         spaced = pc.replace_substring_regex(pc.replace_substring_regex(lowered, _CUT, r"\1 \2"), _SPACES, " ")
         lists = pc.split_pattern(spaced, " ")
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        named = [k for k, w in enumerate(words) if w]
-        flat, some = self._encode_chunks([words[k] for k in named])
-        sizes = np.zeros(len(words) + 1, np.int64)
-        sizes[named] = some
-        sizes[-1] = 1  # the last place stands for the end id
-        flat = np.append(flat, np.uint32(self.end_id))
-        begins = np.cumsum(sizes) - sizes
         bounds = lists.offsets.to_numpy()
-        chunk = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:] - bounds[0], len(words))
-        n = sizes[chunk]
+        places = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        chunk = np.insert(places, bounds[1:] - bounds[0], _END)
+        n = self.sizes[chunk]
         stops = np.cumsum(n)
-        ids = flat[np.repeat(begins[chunk] - (stops - n), n) + np.arange(int(n.sum()))]
-        return ids, np.concatenate([[0], stops[np.flatnonzero(chunk == len(words))]])
+        ids = self.flat[np.repeat(self.begins[chunk] - (stops - n), n) + np.arange(int(n.sum()))]
+        return ids, np.concatenate([[0], stops[np.flatnonzero(chunk == _END)]])
 
 
 def _by_size(batch: pa.RecordBatch):
@@ -118,6 +135,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
                 cols = list(zip(*rows))
                 taken = part.column("doc_id").take(pa.array(cols[0]))
                 yield pa.RecordBatch.from_arrays([taken, *[pa.array(c, pa.int64()) for c in cols[1:]]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        encoder = b = part = ids = data = cut = rows = cols = taken = None
+        give_back()
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return picked.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
@@ -201,4 +220,4 @@ def pack(found: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIECE
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    return pack(materialize(pieces(docs, tokenizer_path, window, end_id), "pieces"), window, shard_pieces)
+    return pack(materialize(pieces(docs, tokenizer_path, window, end_id), "pieces", batch_bytes=_BATCH_BYTES), window, shard_pieces)

@@ -26,13 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fuzzy_lines
-from ._common import SPACE_CLASS, connected_components, materialize, rekey
+from ._common import SPACE_CLASS, connected_components, give_back, materialize, rekey
 
 SHINGLE = 3
 RADIUS = 3
 SPARE = 2
 CHUNK = 2048
 SEED = 42
+BATCH_BYTES = 4_000_000
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -64,6 +65,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
+        b = None
+        give_back()
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     return picked.mapInArrow(run, "doc_id long, text_hash long, fp long")
@@ -218,7 +221,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, spare: int = SPARE, s
 
     ``further``: links (x, y) between texts, by their hashes, beside those between fingerprints.
     """
-    marked = materialize(fingerprints(docs, shingle), "simhash")
+    marked = materialize(fingerprints(docs, shingle), "simhash", batch_bytes=BATCH_BYTES)
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     edges = links(distinct.select("fp"), radius, spare, chunk)
     if further is not None:

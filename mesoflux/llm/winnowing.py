@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import extended, materialize
+from ._common import extended, give_back, materialize
 
 SPAN = 13
 K = 5
@@ -215,6 +215,8 @@ def spans(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, b
                     ids.append(sorted({known.ids[i] for i in found} - {None}))
             cols = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *made])
+        b = part = words = cols = None
+        give_back()
 
     return base.mapInArrow(run, schema)
 

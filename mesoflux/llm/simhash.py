@@ -249,7 +249,7 @@ def shingle_links(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     texts = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("h"), F.col("text").alias("norm"))
     keys = fuzzy_lines.set_keys(word_shingles(F.col("norm")))
     distinct = materialize(texts.select(F.col("h").alias("line_hash"), keys.alias("keys")).distinct(), "simhash-bands")
-    return materialize(fuzzy_lines.links(texts, distinct, similarity, split=word_shingles), "simhash-shingle-links")
+    return fuzzy_lines.links(texts, distinct, similarity, split=word_shingles)
 
 
 def hex_fingerprint(col):

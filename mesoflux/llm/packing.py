@@ -15,6 +15,8 @@ included. Only ``doc_id`` and ``text`` are read. An empty table gives an empty r
 from __future__ import annotations
 
 import zlib
+from itertools import repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ _END = 1  # the place of the end id among the chunks known
 _PART_BYTES = 1_000_000
 _BATCH_BYTES = 4_000_000
 #: Characters of the chunks that a task remembers with their ids.
-_KNOWN_CHARS = 2_000_000
+_KNOWN_CHARS = 4_000_000
 _SPACES = r"[ \t\n\x0b\x0c\r]+"
 _CUT = r"([a-z0-9])([.,;:!?|*#$%&])"
 
@@ -57,17 +59,20 @@ class ChunkEncoder:
         self.flat, self.begins, self.sizes = np.array([self.end_id], np.uint32), np.zeros(2, np.int64), np.array([0, 1], np.int64)
 
     def _places(self, chunks: list[str]) -> np.ndarray:
-        """Where ``begins`` and ``sizes`` have the chunks; unknown ones are encoded first."""
+        """Where ``begins`` and ``sizes`` have the chunks, which differ; unknown ones are encoded first."""
         if self.chars > _KNOWN_CHARS:
             self._forget()
-        new = [c for c in chunks if c not in self.known]
-        if new:
+        places = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        unknown = np.flatnonzero(places < 0)
+        if len(unknown):
+            new = [chunks[i] for i in unknown.tolist()]
             flat, some = self._encode_chunks(new)
-            self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
+            places[unknown] = np.arange(len(self.sizes), len(self.sizes) + len(new))
+            self.known.update(zip(new, places[unknown].tolist()))
             self.chars += sum(map(len, new))
             self.begins = np.append(self.begins, len(self.flat) + np.cumsum(some) - some)
             self.sizes, self.flat = np.append(self.sizes, some), np.append(self.flat, flat)
-        return np.array([self.known[c] for c in chunks], np.int64)
+        return places
 
     def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after the other, number of ids of each chunk); many chunks share one call, told apart by offsets."""
@@ -76,7 +81,7 @@ class ChunkEncoder:
             part = chunks[low : low + _JOINED]
             done = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ends = np.cumsum([len(c) + 1 for c in part])
-            of = np.searchsorted(ends, np.array([s for s, _ in done.offsets], np.int64), "right")
+            of = np.searchsorted(ends, np.fromiter(map(itemgetter(0), done.offsets), np.int64, len(done)), "right")
             flat.append(np.array(done.ids, np.uint32))
             sizes.append(np.bincount(of, minlength=len(part)))
         return np.concatenate(flat or [np.zeros(0, np.uint32)]), np.concatenate(sizes or [np.zeros(0, np.int64)])
